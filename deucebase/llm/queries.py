@@ -18,6 +18,12 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents"))
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from deucebase.llm.ngram_join import join_similar
+
+    return join_similar(_table(spark, sf_dir, "documents"), n=4, num=85, den=100)
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from deucebase.llm.exact_dedup import name_documents
 
@@ -30,6 +36,12 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(_table(spark, sf_dir, "documents"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from deucebase.llm.language_id import identify
+
+    return identify(_table(spark, sf_dir, "documents"))
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from deucebase.llm.chat_format import format_chats, read_back
 
@@ -45,7 +57,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = {f.__name__: f for f in (op1_mixing, op5_exact_dedup, op7_chat_format, op8_secrets, op10_bpe)}
+    found = {f.__name__: f for f in (op1_mixing, op4_ngram_join, op5_exact_dedup, op6_language_id, op7_chat_format, op8_secrets, op10_bpe)}
     return found | {"pipeline": lambda spark, sf_dir: import_module("corpus_pipeline").run(spark, sf_dir)}
 
 
