@@ -18,6 +18,12 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents"))
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from deucebase.llm.embedding_dedup import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from deucebase.llm.ngram_join import join_similar
 
@@ -57,7 +63,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = {f.__name__: f for f in (op1_mixing, op4_ngram_join, op5_exact_dedup, op6_language_id, op7_chat_format, op8_secrets, op10_bpe)}
+    found = {f.__name__: f for f in (op1_mixing, op3_embedding_dedup, op4_ngram_join, op5_exact_dedup, op6_language_id, op7_chat_format, op8_secrets, op10_bpe)}
     return found | {"pipeline": lambda spark, sf_dir: import_module("corpus_pipeline").run(spark, sf_dir)}
 
 
