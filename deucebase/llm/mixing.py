@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from deucebase.llm.common import ranked, save
 
@@ -140,3 +141,18 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     back = targets.select("src", "source_size", "target")
     copies = (F.col("base") + F.round("p")).cast("bigint")
     return rows.join(back, "src").select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"), F.col("src").alias("source_rank"))
+
+
+def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """``docs`` as the mix takes them: a document that it takes twice is there twice, one that it doesn't take is not.
+
+    Rows of one id and size (repeated ids) share their counts out among themselves, in the order of a hash of the text.
+    """
+    taken = mix(docs, id_col=id_col, text_col=text_col, **how).groupBy("doc_id", "size").agg(F.sort_array(F.collect_list("copies")).alias("_c"))
+    taken = taken.withColumnsRenamed({"doc_id": "_id", "size": "_size"})
+    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("bigint")
+    d = docs.withColumn("_own_id", F.col(id_col).cast("bigint")).withColumn("_own_size", size)
+    both = d.join(taken, d["_own_id"].eqNullSafe(taken["_id"]) & (d["_own_size"] == taken["_size"]))
+    nth = F.row_number().over(Window.partitionBy("_own_id", "_own_size").orderBy(F.xxhash64(F.col(text_col))))
+    both = both.withColumn("_n", F.element_at("_c", nth)).where("_n > 0")
+    return both.withColumn("_k", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_n")))).select(*docs.columns)

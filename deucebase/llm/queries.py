@@ -18,6 +18,12 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents"))
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from deucebase.llm.html_extract import extract_main_text
+
+    return extract_main_text(_table(spark, sf_dir, "pages"))
+
+
 def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from deucebase.llm.embedding_dedup import near_duplicates
 
@@ -56,6 +62,12 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_chats(_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)))
 
 
+def op9_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from deucebase.llm.lm_score import pseudo_likelihood
+
+    return pseudo_likelihood(_table(spark, sf_dir, "documents"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from deucebase.llm.bpe import token_report
 
@@ -63,7 +75,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = {f.__name__: f for f in (op1_mixing, op3_embedding_dedup, op4_ngram_join, op5_exact_dedup, op6_language_id, op7_chat_format, op8_secrets, op10_bpe)}
+    found = {f.__name__: f for f in (op1_mixing, op2_html_extraction, op3_embedding_dedup, op4_ngram_join, op5_exact_dedup, op6_language_id, op7_chat_format, op8_secrets, op9_pseudo_likelihood, op10_bpe)}
     return found | {"pipeline": lambda spark, sf_dir: import_module("corpus_pipeline").run(spark, sf_dir)}
 
 
