@@ -107,9 +107,9 @@ def signatures(h: np.ndarray, bands: Bands) -> np.ndarray:
 
 
 def bit_sketch(h: np.ndarray) -> np.ndarray:
-    """Parity sketch: each shingle flips one bit. Its length, a power of two, is four bits a shingle or more; a longer
+    """Parity sketch: each shingle flips one bit. Its length, a power of two, is four bits a shingle up to 1024; a longer
     sketch folds to a shorter one by XOR of its halves. The Hamming distance never exceeds the symmetric difference."""
-    m = max(256, 1 << min(17, int(4 * len(h) - 1).bit_length()))
+    m = max(256, 1 << min(10, int(4 * len(h) - 1).bit_length()))
     bit = mix64(h + _M1) & np.uint64(m - 1)
     odd = np.flatnonzero(np.bincount(bit.astype(np.int64), minlength=m) & 1)
     out = np.zeros(m, np.uint8)
@@ -129,12 +129,14 @@ def _fold(s: np.ndarray, words: int) -> np.ndarray:
 def _meta(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            size, key = [], []
+            size, key, sketch = [], [], []
             for t in b.column(1).to_pylist():
                 w = words_of(t)
-                size.append(len(shingle_set(w, n)))
+                h = shingle_set(w, n)
+                size.append(len(h))
                 key.append(blake2b(b" ".join(w), digest_size=16).digest() if w else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(key, pa.binary())], names=["doc_id", "n_shingles", "key"])
+                sketch.append(bit_sketch(h).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(key, pa.binary()), pa.array(sketch, pa.binary())], names=["doc_id", "n_shingles", "key", "sketch"])
 
     return run
 
@@ -196,7 +198,23 @@ def _sets(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             h = [shingle_set(words_of(t), n) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.view(np.int64) for x in h], pa.list_(pa.int64())), pa.array([bit_sketch(x).tobytes() for x in h], pa.binary())], names=["id", "h", "sketch"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.view(np.int64) for x in h], pa.list_(pa.int64()))], names=["id", "h"])
+
+    return run
+
+
+def _hamming(bands: Bands):
+    """Of rows a, b, n, hub_n and two sketches: the pairs whose Hamming distance allows a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            most = bands.most(b.column(2).to_numpy().astype(np.int64) + b.column(3).to_numpy())
+            good = []
+            for x, y, d in zip(b.column(4).to_pylist(), b.column(5).to_pylist(), most, strict=True):
+                k = min(len(x), len(y)) // 8
+                far = np.bitwise_count(_fold(np.frombuffer(x, np.uint64), k) ^ _fold(np.frombuffer(y, np.uint64), k)).sum()
+                good.append(bool(far <= d))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     return run
 
@@ -274,33 +292,39 @@ def join_similar(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, id_
     4. Every candidate is verified on the whole sets; components follow from verified links alone.
 
     No cap on partners or candidates. Null or empty texts: size 0, no link, component is the own id. A null id links
-    with nothing. Rows that share an id are one node. Other columns are not read. Shingles are compared by 64-bit
-    hashes.
+    with nothing. Rows that share an id are one node; where their texts differ, one of them stands for it in the bit
+    sketches. Other columns are not read. Shingles are compared by 64-bit hashes.
     """
     spark = docs.sparkSession
     short_batches(spark)
     bands = Bands(num, den)
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    meta = save(rows.mapInArrow(_meta(n), "doc_id bigint, n_shingles bigint, key binary"))
+    meta = save(rows.mapInArrow(_meta(n), "doc_id bigint, n_shingles bigint, key binary, sketch binary"))
     nodes = save(meta.where("key IS NOT NULL AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep")))
     reps = rows.join(nodes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
     sigs = reps.mapInArrow(_signed(n, bands), "sig bigint, id bigint, n int")
     runs = save(sigs.repartition("sig").sortWithinPartitions("sig", "id").mapInArrow(_runs, "sig bigint, id bigint, n int, hub bigint, hub_n int"))
     _free(spark)
 
+    sketches = save(meta.where("key IS NOT NULL AND doc_id IS NOT NULL").join(nodes, "key").where("doc_id = rep").groupBy(F.col("doc_id").alias("id")).agg(F.max("sketch").alias("sketch")))
     fits = f"{den}L * least(n, hub_n) >= {num}L * greatest(n, hub_n)"
-    star = save(runs.where("id <> hub").where(fits).select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct())
-    # Members of runs of three or more may be compared with each other later; a run of two is settled by its star.
-    ids = runs.select(F.col("id").alias("doc_id")).distinct()
-    sets = save(rows.join(ids, "doc_id", "left_semi").mapInArrow(_sets(n), "id bigint, h array<bigint>, sketch binary").dropDuplicates(["id"]))
+    star = runs.where("id <> hub").where(fits).select(F.col("hub").alias("a"), F.col("id").alias("b"), "n", "hub_n").distinct()
+    short_batches(spark, 2000)
+    star = star.join(sketches.withColumnsRenamed({"id": "b", "sketch": "y"}), "b").join(sketches.withColumnsRenamed({"id": "a", "sketch": "x"}), "a")
+    star = save(star.select("a", "b", "n", "hub_n", "x", "y").mapInArrow(_hamming(bands), "a bigint, b bigint"))
     _free(spark)
 
     def verified(pairs: DataFrame) -> DataFrame:
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+        short_batches(spark)
+        sets = save(rows.join(ids, "doc_id", "left_semi").mapInArrow(_sets(n), "id bigint, h array<bigint>"))
         short_batches(spark, 128)
         x = sets.select(F.col("id").alias("a"), F.col("h").alias("x"))
         y = sets.select(F.col("id").alias("b"), F.col("h").alias("y"))
         both = pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y")
-        return save(both.mapInArrow(_verify(num, den), "a bigint, b bigint"))
+        out = save(both.mapInArrow(_verify(num, den), "a bigint, b bigint"))
+        _free(spark)
+        return out
 
     links = verified(star)
     comp = components(links)
@@ -308,7 +332,7 @@ def join_similar(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, id_
     mixed = spread.groupBy("sig").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("c0"), F.max("component").alias("c1")).where("size > 2 AND c0 <> c1").select("sig", "size")
     short_batches(spark, 1000)
     blocks = F.ceil(F.col("size") / _FULL).cast("int")
-    rest = spread.join(mixed, "sig").join(sets.select("id", "sketch"), "id")
+    rest = spread.join(mixed, "sig").join(sketches, "id")
     rest = rest.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
     # Group (sig, i, j) with i <= j holds blocks i and j of a run; within (sig, i, i) all pairs, else pairs across.
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
@@ -317,9 +341,12 @@ def join_similar(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, id_
     part = F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2)
     rest = rest.select(group.alias("g"), "id", "n", "component", "hub", part.alias("part"), "sketch")
     rest = rest.repartition("g").sortWithinPartitions("g", "id").mapInArrow(_near(bands), "a bigint, b bigint").distinct()
-    more = verified(save(rest))
+    rest = save(rest)
+    final = comp
+    if not rest.isEmpty():
+        more = verified(rest)
+        final = comp if more.isEmpty() else components(links.unionByName(more))
     short_batches(spark)
-    final = components(links.unionByName(more)) if not more.isEmpty() else comp
     placed = nodes.join(final.withColumnRenamed("id", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("component"))
     out = meta.join(placed, "key", "left")
     known = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
