@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from deucebase.llm.common import short_batches
 
 #: Symbols of the automata: 0 is anything that is not a letter, 1 a letter the samples have too rarely.
-ALPHABET = 64
+ALPHABET = 48
 SEGMENT = 2048
 
 
@@ -132,7 +132,7 @@ class Model:
         return found
 
 
-def fit(samples: dict[str, list[str]], chars: int = 60_000) -> Model:
+def fit(samples: dict[str, list[str]], chars: int = 20_000) -> Model:
     """One automaton a language, of ``chars`` symbols of its samples at most; as many more give its own phrase rate."""
     seen = Counter(c for texts in samples.values() for t in texts for c in t.lower() if c.isalpha())
     symbol_of = {ord(c): i + 2 for i, (c, _) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0]))[: ALPHABET - 2])}
@@ -160,7 +160,7 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = 150, piece: int = 4000, chars: int = 60_000) -> Model:
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = 150, piece: int = 4000, chars: int = 20_000) -> Model:
     """Model of a bounded sample of the labelled rows that are not held out: about ``docs_per_lang`` documents a
     language, picked by a hash of their id, ``piece`` characters of each; nothing more reaches the driver."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(~held_out("doc_id") & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
