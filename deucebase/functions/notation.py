@@ -53,44 +53,73 @@ def _shot(idx: Column, hitter: Column, is_serve: bool, letter: Column, tail: Col
     )
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is computed once however often ``body`` names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _parsed(raw: Column, server: Column, serve_in_play: Column, winner: Column) -> Column:
+    """Struct of all that a point's string tells. Every step is bound to a name: the expression stays linear in size
+    wherever the optimizer copies it."""
+    returner = other_player(server)
+
+    def cut(rest: Column) -> Column:
+        return F.struct(F.regexp_extract(rest, "^[4560]", 0).alias("dir"), F.regexp_replace(rest, "^[4560]", "").alias("body"))
+
+    def shots(c: Column) -> Column:
+        has, lead = c["dir"] != "", (c["dir"] != "").cast("int")
+        head = F.regexp_extract(c["body"], f"^[^{LETTERS}]*", 0)
+        serve = F.array(_shot(F.lit(1), server, True, F.lit(""), head, F.coalesce(_last(head, "123"), c["dir"])))
+
+        def stroke(s: Column, j: Column) -> Column:
+            return _let(F.substring(s, 2, 1 << 20), lambda tail: _shot(j + 1 + lead, F.when(j % 2 == 0, returner).otherwise(server), False, F.substring(s, 1, 1), tail, _last(tail, "123")))
+
+        strokes = F.transform(F.regexp_extract_all(c["body"], F.lit(f"[{LETTERS}][^{LETTERS}]*"), F.lit(0)), stroke)
+        return F.struct(has.alias("has"), F.concat(F.when(has, serve).otherwise(F.slice(serve, 1, 0)), strokes).alias("shots"))
+
+    def ended(x: Column) -> Column:
+        return F.struct(x["has"].alias("has"), x["shots"].alias("shots"), F.try_element_at(x["shots"], F.lit(-1)).alias("last"))
+
+    def outcome(x: Column) -> Column:
+        last = x["last"]
+        t, missed = last["terminal"], last["is_serve"] & last["error_loc"].isNotNull()
+        how = (
+            F.when(t == "*", F.when(last["is_serve"], "ace").otherwise("winner")).when(t == "#", "forced_error").when(t == "@", "unforced_error")
+            .when(missed & (serve_in_play == 2), "double_fault").when(missed, "fault_unfinished").otherwise("unknown")
+        )
+        return F.struct(x["has"].alias("has"), x["shots"].alias("shots"), last.alias("last"), how.alias("outcome"))
+
+    def won(x: Column) -> Column:
+        hitter = x["last"]["hitter"]
+        by = F.when(x["outcome"].isin("ace", "winner"), hitter).when(x["outcome"].isin("forced_error", "unforced_error"), other_player(hitter)).when(x["outcome"] == "double_fault", returner)
+        return F.struct(x["has"].alias("has"), x["shots"].alias("shots"), x["last"].alias("last"), x["outcome"].alias("outcome"), by.cast("int").alias("by"))
+
+    def fields(x: Column) -> Column:
+        last, none = x["last"], x["last"].isNull()
+        server_won = F.when(winner.isin(1, 2), winner == server).when(x["by"].isNotNull(), x["by"] == server)
+        return F.struct(
+            x["shots"].alias("shots"), F.size(x["shots"]).alias("rally_len"), last["hitter"].alias("last_hitter"), F.coalesce(last["side"], F.lit("")).alias("ending_side"), F.coalesce(last["stroke"], F.lit("")).alias("ending_stroke"),
+            F.when(none, "").otherwise(stroke_kind(last["letter"], last["is_serve"])).alias("ending_kind"), x["outcome"].alias("outcome"), x["by"].alias("winner_by_notation"), server_won.alias("server_won"),
+            ((x["outcome"] != "unknown") & x["has"]).alias("parse_ok"),
+        )
+
+    steps = F.regexp_replace(raw, "^[^0-9]*", "")
+    for step in (cut, shots, ended, outcome, won, fields):
+        steps = _let(steps, step)
+    return steps
+
+
+PARSED = ["shots", "rally_len", "last_hitter", "ending_side", "ending_stroke", "ending_kind", "outcome", "winner_by_notation", "server_won", "parse_ok"]
+
+
 def decoded(points: DataFrame, first: str = "first_serve", second: str = "second_serve", svr: str = "svr", winner: str = "pt_winner") -> DataFrame:
     """``points`` with raw, serve_in_play, server, shots, rally_len, last_hitter, ending_*, outcome, winner_by_notation,
     server_won and parse_ok. A non-empty second serve is the one that is decoded; the charted winner decides who won."""
     ss, fs = F.trim(F.coalesce(F.col(second), F.lit(""))), F.trim(F.coalesce(F.col(first), F.lit("")))
     d = points.withColumn("serve_in_play", F.when(ss != "", 2).otherwise(1)).withColumn("raw", F.when(ss != "", ss).otherwise(fs))
     d = d.withColumn("server", F.when(F.col(svr).isin(1, 2), F.col(svr)).otherwise(1).cast("int"))
-    rest = F.regexp_replace("raw", "^[^0-9]*", "")
-    d = d.withColumn("_rest", rest).withColumn("_dir", F.regexp_extract("_rest", "^[4560]", 0))
-    d = d.withColumn("_body", F.substring("_rest", F.length("_dir") + 1, F.length("_rest")))
-    head = F.regexp_extract("_body", f"^[^{LETTERS}]*", 0)
-    returner = other_player(F.col("server"))
-    has = F.col("_dir") != ""
-    serve = F.when(has, F.array(_shot(F.lit(1), F.col("server"), True, F.lit(""), head, F.coalesce(_last(head, "123"), F.col("_dir")))))
-    strokes = F.regexp_extract_all("_body", F.lit(f"[{LETTERS}][^{LETTERS}]*"), F.lit(0))
-    lead = has.cast("int")
-
-    def stroke(s: Column, j: Column) -> Column:
-        tail = F.substring(s, 2, 1 << 20)
-        return _shot(j + 1 + lead, F.when(j % 2 == 0, returner).otherwise(F.col("server")), False, F.substring(s, 1, 1), tail, _last(tail, "123"))
-
-    rallies = F.transform(strokes, stroke)
-    d = d.withColumn("shots", F.when(has, F.concat(serve, rallies)).otherwise(rallies))
-    last = F.try_element_at(F.col("shots"), F.lit(-1))
-    d = d.withColumn("_last", last)
-    t, is_serve = F.col("_last.terminal"), F.col("_last.is_serve")
-    missed = is_serve & F.col("_last.error_loc").isNotNull()
-    outcome = (
-        F.when(t == "*", F.when(is_serve, "ace").otherwise("winner")).when(t == "#", "forced_error").when(t == "@", "unforced_error")
-        .when(missed & (F.col("serve_in_play") == 2), "double_fault").when(missed, "fault_unfinished").otherwise("unknown")
-    )
-    d = d.withColumn("outcome", outcome).withColumn("rally_len", F.size("shots")).withColumn("last_hitter", F.col("_last.hitter"))
-    by = F.when(F.col("outcome").isin("ace", "winner"), F.col("last_hitter")).when(F.col("outcome").isin("forced_error", "unforced_error"), other_player(F.col("last_hitter"))).when(F.col("outcome") == "double_fault", returner)
-    d = d.withColumn("winner_by_notation", by.cast("int"))
-    won = F.when(F.col(winner).isin(1, 2), F.col(winner) == F.col("server")).when(F.col("winner_by_notation").isNotNull(), F.col("winner_by_notation") == F.col("server"))
-    d = d.withColumn("server_won", won).withColumn("parse_ok", (F.col("outcome") != "unknown") & has)
-    d = d.withColumn("ending_side", F.coalesce("_last.side", F.lit(""))).withColumn("ending_stroke", F.coalesce("_last.stroke", F.lit("")))
-    kind = F.when(F.col("_last").isNull(), "").otherwise(stroke_kind(F.col("_last.letter"), is_serve))
-    return d.withColumn("ending_kind", kind).drop("_rest", "_dir", "_body", "_last")
+    d = d.withColumn("_pt", _parsed(F.col("raw"), F.col("server"), F.col("serve_in_play"), F.col(winner)))
+    return d.select("*", *[F.col(f"_pt.{c}").alias(c) for c in PARSED]).drop("_pt")
 
 
 FEATURES = ["match_id", "pt", "server", "serve_in_play", "rally_len", "last_hitter", "ending_side", "ending_stroke", "ending_kind", "outcome", "winner_by_notation", "server_won", "parse_ok"]
@@ -103,10 +132,17 @@ def point_features(points: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
 
 def shot_table(points: DataFrame, keep: tuple[str, ...] = ("match_id", "pt", "gender", "player1", "player2", "server", "server_won", "serve_in_play", "parse_ok", "rally_len")) -> DataFrame:
     """One row per stroke, with the next and previous ones' facts read from the array: no window, no shuffle."""
-    d = decoded(points).where("rally_len > 0").select(*keep, "shots")
-    d = d.select(*keep, "shots", F.posexplode("shots").alias("i", "shot"))
-    nxt, prev = F.try_element_at("shots", F.col("i") + 2), F.when(F.col("i") > 0, F.try_element_at("shots", F.greatest(F.col("i"), F.lit(1))))
-    return d.select(*keep, "shot.*", nxt["terminal"].alias("next_terminal"), prev["letter"].alias("prev_letter"), prev["direction"].alias("prev_direction"))
+    d = decoded(points).select(*keep, "shots")
+
+    def linked(x: Column) -> Column:
+        def one(s: Column, i: Column) -> Column:
+            prev = F.get(x, i - 1)
+            return F.struct(s.alias("shot"), F.get(x, i + 1)["terminal"].alias("next_terminal"), prev["letter"].alias("prev_letter"), prev["direction"].alias("prev_direction"), prev["depth"].alias("prev_depth"), prev["is_serve"].alias("prev_is_serve"))
+
+        return F.transform(x, one)
+
+    d = d.select(*keep, F.explode(_let(F.col("shots"), linked)).alias("x"))
+    return d.select(*keep, "x.shot.*", "x.next_terminal", "x.prev_letter", "x.prev_direction", "x.prev_depth", "x.prev_is_serve")
 
 
 def aggressive(shots: DataFrame) -> DataFrame:
