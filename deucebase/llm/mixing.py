@@ -87,9 +87,13 @@ def landing(p: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 def walk(p: np.ndarray, size: np.ndarray, rng: np.random.Generator, last: bool, tail: int = 12) -> np.ndarray:
-    """One block, largest sizes first. The last block of a source keeps its ``tail`` smallest units for the landing."""
-    cut = max(0, len(p) - tail) if last else len(p)
-    p = np.concatenate([flight(p[:cut], size[:cut], rng), p[cut:]])
+    """One block, largest sizes first. The last block of a source keeps ``tail`` units, spread evenly over the smaller half
+    of its sizes, for the landing: their sums are dense around any miss that the two open units leave. Other blocks hand
+    four such units up, so that the last one has enough of them."""
+    held = np.unique(np.linspace(len(p) // 2, len(p) - 1, tail if last else 4).astype(int)) if len(p) else np.zeros(0, int)
+    rest = np.setdiff1d(np.arange(len(p)), held)
+    p = p.astype(float)
+    p[rest] = flight(p[rest], size[rest], rng)
     return landing(p, size) if last else p
 
 
@@ -107,9 +111,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
 
     A source at target t takes each of its documents t / size times on average: the whole part always, the rest
     by balanced sampling with equal probabilities. The flight phase runs in blocks of about ``block`` documents
-    of one source; the at most two documents that each leaves open meet in blocks of the next level, until one
-    block a source is left. Its smallest dozen units and the two that stay open are the landing problem, solved by
-    trying every way, so a source's total misses its target by a part of a small document.
+    of one source; the at most six documents that each leaves open meet in blocks of the next level, until one
+    block a source is left. A dozen of its units and the two that stay open are the landing problem, solved by trying
+    every way, so a source's total misses its target by a part of a small document.
 
     Blocks follow a hash of doc_id and size and every block has its own seeded generator, so reruns agree on any
     cluster. A source with a third of all rows is just more blocks. Null or empty text: size 0, taken 0. A null
@@ -133,7 +137,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
         done.append(out.where("NOT is_open"))
         if last:
             break
-        blocks = -(-blocks // (block // 2))
+        blocks = -(-blocks // (block // 6))
         units = out.where("is_open").drop("is_open").withColumn("block", F.pmod(F.xxhash64(F.lit(seed + 1), "unit"), F.lit(blocks)))
     rows = done[0]
     for d in done[1:]:
