@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Events by level.
 SLAMS = ("australian open", "roland garros", "french open", "wimbledon", "us open")
@@ -49,7 +50,7 @@ def fold_name(name: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(s, r"[^a-z ]", " "), r"\s+", " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def normalize_name(s: pd.Series) -> pd.Series:
     """Like :func:`fold_name`, with accents stripped first (Spark has no Unicode decomposition)."""
     plain = s.fillna("").map(lambda t: "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)).lower())

@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
 
@@ -48,12 +49,12 @@ def upper_tail(k: int, n: int, p: float) -> float:
     return min(1.0, total)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def binom_tail(k: pd.Series, n: pd.Series, p: pd.Series) -> pd.Series:
     return pd.Series([upper_tail(int(a), int(b), float(c)) for a, b, c in zip(k, n, p, strict=True)])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def fisher_two_sided(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
     """Exact 2x2 test: tables as unlikely as the given one, or more."""
 
@@ -67,6 +68,6 @@ def fisher_two_sided(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) ->
     return pd.Series([one(*map(int, x)) for x in zip(a, b, c, d, strict=True)])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def norm_sf(z: pd.Series) -> pd.Series:
     return z.map(lambda x: 0.5 * math.erfc(x / math.sqrt(2)))

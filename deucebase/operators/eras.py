@@ -1,0 +1,76 @@
+"""Player fingerprints, their change over a career, and clusters of styles."""
+
+from __future__ import annotations
+
+import zlib
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from deucebase.functions.notation import shot_table, stroke_kind
+
+RATES = ["net", "slice", "winner", "unforced", "forehand", "deep", "rally"]
+
+
+def fingerprints(points: DataFrame, by: tuple[str, ...] = ("gender", "player", "year"), min_shots: int = 50) -> DataFrame:
+    """Style rates per group over the strokes (serves left out), and how many strokes they rest on."""
+    s = shot_table(points, ("match_id", "pt", "gender", "player1", "player2", "year", "server", "parse_ok", "rally_len")).where("parse_ok AND NOT is_serve")
+    s = s.withColumn("player", F.when(F.col("hitter") == 1, F.col("player1")).otherwise(F.col("player2"))).withColumn("kind", stroke_kind(F.col("letter"), F.lit(False)))
+    rate = lambda c: F.avg(F.coalesce(c, F.lit(False)).cast("double"))
+    g = s.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"), rate(F.col("kind") == "net").alias("net"), rate(F.col("kind") == "slice").alias("slice"), rate(F.col("terminal") == "*").alias("winner"),
+        rate(F.col("terminal") == "@").alias("unforced"), rate(F.col("side") == "FH").alias("forehand"), rate(F.col("depth") == "9").alias("deep"), F.avg("rally_len").alias("rally"),
+    )
+    return g.where(F.col("n") >= min_shots)
+
+
+def standardized(df: DataFrame, features: list[str] = RATES, by: tuple[str, ...] = ("gender",)) -> DataFrame:
+    w = Window.partitionBy(*by)
+    z = {f: F.coalesce(F.try_divide(F.col(f) - F.avg(f).over(w), F.stddev_pop(f).over(w)), F.lit(0.0)) for f in features}
+    return df.withColumns(z)
+
+
+def career_eras(years: DataFrame, draws: int = 200, ratio: float = 1.5) -> DataFrame:
+    """(gender, player, era, year_start, year_end, gap, null_gap): a career splits at half its strokes where the gap between
+    the halves' mean fingerprints is ``ratio`` times what random halves of the same years show. One player's years are a
+    bounded group."""
+
+    def one(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("year")
+        x, n, y = g[RATES].to_numpy(), g["n"].to_numpy(float), g["year"].to_numpy()
+        half = np.cumsum(n) - n / 2 <= n.sum() / 2
+        mean = lambda m: (x[m] * n[m, None]).sum(0) / n[m].sum()
+        gap = null = 0.0
+        if len(g) >= 4 and half.any() and not half.all():
+            gap = float(np.linalg.norm(mean(half) - mean(~half)))
+            rng = np.random.default_rng(zlib.crc32(g["player"].iloc[0].encode()))
+            null = float(np.mean([np.linalg.norm(mean(m) - mean(~m)) for m in (rng.permutation(half) for _ in range(draws))]))
+        parts = [half, ~half] if null and gap > ratio * null else [np.ones(len(g), bool)]
+        return pd.DataFrame([(g["gender"].iloc[0], g["player"].iloc[0], k + 1, int(y[m].min()), int(y[m].max()), gap, null) for k, m in enumerate(parts)], columns=["gender", "player", "era", "year_start", "year_end", "gap", "null_gap"])
+
+    return standardized(years).groupBy("gender", "player").applyInPandas(one, "gender string, player string, era int, year_start int, year_end int, gap double, null_gap double")
+
+
+def style_clusters(prints: DataFrame, k: int = 4, seed: int = 1) -> DataFrame:
+    """k-means over standardized fingerprints: cluster, two principal components."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.feature import PCA, VectorAssembler
+
+    v = VectorAssembler(inputCols=RATES, outputCol="v").transform(standardized(prints))
+    c = KMeans(k=k, seed=seed, featuresCol="v", predictionCol="cluster").fit(v).transform(v)
+    p = PCA(k=2, inputCol="v", outputCol="pc").fit(c).transform(c)
+    from pyspark.ml.functions import vector_to_array
+
+    a = vector_to_array("pc")
+    return p.select("gender", "player", "n", "cluster", a[0].alias("pc1"), a[1].alias("pc2"))
+
+
+def nearest_styles(prints: DataFrame) -> DataFrame:
+    """Each player's nearest other of the same gender, by distance of standardized fingerprints; ties by name."""
+    z = standardized(prints).select("gender", "player", F.array(*RATES).alias("v"))
+    a, b = z.select("gender", F.col("player").alias("a"), F.col("v").alias("x")), z.select("gender", F.col("player").alias("b"), F.col("v").alias("y"))
+    d = F.sqrt(F.aggregate(F.zip_with("x", "y", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, t: s + t))
+    return a.join(b, "gender").where("a <> b").groupBy("gender", "a").agg(F.min(F.struct(d.alias("d"), "b")).alias("m")).select("gender", F.col("a").alias("player"), F.col("m.b").alias("nearest"), F.col("m.d").alias("distance"))

@@ -1 +1,57 @@
+"""Fingerprints, eras, clusters and match win probability."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from deucebase.operators import eras, matchwp, strength
+from deucebase.plans import sql
+from deucebase.plans.registry import query
+from deucebase.sources.adapter import matches, points
+
+_FP = f"""{sql.SHOTS}, fp AS (SELECT gender, player, count(*) AS n, avg((letter IN ('v', 'z', 'o', 'p', 'u', 'y'))::INT) AS net, avg((letter IN ('r', 's'))::INT) AS slice, avg((coalesce(terminal, '') = '*')::INT) AS winner,
+ avg((coalesce(terminal, '') = '@')::INT) AS unforced, avg((side = 'FH')::INT) AS forehand, avg((coalesce(depth, '') = '9')::INT) AS deep, avg(rally_len) AS rally FROM shots WHERE parse_ok AND NOT is_serve GROUP BY 1, 2 HAVING count(*) >= 50)"""
+
+
+@query("SELECT gender, player, n, round(net, 6) AS net, round(slice, 6) AS slice, round(winner, 6) AS winner, round(unforced, 6) AS unforced, round(forehand, 6) AS forehand, round(deep, 6) AS deep, round(rally, 6) AS rally FROM fp", _FP)
+def style_fingerprints(spark, d):
+    f = eras.fingerprints(points(spark, d), ("gender", "player"))
+    return f.select("gender", "player", "n", *[F.round(c, 6).alias(c) for c in eras.RATES])
+
+
+@query(_Z := "SELECT gender, player, " + ", ".join(f"round(coalesce(({c} - avg({c}) OVER w) / nullif(stddev_pop({c}) OVER w, 0), 0), 6) + 0.0 AS {c}" for c in eras.RATES) + " FROM fp WINDOW w AS (PARTITION BY gender)", _FP)
+def standardized_styles(spark, d):
+    z = eras.standardized(eras.fingerprints(points(spark, d), ("gender", "player")))
+    return z.select("gender", "player", *[(F.round(c, 6) + 0.0).alias(c) for c in eras.RATES])
+
+
+@query()
+def career_eras(spark, d):
+    return eras.career_eras(eras.fingerprints(points(spark, d), min_shots=20))
+
+
+@query()
+def style_clusters(spark, d):
+    return eras.style_clusters(eras.fingerprints(points(spark, d), ("gender", "player")))
+
+
+@query()
+def nearest_styles(spark, d):
+    return eras.nearest_styles(eras.fingerprints(points(spark, d), ("gender", "player")))
+
+
+@query()
+def match_win_probability(spark, d):
+    """Every valid point's score with player 1's chance and the point's leverage, from both players' serve strengths."""
+    p = strength.valid_points(points(spark, d)).join(matches(spark, d).select("match_id", "best_of"), "match_id")
+    s = strength.current_strength(points(spark, d)).select("gender", "player", "serve_rate")
+    for k in (1, 2):
+        p = p.join(s.select("gender", F.col("player").alias(f"player{k}"), F.col("serve_rate").alias(f"p{k}")), ["gender", f"player{k}"])
+    done = lambda c: F.coalesce(*[F.when(c == t, v) for t, v in (("0", 0), ("15", 1), ("30", 2), ("40", 3), ("AD", 4))])
+    t = F.split("pts", "-")
+    mine, other = done(F.get(t, F.lit(0))), done(F.get(t, F.lit(1)))
+    p = p.withColumn("serves", F.col("svr") == 1).withColumn("a", F.when(F.col("serves"), mine).otherwise(other)).withColumn("b", F.when(F.col("serves"), other).otherwise(mine))
+    need = F.floor(F.col("best_of") / 2)
+    p = p.where("a IS NOT NULL AND b IS NOT NULL AND NOT (gm1 = 6 AND gm2 = 6)").where((F.col("set1") <= need) & (F.col("set2") <= need))
+    p = p.select("match_id", "pt", "p1", "p2", F.col("set1").alias("s1"), F.col("set2").alias("s2"), F.col("gm1").alias("g1"), F.col("gm2").alias("g2"), "a", "b", "serves", F.col("best_of").cast("int").alias("best_of"))
+    return matchwp.with_match_wp(p)

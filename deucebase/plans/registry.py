@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from deucebase.sources.adapter import CTES
 
-MODULES = ("reporting", "shots", "players", "value", "sequences", "series", "relational", "entities", "live")
+MODULES = ("reporting", "shots", "value", "sequences", "series", "relational", "entities", "live")
 _FOUND: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 
