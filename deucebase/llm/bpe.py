@@ -10,7 +10,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from deucebase.llm.common import short_batches
+from deucebase.llm.common import released, short_batches
 
 #: A lone space between two characters that are not white space: pieces of the pre-tokenizer never reach across it.
 UNIT = re.compile(r"(?<=\S) (?=\S)")
@@ -166,7 +166,7 @@ def encode(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id
             ids = [bpe.encode(t or "") for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
-    return docs.selectExpr(f"CAST(`{id_col}` AS bigint) AS doc_id", f"`{text_col}` AS text").mapInArrow(run, "doc_id bigint, ids array<int>")
+    return docs.selectExpr(f"CAST(`{id_col}` AS bigint) AS doc_id", f"`{text_col}` AS text").mapInArrow(released(run), "doc_id bigint, ids array<int>")
 
 
 def decode(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
@@ -180,7 +180,7 @@ def decode(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
             text = [bpe.decode(i or []) for i in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(text, pa.string())], names=["doc_id", "ids", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, ids array<int>, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(released(run), "doc_id bigint, ids array<int>, text string")
 
 
 def token_report(docs: DataFrame, vocabulary: str | None = None, **cols: str) -> DataFrame:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from deucebase.llm.common import short_batches
+from deucebase.llm.common import released, short_batches
 
 # The template's control strings.
 MARKS = {"user": ("[INST]", "[/INST]"), "system": ("<<SYS>>", "<</SYS>>"), "assistant": ("<s>", "</s>")}
@@ -104,7 +104,7 @@ def format_chats(conversations: DataFrame) -> DataFrame:
     short_batches(conversations.sparkSession, 2000)
     c = conversations.select(F.col("conv_id").cast("bigint").alias("conv_id"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), "turn")
     rows = c.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
-    return rows.mapInArrow(_expand, _DDL)
+    return rows.mapInArrow(released(_expand), _DDL)
 
 
 _READ = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()), ("n_examples", pa.int64())])
@@ -147,4 +147,4 @@ def read_back(examples: DataFrame) -> DataFrame:
 
     ``examples`` are as :func:`format_chats` gives them: a conversation's stand together, in order.
     """
-    return examples.mapInArrow(_read, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint, n_examples bigint")
+    return examples.mapInArrow(released(_read), "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint, n_examples bigint")

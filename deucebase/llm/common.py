@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Arrow batches of documents are kept short, so that a batch of long texts stays small.
-DOC_BATCH = 512
+DOC_BATCH = 128
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -36,6 +39,25 @@ def short_batches(spark: SparkSession, rows: int = DOC_BATCH) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def give_back() -> None:
+    """Called by a worker that has ended a task: memory that is free goes back to the system, as workers are used again."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def released(run):
+    """``run`` over the batches of a task, then :func:`give_back`."""
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return whole
+
+
 def ranked(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """``df`` with a dense 0-based bigint rank by ``order``, written and read back.
 

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from deucebase.llm.common import short_batches
+from deucebase.llm.common import released, short_batches
 
 TOKEN = re.compile(r"<!--|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>")
 ATTR = re.compile(r"\b(?:class|id|role|aria-label|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -419,4 +419,4 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
             yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "text", "n_chars", "n_blocks"])
 
     rows = pages.selectExpr(f"CAST(`{id_col}` AS bigint) AS page_id", f"CAST(`{url_col}` AS string) AS url", f"`{html_col}` AS html")
-    return rows.mapInArrow(run, "page_id bigint, url string, text string, n_chars bigint, n_blocks bigint")
+    return rows.mapInArrow(released(run), "page_id bigint, url string, text string, n_chars bigint, n_blocks bigint")

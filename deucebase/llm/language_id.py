@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from deucebase.llm.common import short_batches
+from deucebase.llm.common import released, short_batches
 
 #: Symbols of the automata: 0 is anything that is not a letter, 1 a letter the samples have too rarely.
 ALPHABET = 48
@@ -196,7 +196,7 @@ def identify(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id"
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(released(run), "doc_id bigint, held_out boolean, lang_pred string, score double")
 
 
 def keep_known(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -212,4 +212,4 @@ def keep_known(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             columns = [pa.array(found, pa.string()) if i == to else c for i, c in enumerate(b.columns)]
             yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array([x != "und" for x in found]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from deucebase.llm.common import save, short_batches
+from deucebase.llm.common import released, save, short_batches
 
 OFFSETS = (-2, -1, 1, 2)
 _CHUNK = 8192
@@ -66,7 +66,7 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
         if c:
             yield out()
 
-    return docs.select(text_col).mapInArrow(run, "word binary, h bigint, n bigint").groupBy("word", "h").agg(F.sum("n").alias("n"))
+    return docs.select(text_col).mapInArrow(released(run), "word binary, h bigint, n bigint").groupBy("word", "h").agg(F.sum("n").alias("n"))
 
 
 def build_vocabulary(counts: DataFrame, size: int = 4096, buckets: int = 512, n_classes: int = 64) -> Vocabulary:
@@ -237,16 +237,16 @@ def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             ids = [words.value.encode(tokens_of(t)).tobytes() for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
-    coded = save(rows.mapInArrow(run, "doc_id bigint, ids binary"))
+    coded = save(rows.mapInArrow(released(run), "doc_id bigint, ids binary"))
     shards = max(1, -(-coded.count() // shard_docs))
     placed = coded.select(F.pmod(F.xxhash64(F.lit(17), "doc_id"), F.lit(shards)).alias("shard"), F.xxhash64(F.lit(18), "doc_id").alias("h"), "ids")
     flat = WindowNet(vocabulary.edge, vocabulary.n_classes, width).flat()
     for r in range(rounds):
         shared = spark.sparkContext.broadcast((vocabulary, flat, width))
         dealt = placed.repartition("shard").sortWithinPartitions("shard", "h", "ids").select("shard", "ids")
-        parts = dealt.mapInArrow(_train(shared, every, rate / (1 + r), batch, 16), "block int, shard bigint, weight double, params array<float>")
+        parts = dealt.mapInArrow(released(_train(shared, every, rate / (1 + r), batch, 16)), "block int, shard bigint, weight double, params array<float>")
         new = _averaged(parts, shards)
         flat = new if len(new) else flat
     shared = spark.sparkContext.broadcast((vocabulary, flat, width))
-    out = coded.mapInArrow(_scored(shared), "doc_id bigint, n_tokens bigint, log_likelihood double")
+    out = coded.mapInArrow(released(_scored(shared)), "doc_id bigint, n_tokens bigint, log_likelihood double")
     return out.withColumn("score", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")).otherwise(0.0))

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from deucebase.llm.common import components, save, short_batches
+from deucebase.llm.common import components, released, save, short_batches
 
 _M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 _FULL = 1024  # rows of a run that are compared in one group; longer runs go in pairs of blocks
@@ -27,7 +27,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 class _Words(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
+        if len(self) > 60_000:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word)
         return h
@@ -299,11 +299,11 @@ def join_similar(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, id_
     short_batches(spark)
     bands = Bands(num, den)
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    meta = save(rows.mapInArrow(_meta(n), "doc_id bigint, n_shingles bigint, key binary, sketch binary"))
+    meta = save(rows.mapInArrow(released(_meta(n)), "doc_id bigint, n_shingles bigint, key binary, sketch binary"))
     nodes = save(meta.where("key IS NOT NULL AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep")))
     reps = rows.join(nodes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    sigs = reps.mapInArrow(_signed(n, bands), "sig bigint, id bigint, n int")
-    runs = save(sigs.repartition("sig").sortWithinPartitions("sig", "id").mapInArrow(_runs, "sig bigint, id bigint, n int, hub bigint, hub_n int"))
+    sigs = reps.mapInArrow(released(_signed(n, bands)), "sig bigint, id bigint, n int")
+    runs = save(sigs.repartition("sig").sortWithinPartitions("sig", "id").mapInArrow(released(_runs), "sig bigint, id bigint, n int, hub bigint, hub_n int"))
     _free(spark)
 
     sketches = save(meta.where("key IS NOT NULL AND doc_id IS NOT NULL").join(nodes, "key").where("doc_id = rep").groupBy(F.col("doc_id").alias("id")).agg(F.max("sketch").alias("sketch")))
@@ -311,18 +311,18 @@ def join_similar(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, id_
     star = runs.where("id <> hub").where(fits).select(F.col("hub").alias("a"), F.col("id").alias("b"), "n", "hub_n").distinct()
     short_batches(spark, 2000)
     star = star.join(sketches.withColumnsRenamed({"id": "b", "sketch": "y"}), "b").join(sketches.withColumnsRenamed({"id": "a", "sketch": "x"}), "a")
-    star = save(star.select("a", "b", "n", "hub_n", "x", "y").mapInArrow(_hamming(bands), "a bigint, b bigint"))
+    star = save(star.select("a", "b", "n", "hub_n", "x", "y").mapInArrow(released(_hamming(bands)), "a bigint, b bigint"))
     _free(spark)
 
     def verified(pairs: DataFrame) -> DataFrame:
         ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
         short_batches(spark)
-        sets = save(rows.join(ids, "doc_id", "left_semi").mapInArrow(_sets(n), "id bigint, h array<bigint>"))
+        sets = save(rows.join(ids, "doc_id", "left_semi").mapInArrow(released(_sets(n)), "id bigint, h array<bigint>"))
         short_batches(spark, 128)
         x = sets.select(F.col("id").alias("a"), F.col("h").alias("x"))
         y = sets.select(F.col("id").alias("b"), F.col("h").alias("y"))
         both = pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y")
-        out = save(both.mapInArrow(_verify(num, den), "a bigint, b bigint"))
+        out = save(both.mapInArrow(released(_verify(num, den)), "a bigint, b bigint"))
         _free(spark)
         return out
 
@@ -340,7 +340,7 @@ def join_similar(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, id_
     group = F.xxhash64("sig", F.least("mine", "other"), F.greatest("mine", "other"))
     part = F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2)
     rest = rest.select(group.alias("g"), "id", "n", "component", "hub", part.alias("part"), "sketch")
-    rest = rest.repartition("g").sortWithinPartitions("g", "id").mapInArrow(_near(bands), "a bigint, b bigint").distinct()
+    rest = rest.repartition("g").sortWithinPartitions("g", "id").mapInArrow(released(_near(bands)), "a bigint, b bigint").distinct()
     rest = save(rest)
     final = comp
     if not rest.isEmpty():

@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from deucebase.llm.common import short_batches
+from deucebase.llm.common import released, short_batches
 
 SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 KINDS = ("assign", "access", "hex", "entropy")
@@ -95,7 +95,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(spans, SPANS)], names=["doc_id", "spans"])
 
     rows = docs.selectExpr(f"CAST(`{id_col}` AS bigint) AS doc_id", f"`{text_col}` AS text")
-    return rows.mapInArrow(run, "doc_id bigint, spans array<struct<kind: string, start: bigint, end: bigint>>")
+    return rows.mapInArrow(released(run), "doc_id bigint, spans array<struct<kind: string, start: bigint, end: bigint>>")
 
 
 def secret_report(docs: DataFrame, **cols: str) -> DataFrame:
