@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 SCOREBOARD = """events array<struct<id: string, name: string, major: boolean, date: string, endDate: string, venue: struct<displayName: string>,
  groupings: array<struct<grouping: struct<slug: string>, competitions: array<struct<id: string, date: string, round: struct<displayName: string>, status: struct<type: struct<state: string, shortDetail: string>>,
- competitors: array<struct<athlete: struct<displayName: string>, flag: struct<alt: string>, winner: boolean, linescores: array<struct<value: double>>>>>>>>>"""
+ competitors: array<struct<athlete: struct<displayName: string>, flag: struct<alt: string>, winner: boolean, linescores: array<struct<value: double>>>>>>>>>>"""
 
 
 def read_scoreboards(spark: SparkSession, path: str) -> DataFrame:
