@@ -109,17 +109,14 @@ def _parsed(raw: Column, server: Column, serve_in_play: Column, winner: Column)
     return steps
 
 
-PARSED = ["shots", "rally_len", "last_hitter", "ending_side", "ending_stroke", "ending_kind", "outcome", "winner_by_notation", "server_won", "parse_ok"]
-
-
 def decoded(points: DataFrame, first: str = "first_serve", second: str = "second_serve", svr: str = "svr", winner: str = "pt_winner") -> DataFrame:
     """``points`` with raw, serve_in_play, server, shots, rally_len, last_hitter, ending_*, outcome, winner_by_notation,
     server_won and parse_ok. A non-empty second serve is the one that is decoded; the charted winner decides who won."""
     ss, fs = F.trim(F.coalesce(F.col(second), F.lit(""))), F.trim(F.coalesce(F.col(first), F.lit("")))
     d = points.withColumn("serve_in_play", F.when(ss != "", 2).otherwise(1)).withColumn("raw", F.when(ss != "", ss).otherwise(fs))
     d = d.withColumn("server", F.when(F.col(svr).isin(1, 2), F.col(svr)).otherwise(1).cast("int"))
-    d = d.withColumn("_pt", _parsed(F.col("raw"), F.col("server"), F.col("serve_in_play"), F.col(winner)))
-    return d.select("*", *[F.col(f"_pt.{c}").alias(c) for c in PARSED]).drop("_pt")
+    # A generator of one row: filters and projections above it use its output and do not run the decoder again.
+    return d.select("*", F.inline(F.array(_parsed(F.col("raw"), F.col("server"), F.col("serve_in_play"), F.col(winner)))))
 
 
 FEATURES = ["match_id", "pt", "server", "serve_in_play", "rally_len", "last_hitter", "ending_side", "ending_stroke", "ending_kind", "outcome", "winner_by_notation", "server_won", "parse_ok"]
