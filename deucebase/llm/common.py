@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -58,6 +59,12 @@ def released(run):
     return whole
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Spark removes the files of shuffles that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def ranked(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """``df`` with a dense 0-based bigint rank by ``order``, written and read back.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -12,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from deucebase.llm.common import released, save, short_batches
+from deucebase.llm.common import free_shuffles, released, save, short_batches
 
 OFFSETS = (-2, -1, 1, 2)
 _CHUNK = 8192
@@ -26,7 +27,8 @@ def tokens_of(text: str | None) -> list[bytes]:
 class Vocabulary:
     """The most frequent words by name, all others by one of ``buckets`` hash buckets; then one id for the edge of a text.
 
-    Tokens of like frequency make classes of about equal mass; ``inside`` is log p(token | class) by corpus counts.
+    Tokens of like frequency make classes of about equal mass; ``inside`` is log p(token | class) by corpus counts. For
+    a bucket it is that of a word counted once: the log of a word's own count comes on top (:func:`own_logs`).
     """
 
     index: dict[bytes, int]
@@ -39,13 +41,22 @@ class Vocabulary:
     def edge(self) -> int:
         return len(self.index) + self.buckets
 
-    def encode(self, words: list[bytes]) -> np.ndarray:
-        get, n, b = self.index.get, len(self.index), self.buckets
-        return np.fromiter((i if (i := get(w)) is not None else n + xxhash.xxh32_intdigest(w) % b for w in words), np.uint16, len(words))
+    @property
+    def dtype(self) -> type:
+        return np.uint16 if self.edge < 1 << 16 else np.uint32
+
+    def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, and the hashes of those that are not named."""
+        get = self.index.get
+        ids = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+        other = np.flatnonzero(ids < 0)
+        tail = hashes([words[k] for k in other])
+        ids[other] = len(self.index) + tail % self.buckets
+        return ids.astype(self.dtype), tail
 
 
-def bucket_of(word: bytes, buckets: int) -> int:
-    return xxhash.xxh32_intdigest(word) % buckets
+def hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)).view(np.int64)
 
 
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -55,7 +66,7 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
         c: Counter = Counter()
 
         def out():
-            return pa.RecordBatch.from_arrays([pa.array(list(c), pa.binary()), pa.array([xxhash.xxh32_intdigest(w) for w in c], pa.int64()), pa.array(list(c.values()), pa.int64())], names=["word", "h", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(list(c), pa.binary()), pa.array(hashes(list(c))), pa.array(list(c.values()), pa.int64())], names=["word", "h", "n"])
 
         for b in batches:
             for t in b.column(0).to_pylist():
@@ -70,22 +81,37 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def build_vocabulary(counts: DataFrame, size: int = 4096, buckets: int = 512, n_classes: int = 64) -> Vocabulary:
-    """At most ``size`` words and ``buckets`` sums reach the driver."""
-    top = sorted(((bytes(r[0]), r[1]) for r in counts.orderBy(F.desc("n"), "word").limit(size).select("word", "n").collect()), key=lambda x: (-x[1], x[0]))
+    """Names for the ``size`` most frequent words or, where that is more, for four times the square root of the number of
+    different words; ``buckets`` grow alike. Only these words, the bucket sums and the counts of counts reach the driver."""
+    often = sorted(((r[0], r[1]) for r in counts.groupBy("n").count().collect()), reverse=True)
+    names = max(size, math.ceil(4 * math.sqrt(sum(k for _, k in often))))
+    buckets = buckets * names // size
+    least, held = 0, 0
+    for least, k in often:  # the count of the last word with a name
+        held += k
+        if held >= names:
+            break
+    top = sorted(((bytes(r[0]), r[1]) for r in counts.where(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(names).select("word", "n").collect()), key=lambda x: (-x[1], x[0]))
     mass = np.zeros(len(top) + buckets)
     mass[: len(top)] = [n for _, n in top]
-    for b, n in counts.groupBy((F.col("h") % buckets).alias("b")).agg(F.sum("n").alias("n")).collect():
+    for b, n in counts.groupBy(F.pmod("h", F.lit(buckets)).alias("b")).agg(F.sum("n").alias("n")).collect():
         mass[len(top) + b] = n
-    for w, n in top:
-        mass[len(top) + bucket_of(w, buckets)] -= n
+    np.subtract.at(mass, len(top) + hashes([w for w, _ in top]) % buckets, mass[: len(top)])
     mass = np.maximum(mass, 0) + 0.5
     order = np.argsort(-mass, kind="stable")
     klass = np.zeros(len(mass), np.int64)
     klass[order] = np.minimum((np.cumsum(mass[order]) - mass[order] / 2) / mass.sum() * n_classes, n_classes - 1).astype(np.int64)
     total = np.bincount(klass, mass, n_classes)
+    mass[len(top) :] = 1
     return Vocabulary({w: i for i, (w, _) in enumerate(top)}, buckets, klass, np.log(mass / total[klass]).astype(np.float32), n_classes)
 
 
+def own_logs(coded: DataFrame, counts: DataFrame) -> DataFrame:
+    """(row, own): the sum of log count over a text's words without a name; rows where it is 0 may be missing."""
+    many = counts.where("n > 1").select("h", "n").hint("shuffle_hash")
+    return coded.select("row", F.explode("tail").alias("h")).join(many, "h").groupBy("row").agg(F.sum(F.log("n")).alias("own"))
+
+
 class WindowNet:
     """Embeddings per offset, summed, through tanh, to a softmax over the classes of the token in the middle."""
 
@@ -160,7 +186,7 @@ def _train(shared, every: int, rate: float, batch: int, blocks: int):
                         yield out()
                     net.load(flat)
                     shard, seen, contexts, targets, held = s, 0, [], [], 0
-                ids = np.frombuffer(raw, np.uint16)
+                ids = np.frombuffer(raw, vocabulary.dtype)
                 masked = np.arange((len(ids) * 7 + s) % every, len(ids), every)
                 contexts.append(_windows(ids, vocabulary.edge)[masked])
                 targets.append(vocabulary.klass[ids[masked]])
@@ -200,8 +226,8 @@ def _scored(shared):
         net = WindowNet(vocabulary.edge, vocabulary.n_classes, width).load(flat)
         for b in batches:
             size, total = [], []
-            for raw in b.column(1).to_pylist():
-                ids = np.frombuffer(raw, np.uint16)
+            for raw in b.column(2).to_pylist():
+                ids = np.frombuffer(raw, vocabulary.dtype)
                 c, s = _windows(ids, vocabulary.edge), 0.0
                 for k in range(0, len(ids), _CHUNK):
                     i = ids[k : k + _CHUNK]
@@ -209,7 +235,7 @@ def _scored(shared):
                     s += float((z[np.arange(len(i)), vocabulary.klass[i]] + vocabulary.inside[i]).sum(dtype=np.float64))
                 size.append(len(ids))
                 total.append(s)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(total, pa.float64())], names=["doc_id", "n_tokens", "log_likelihood"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(size, pa.int64()), pa.array(total, pa.float64())], names=["row", "doc_id", "n_tokens", "log_likelihood"])
 
     return run
 
@@ -219,7 +245,10 @@ def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     log_likelihood is the sum over all tokens of log p(token | the two tokens on either side); score is its mean a
     token, 0 for a text without tokens (null, empty, white space). The network learns from the corpus itself: word
-    counts over all texts give the vocabulary; in each round every shard of about ``shard_docs`` documents trains the
+    counts over all texts stay in a table and are joined in for p(token | class) of each word by its own count (words
+    meet there by 64-bit hash); the most frequent give the network's vocabulary, at least ``size`` words and ``buckets``
+    buckets, which grow with the number of different words. In each round every shard of about ``shard_docs`` documents
+    (more as the vocabulary grows) trains the
     network on every ``every``-th token of each of its texts, masked, and the shards' parameters are averaged by
     tokens. Shards go by a hash of the id, so the result does not hang on partitions, and a hot source is spread out.
 
@@ -234,11 +263,15 @@ def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = [words.value.encode(tokens_of(t)).tobytes() for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
-
-    coded = save(rows.mapInArrow(released(run), "doc_id bigint, ids binary"))
-    shards = max(1, -(-coded.count() // shard_docs))
+            both = [words.value.encode(tokens_of(t)) for t in b.column(1).to_pylist()]
+            ids, tail = pa.array([x.tobytes() for x, _ in both], pa.binary()), pa.array([x for _, x in both], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(2), b.column(0), ids, tail], names=["row", "doc_id", "ids", "tail"])
+
+    coded = save(rows.withColumn("row", F.monotonically_increasing_id()).mapInArrow(released(run), "row bigint, doc_id bigint, ids binary, tail array<bigint>"))
+    own = save(own_logs(coded, counts))
+    free_shuffles(spark)
+    # Each shard writes all parameters: shards grow with the vocabulary, so that what they write keeps pace with the input.
+    shards = max(1, -(-coded.count() // (shard_docs * max(size + buckets, vocabulary.edge) // (size + buckets))))
     placed = coded.select(F.pmod(F.xxhash64(F.lit(17), "doc_id"), F.lit(shards)).alias("shard"), F.xxhash64(F.lit(18), "doc_id").alias("h"), "ids")
     flat = WindowNet(vocabulary.edge, vocabulary.n_classes, width).flat()
     for r in range(rounds):
@@ -248,5 +281,6 @@ def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         new = _averaged(parts, shards)
         flat = new if len(new) else flat
     shared = spark.sparkContext.broadcast((vocabulary, flat, width))
-    out = coded.mapInArrow(released(_scored(shared)), "doc_id bigint, n_tokens bigint, log_likelihood double")
+    out = coded.select("row", "doc_id", "ids").mapInArrow(released(_scored(shared)), "row bigint, doc_id bigint, n_tokens bigint, log_likelihood double")
+    out = out.join(own, "row", "left").select("doc_id", "n_tokens", (F.col("log_likelihood") + F.coalesce("own", F.lit(0.0))).alias("log_likelihood"))
     return out.withColumn("score", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")).otherwise(0.0))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import blake2b
@@ -13,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from deucebase.llm.common import components, released, save, short_batches
+from deucebase.llm.common import components, free_shuffles, released, save, short_batches
 
 _M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 _FULL = 1024  # rows of a run that are compared in one group; longer runs go in pairs of blocks
@@ -273,12 +272,6 @@ def _near(bands: Bands):
     return run
 
 
-def _free(spark) -> None:
-    """Spark removes the files of shuffles that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def join_similar(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Groups of documents whose sets of ``n``-word shingles have Jaccard similarity num / den or more.
 
@@ -304,7 +297,7 @@ def join_similar(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, id_
     reps = rows.join(nodes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
     sigs = reps.mapInArrow(released(_signed(n, bands)), "sig bigint, id bigint, n int")
     runs = save(sigs.repartition("sig").sortWithinPartitions("sig", "id").mapInArrow(released(_runs), "sig bigint, id bigint, n int, hub bigint, hub_n int"))
-    _free(spark)
+    free_shuffles(spark)
 
     sketches = save(meta.where("key IS NOT NULL AND doc_id IS NOT NULL").join(nodes, "key").where("doc_id = rep").groupBy(F.col("doc_id").alias("id")).agg(F.max("sketch").alias("sketch")))
     fits = f"{den}L * least(n, hub_n) >= {num}L * greatest(n, hub_n)"
@@ -312,7 +305,7 @@ def join_similar(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, id_
     short_batches(spark, 2000)
     star = star.join(sketches.withColumnsRenamed({"id": "b", "sketch": "y"}), "b").join(sketches.withColumnsRenamed({"id": "a", "sketch": "x"}), "a")
     star = save(star.select("a", "b", "n", "hub_n", "x", "y").mapInArrow(released(_hamming(bands)), "a bigint, b bigint"))
-    _free(spark)
+    free_shuffles(spark)
 
     def verified(pairs: DataFrame) -> DataFrame:
         ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
@@ -323,7 +316,7 @@ def join_similar(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, id_
         y = sets.select(F.col("id").alias("b"), F.col("h").alias("y"))
         both = pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y")
         out = save(both.mapInArrow(released(_verify(num, den)), "a bigint, b bigint"))
-        _free(spark)
+        free_shuffles(spark)
         return out
 
     links = verified(star)

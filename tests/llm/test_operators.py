@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from deucebase.llm import bpe, chat_format, embedding_dedup, exact_dedup, html_extract, language_id, lm_score, mixing, ngram_join, secrets
 from deucebase.llm.common import components
@@ -350,6 +351,17 @@ def test_pseudo_likelihood_learns(spark, odd, none):
     assert lm_score.pseudo_likelihood(none).count() == 0
 
 
+def test_pseudo_likelihood_counts_every_word(spark):
+    common = [f"c{k}" for k in range(80)]
+    texts = [" ".join(common) for _ in range(60)] + [f"c1 c2 rare c3 c4 n{k}" for k in range(40)] + ["c1 c2 rare c3", "c1 c2 noise c3"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x["doc_id"]: x["log_likelihood"] for x in collect(lm_score.pseudo_likelihood(df, rounds=0, size=80, buckets=1))}
+    assert abs(got[100] - got[101] - np.log(41)) < 1e-4  # both words are of the one bucket; their own counts are 41 and 1
+    many = spark.range(90_000).select(F.encode(F.col("id").cast("string"), "utf-8").alias("word"), F.col("id").alias("h"), F.lit(1).alias("n"))
+    v = lm_score.build_vocabulary(many, size=16, buckets=4)
+    assert len(v.index) == 1200 and v.buckets == 300
+
+
 # --- 10 BPE
 
 
