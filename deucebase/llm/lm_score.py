@@ -149,19 +149,29 @@ class WindowNet:
         self.w -= rate / len(target) * (h.T @ g)
         self.b -= rate / len(target) * g.sum(0)
         gh *= -rate / 20  # embeddings are touched rarely; their steps are not averaged over the batch
-        for k in range(len(OFFSETS)):
-            np.add.at(self.e[k], context[:, k], gh)
+        width = gh.shape[1]
+        for k in range(len(OFFSETS)):  # flat: add.at is several times faster on one dimension
+            np.add.at(self.e[k].reshape(-1), (context[:, k, None] * width + np.arange(width)).ravel(), gh.ravel())
 
 
-def _windows(ids: np.ndarray, edge: int) -> np.ndarray:
-    """Rows: what stands at each of OFFSETS around every token."""
+def _masked(n: int, shard: int, every: int, turn: int, rounds: int) -> np.ndarray:
+    """Positions in a text of ``n`` tokens that are targets in round ``turn``: over ``rounds`` rounds each at least once."""
+    mine = np.zeros(every, bool)
+    mine[turn % every :: rounds] = True
+    return np.flatnonzero(mine[(np.arange(n) + n * 7 + shard) % every])
+
+
+def _windows(ids: np.ndarray, edge: int, at: np.ndarray | None = None) -> np.ndarray:
+    """Rows: what stands at each of OFFSETS around every token, or around those at ``at``."""
     reach = max(OFFSETS)
     padded = np.full(len(ids) + 2 * reach, edge, np.int64)
     padded[reach : reach + len(ids)] = ids
+    if at is not None:
+        return np.column_stack([padded[reach + o + at] for o in OFFSETS])
     return np.column_stack([padded[reach + o : reach + o + len(ids)] for o in OFFSETS])
 
 
-def _train(shared, every: int, rate: float, batch: int, blocks: int):
+def _train(shared, every: int, turn: int, rounds: int, rate: float, batch: int, blocks: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, flat, width = shared.value
         net = WindowNet(vocabulary.edge, vocabulary.n_classes, width)
@@ -187,8 +197,8 @@ def _train(shared, every: int, rate: float, batch: int, blocks: int):
                     net.load(flat)
                     shard, seen, contexts, targets, held = s, 0, [], [], 0
                 ids = np.frombuffer(raw, vocabulary.dtype)
-                masked = np.arange((len(ids) * 7 + s) % every, len(ids), every)
-                contexts.append(_windows(ids, vocabulary.edge)[masked])
+                masked = _masked(len(ids), s, every, turn, rounds)
+                contexts.append(_windows(ids, vocabulary.edge, masked))
                 targets.append(vocabulary.klass[ids[masked]])
                 held += len(masked)
                 seen += len(masked)
@@ -248,9 +258,9 @@ def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     counts over all texts stay in a table and are joined in for p(token | class) of each word by its own count (words
     meet there by 64-bit hash); the most frequent give the network's vocabulary, at least ``size`` words and ``buckets``
     buckets, which grow with the number of different words. In each round every shard of about ``shard_docs`` documents
-    (more as the vocabulary grows) trains the
-    network on every ``every``-th token of each of its texts, masked, and the shards' parameters are averaged by
-    tokens. Shards go by a hash of the id, so the result does not hang on partitions, and a hot source is spread out.
+    (more as the vocabulary grows) trains the network on masked tokens of each of its texts, and the shards' parameters
+    are averaged by tokens. A text's positions are dealt into ``every`` residues and these over the ``rounds``, so that
+    every token of every text is learned from, once where ``rounds`` is at most ``every``. Shards go by a hash of the id, so the result does not hang on partitions, and a hot source is spread out.
 
     Repeated rows count each time. A null id is an id like any other. Other columns are not read.
     """
@@ -277,7 +287,7 @@ def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     for r in range(rounds):
         shared = spark.sparkContext.broadcast((vocabulary, flat, width))
         dealt = placed.repartition("shard").sortWithinPartitions("shard", "h", "ids").select("shard", "ids")
-        parts = dealt.mapInArrow(released(_train(shared, every, rate / (1 + r), batch, 16)), "block int, shard bigint, weight double, params array<float>")
+        parts = dealt.mapInArrow(released(_train(shared, every, r, rounds, rate / (1 + r), batch, 16)), "block int, shard bigint, weight double, params array<float>")
         new = _averaged(parts, shards)
         flat = new if len(new) else flat
     shared = spark.sparkContext.broadcast((vocabulary, flat, width))

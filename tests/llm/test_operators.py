@@ -362,6 +362,15 @@ def test_pseudo_likelihood_counts_every_word(spark):
     assert len(v.index) == 1200 and v.buckets == 300
 
 
+def test_pseudo_likelihood_learns_from_every_token(spark):
+    df = spark.createDataFrame([(i, "red green" if i % 2 else "blue yellow") for i in range(400)], "doc_id long, text string")
+    got, flat = ([x["score"] for x in collect(lm_score.pseudo_likelihood(df, rounds=k, batch=16))] for k in (2, 0))
+    assert min(got) > max(flat) + 0.3  # two tokens a text: none at the old stride's offset
+    for n, every, rounds in [(1, 8, 2), (2, 8, 2), (7, 8, 3), (100, 8, 2), (9, 3, 5), (30, 4, 4)]:
+        at = [p for r in range(rounds) for p in lm_score._masked(n, 5, every, r, rounds)]
+        assert set(at) == set(range(n)) and (rounds > every or len(at) == n)
+
+
 # --- 10 BPE
 
 
