@@ -16,6 +16,7 @@ from deucebase.llm.common import components, free_shuffles, released, save, shor
 
 _M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 _FULL = 1024  # rows of a run that are compared in one group; longer runs go in pairs of blocks
+_BLOCK = 256  # texts of a component whose links are counted in one group; larger components go in pairs of blocks
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -133,7 +134,7 @@ def _meta(n: int):
                 w = words_of(t)
                 h = shingle_set(w, n)
                 size.append(len(h))
-                key.append(blake2b(b" ".join(w), digest_size=16).digest() if w else None)
+                key.append(_key(w))
                 sketch.append(bit_sketch(h).tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(key, pa.binary()), pa.array(sketch, pa.binary())], names=["doc_id", "n_shingles", "key", "sketch"])
 
@@ -272,10 +273,70 @@ def _near(bands: Bands):
     return run
 
 
-def join_similar(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _key(words: list[bytes]) -> bytes | None:
+    return blake2b(b" ".join(words), digest_size=16).digest() if words else None
+
+
+def _linked(n: int, num: int, den: int):
+    """Of rows g, key, weight, part, text sorted by group and key: for each text the weight of those linked to it."""
+
+    def counts(rows):
+        key, weight, part, sets = zip(*rows, strict=True)
+        weight, part, size = np.array(weight), np.array(part), np.array(list(map(len, sets)))
+        values, code = np.unique(np.concatenate(sets), return_inverse=True)
+        start, mark, got = np.cumsum(size) - size, np.zeros(len(values), np.int64), np.zeros(len(key), np.int64)
+        for i in range(len(key)):
+            mine = code[start[i] : start[i] + size[i]]
+            mark[mine] = 1
+            both = np.add.reduceat(mark[code], start)
+            mark[mine] = 0
+            ok = den * both >= num * (size + size[i] - both)
+            ok &= part != part[i] if part.any() else np.arange(len(key)) != i
+            got[i] = weight[ok].sum()
+        return pa.RecordBatch.from_arrays([pa.array(key, pa.binary()), pa.array(got)], names=["key", "links"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, group = [], None
+        for b in batches:
+            for g, key, weight, part, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if g != group:
+                    if len(rows) > 1:
+                        yield counts(rows)
+                    rows, group = [], g
+                if rows and rows[-1][0] == key:
+                    continue
+                w = words_of(text)
+                if _key(w) == key:  # an id may have other texts
+                    rows.append((key, weight, part, shingle_set(w, n)))
+        if len(rows) > 1:
+            yield counts(rows)
+
+    return run
+
+
+def link_counts(rows: DataFrame, classes: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """(key, links): how many rows have another text that is linked to this one.
+
+    ``classes``: key, rep, component, weight. A link joins texts of one component, so all pairs of each are compared,
+    exactly. Components of over 256 texts go in pairs of blocks; none is cut.
+    """
+    sizes = classes.groupBy("component").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    units = classes.join(sizes, "component").withColumn("blocks", F.ceil(F.col("m") / _BLOCK).cast("int"))
+    units = units.withColumn("mine", F.pmod(F.xxhash64("key"), "blocks").cast("int"))
+    texts = rows.withColumnRenamed("doc_id", "rep").join(units, "rep")
+    texts = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    g = F.struct("component", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+    part = F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2)
+    texts = texts.select(F.concat_ws(" ", g["component"], g["i"], g["j"]).alias("g"), "key", "weight", part.alias("part"), "text")
+    found = texts.repartition("g").sortWithinPartitions("g", "key").mapInArrow(released(_linked(n, num, den)), "key binary, links bigint")
+    return found.groupBy("key").agg(F.sum("links").alias("links"))
+
+
+def join_similar(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text", links: bool = True) -> DataFrame:
     """Groups of documents whose sets of ``n``-word shingles have Jaccard similarity num / den or more.
 
-    One row per input row: doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included).
+    One row per input row: doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included) and,
+    with ``links``, n_links: to how many other rows it is linked, copies of its own text included.
 
     1. Documents with one and the same word sequence are one node, the one of the smallest id.
     2. Segments of parity sketches (see :func:`signatures`) are joined by value. In every run of one value each
@@ -283,6 +344,7 @@ def join_similar(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, id_
     3. What is left are pairs of different components in one run: their bit sketches' Hamming distance must not
        exceed the largest symmetric difference. Runs of over 1024 members are compared in pairs of blocks, none is cut.
     4. Every candidate is verified on the whole sets; components follow from verified links alone.
+    5. Links are counted by :func:`link_counts`, over all pairs of texts of a component.
 
     No cap on partners or candidates. Null or empty texts: size 0, no link, component is the own id. A null id links
     with nothing. Rows that share an id are one node; where their texts differ, one of them stands for it in the bit
@@ -319,8 +381,8 @@ def join_similar(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, id_
         free_shuffles(spark)
         return out
 
-    links = verified(star)
-    comp = components(links)
+    direct = verified(star)
+    comp = components(direct)
     spread = runs.join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = spread.groupBy("sig").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("c0"), F.max("component").alias("c1")).where("size > 2 AND c0 <> c1").select("sig", "size")
     short_batches(spark, 1000)
@@ -338,12 +400,19 @@ def join_similar(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, id_
     final = comp
     if not rest.isEmpty():
         more = verified(rest)
-        final = comp if more.isEmpty() else components(links.unionByName(more))
+        final = comp if more.isEmpty() else components(direct.unionByName(more))
     short_batches(spark)
-    placed = nodes.join(final.withColumnRenamed("id", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("component"))
-    out = meta.join(placed, "key", "left")
-    known = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "n_shingles", known.alias("component_id"))
+    placed = nodes.join(final.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
+    known = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")
+    if not links:
+        return meta.join(placed.drop("rep"), "key", "left").select("doc_id", "n_shingles", known)
+    weights = meta.where("key IS NOT NULL AND doc_id IS NOT NULL").groupBy("key").agg(F.count(F.lit(1)).alias("weight"))
+    classes = save(placed.join(weights, "key"))
+    counted = save(link_counts(rows, classes, n, num, den))
+    free_shuffles(spark)
+    out = meta.join(classes.drop("rep"), "key", "left").join(counted, "key", "left")
+    n_links = F.when(F.col("doc_id").isNotNull() & F.col("weight").isNotNull(), F.col("weight") - 1 + F.coalesce("links", F.lit(0))).otherwise(0)
+    return out.select("doc_id", "n_shingles", known, n_links.cast("bigint").alias("n_links"))
 
 
 def keep_one(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -351,6 +420,6 @@ def keep_one(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col:
 
     Documents without words are in no group and stay, and so do rows with a null id.
     """
-    groups = join_similar(docs, n, num, den, id_col, text_col)
+    groups = join_similar(docs, n, num, den, id_col, text_col, links=False)
     gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")

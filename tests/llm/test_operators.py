@@ -371,6 +371,22 @@ def test_pseudo_likelihood_learns_from_every_token(spark):
         assert set(at) == set(range(n)) and (rounds > every or len(at) == n)
 
 
+def test_ngram_join_counts_every_link(spark, odd):
+    r = random.Random(5)
+    base = [f"w{r.randrange(500)}" for _ in range(120)]
+    texts = []
+    for i in range(600):  # one group of near copies, over several blocks, and copies of some
+        w = list(base)
+        w[r.randrange(120)] = f"x{i}"
+        texts += [" ".join(w)] * (1 + (i % 50 == 0))
+    texts += [" ".join(f"z{r.randrange(300)}" for _ in range(60)) for _ in range(20)]
+    got = {x["doc_id"]: x["n_links"] for x in collect(ngram_join.join_similar(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))}
+    sets = [{tuple(t.split()[k : k + 4]) for k in range(len(t.split()) - 3)} for t in texts]
+    for i in [*range(0, len(texts), 40), len(texts) - 1]:
+        assert got[i] == sum(100 * len(sets[i] & y) >= 85 * len(sets[i] | y) for j, y in enumerate(sets) if j != i)
+    assert {x["n_links"] for x in collect(ngram_join.join_similar(odd)) if x["doc_id"] in (None, 1, 2, 3, 10)} == {0}
+
+
 # --- 10 BPE
 
 
