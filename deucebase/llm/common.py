@@ -17,9 +17,12 @@ DOC_BATCH = 128
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster (spark.checkpoint.dir); one of our own only where it is unset."""
+    """The shared folder of the cluster (spark.checkpoint.dir). A folder of our own is made only where that is unset and
+    the driver is the only machine (a local master); elsewhere a missing setting is an error."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is not set: intermediate tables need a folder that all executors share")
         base = spark.conf.get("deucebase.work.dir", None)
         if not base:
             base = "file://" + tempfile.mkdtemp(prefix="deucebase-")
@@ -32,7 +35,17 @@ def save(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{work_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._saved_at = path
+    return out
+
+
+def remove(*tables: DataFrame) -> None:
+    """Delete tables of :func:`save` that nothing reads any more."""
+    for t in tables:
+        jvm = t.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(t._saved_at)
+        path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def short_batches(spark: SparkSession, rows: int = DOC_BATCH) -> None:

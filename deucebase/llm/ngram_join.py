@@ -12,11 +12,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from deucebase.llm.common import components, free_shuffles, released, save, short_batches
+from deucebase.llm.common import components, released, remove, save, short_batches
 
 _M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
-_FULL = 1024  # rows of a run that are compared in one group; longer runs go in pairs of blocks
-_BLOCK = 256  # texts of a component whose links are counted in one group; larger components go in pairs of blocks
+_FULL = 1024  # members of a run that are compared in one group; longer runs go in pairs of chunks
+_SHINGLES, _TEXTS = 1 << 18, 4096  # of a block of texts that are compared exactly; larger components go in pairs of blocks
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -107,9 +107,9 @@ def signatures(h: np.ndarray, bands: Bands) -> np.ndarray:
 
 
 def bit_sketch(h: np.ndarray) -> np.ndarray:
-    """Parity sketch: each shingle flips one bit. Its length, a power of two, is four bits a shingle up to 1024; a longer
+    """Parity sketch: each shingle flips one bit. Its length, a power of two, is two bits a shingle, 128 to 16384; a longer
     sketch folds to a shorter one by XOR of its halves. The Hamming distance never exceeds the symmetric difference."""
-    m = max(256, 1 << min(10, int(4 * len(h) - 1).bit_length()))
+    m = max(128, 1 << min(14, int(2 * len(h) - 1).bit_length()))
     bit = mix64(h + _M1) & np.uint64(m - 1)
     odd = np.flatnonzero(np.bincount(bit.astype(np.int64), minlength=m) & 1)
     out = np.zeros(m, np.uint8)
@@ -126,300 +126,315 @@ def _fold(s: np.ndarray, words: int) -> np.ndarray:
 # --- what runs in the workers
 
 
-def _meta(n: int):
+def _node(words: list[bytes]) -> int | None:
+    """64-bit name of a word sequence; none for no words."""
+    return int.from_bytes(blake2b(b" ".join(words), digest_size=8).digest(), "little", signed=True) if words else None
+
+
+def _first(n: int, bands: Bands):
+    """Of rows doc_id, text_hash, text: what one reading of a text gives. A null id is no node."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            size, key, sketch = [], [], []
-            for t in b.column(1).to_pylist():
+            size, node, sketch, sigs = [], [], [], []
+            for i, t in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
                 w = words_of(t)
                 h = shingle_set(w, n)
                 size.append(len(h))
-                key.append(_key(w))
-                sketch.append(bit_sketch(h).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(key, pa.binary()), pa.array(sketch, pa.binary())], names=["doc_id", "n_shingles", "key", "sketch"])
+                node.append(None if i is None else _node(w))
+                sketch.append(bit_sketch(h).tobytes() if node[-1] is not None else None)
+                sigs.append(signatures(h, bands).view(np.int64) if node[-1] is not None else np.zeros(0, np.int64))
+            columns = [b.column(0), b.column(1), pa.array(size, pa.int64()), pa.array(node, pa.int64()), pa.array(sketch, pa.binary()), pa.array(sigs, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "n_shingles", "id", "sketch", "sigs"])
 
     return run
 
 
-def _signed(n: int, bands: Bands):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids = b.column(0).to_numpy()
-            sigs, own, size, held = [], [], [], 0
-            for i, t in zip(ids, b.column(1).to_pylist(), strict=True):
-                h = shingle_set(words_of(t), n)
-                s = signatures(h, bands)
-                sigs.append(s)
-                own.append(np.full(len(s), i, np.int64))
-                size.append(np.full(len(s), len(h), np.int32))
-                held += len(s)
-                if held > 200_000:
-                    yield pa.RecordBatch.from_arrays([np.concatenate(sigs).view(np.int64), np.concatenate(own), np.concatenate(size)], names=["sig", "id", "n"])
-                    sigs, own, size, held = [], [], [], 0
-            if held:
-                yield pa.RecordBatch.from_arrays([np.concatenate(sigs).view(np.int64), np.concatenate(own), np.concatenate(size)], names=["sig", "id", "n"])
-
-    return run
+def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row per signature; copies of one text in a task give theirs once."""
+    seen: set[int] = set()
+    for b in batches:
+        new = []
+        for i in b.column(0).to_pylist():
+            new.append(i not in seen)
+            seen.add(i)
+        b = b.filter(pa.array(new, pa.bool_()))
+        if b.num_rows:
+            lists = b.column(1)
+            yield pa.RecordBatch.from_arrays([lists.flatten(), np.repeat(b.column(0).to_numpy(), lists.value_lengths().to_numpy())], names=["sig", "id"])
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by signature and id: those whose signature is not alone, with the first row of their run."""
-    open_ = None  # signature, id and n of the run that may go on, and whether its first row is out
+    """Of rows sorted by signature and id: the members of every signature that two texts or more have.
+
+    ``k`` is -1 for a whole run; one of over ``_FULL`` members comes in chunks 0, 1, ... of at most that many.
+    """
+    none = np.zeros(0, np.int64)
+    sig, id_, k = none, none, 0  # the run that may go on, and how many of its chunks are out
 
-    def out(sig, id_, n, hub, hub_n):
-        return pa.RecordBatch.from_arrays([sig, id_, n, hub, hub_n], names=["sig", "id", "n", "hub", "hub_n"])
+    def out(rows):
+        values, sizes = [r[2] for r in rows], [len(r[2]) for r in rows]
+        ids = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), np.concatenate(values))
+        return pa.RecordBatch.from_arrays([np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int32), ids], names=["sig", "k", "ids"])
+
+    def closed(s, members, at):
+        if at == 0 and 2 <= len(members) <= _FULL:
+            return [(s, -1, members)]
+        if at or len(members) > _FULL:
+            return [(s, at + i // _FULL, members[i : i + _FULL]) for i in range(0, len(members), _FULL)]
+        return []
 
     for b in batches:
-        if not b.num_rows:
+        sig, id_ = np.concatenate([sig, b.column(0).to_numpy()]), np.concatenate([id_, b.column(1).to_numpy()])
+        if not len(sig):
             continue
-        sig, id_, n = (b.column(i).to_numpy() for i in range(3))
-        if open_ is not None and not open_[3] and sig[0] == open_[0]:  # the held first row turns out not to be alone
-            one = [np.array([x], t) for x, t in zip((*open_[:3], *open_[1:3]), (np.int64, np.int64, np.int32, np.int64, np.int32), strict=True)]
-            yield out(*one)
+        new = np.concatenate([[True], (sig[1:] != sig[:-1]) | (id_[1:] != id_[:-1])])
+        sig, id_ = sig[new], id_[new]
         start = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
-        length = np.diff(np.append(start, len(sig)))
-        hub, hub_n = np.repeat(id_[start], length), np.repeat(n[start], length)
-        many = np.repeat(length > 1, length)
-        if open_ is not None and sig[0] == open_[0]:
-            hub[: length[0]], hub_n[: length[0]], many[: length[0]] = open_[1], open_[2], True
-            first = (open_[0], open_[1], open_[2], True)
-        else:
-            first = None
-        if len(start) == 1 and first:
-            open_ = first
-        else:
-            k = start[-1]
-            open_ = (sig[k], id_[k], n[k], bool(many[k]))
-        if many.any():
-            yield out(sig[many], id_[many], n[many], hub[many], hub_n[many])
-
-
-def _sets(n: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            h = [shingle_set(words_of(t), n) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.view(np.int64) for x in h], pa.list_(pa.int64()))], names=["id", "h"])
-
-    return run
-
-
-def _hamming(bands: Bands):
-    """Of rows a, b, n, hub_n and two sketches: the pairs whose Hamming distance allows a link."""
+        last, found = start[-1], []
+        if len(start) > 1:
+            if k:
+                found += closed(sig[0], id_[: start[1]], k)
+            size = np.diff(start)
+            for i in np.flatnonzero(size > 1):
+                if i or not k:
+                    found += closed(sig[start[i]], id_[start[i] : start[i + 1]], 0)
+            k = 0
+        sig, id_ = sig[last:], id_[last:]
+        while len(id_) >= 2 * _FULL:
+            found.append((sig[0], k, id_[:_FULL]))
+            sig, id_, k = sig[_FULL:], id_[_FULL:], k + 1
+        if found:
+            yield out(found)
+    if len(sig) and (found := closed(sig[0], id_, k)):
+        yield out(found)
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Of rows sorted by their first column: the other columns of each group, as lists."""
+    rows, group = [], None
+    for b in batches:
+        for g, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if g != group:
+                if len(rows) > 1:
+                    yield tuple(map(list, zip(*rows, strict=True)))
+                rows, group = [], g
+            rows.append(row)
+    if len(rows) > 1:
+        yield tuple(map(list, zip(*rows, strict=True)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            most = bands.most(b.column(2).to_numpy().astype(np.int64) + b.column(3).to_numpy())
-            good = []
-            for x, y, d in zip(b.column(4).to_pylist(), b.column(5).to_pylist(), most, strict=True):
-                k = min(len(x), len(y)) // 8
-                far = np.bitwise_count(_fold(np.frombuffer(x, np.uint64), k) ^ _fold(np.frombuffer(y, np.uint64), k)).sum()
-                good.append(bool(far <= d))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return run
+def _spanning(m: int, side: np.ndarray, like) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of the graph in which ``like(i, others)`` says who of ``others`` is linked to ``i``.
 
+    Whoever is reached is compared no more, so a group of like members takes few comparisons. Side 0: all pairs; else
+    only pairs of different sides.
+    """
+    free, edges = np.arange(m), []
+    while len(free):
+        queue, free = [free[0]], free[1:]
+        while queue and len(free):
+            i = queue.pop()
+            other = free if not side[i] else free[side[free] != side[i]]
+            hit = other[like(i, other)] if len(other) else other
+            if len(hit):
+                edges += [(i, j) for j in hit]
+                queue += hit.tolist()
+                free = np.setdiff1d(free, hit, assume_unique=True)
+    return edges
 
-def _verify(num: int, den: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            good = []
-            x, y = b.column(2), b.column(3)
-            for i in range(b.num_rows):
-                p, q = x[i].values.to_numpy(), y[i].values.to_numpy()
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                good.append(den * both >= num * (len(p) + len(q) - both))
-            keep = pa.array(good, pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(keep)
 
-    return run
+def _pairs(edges: list[tuple[int, int]], name: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([name[[e[0] for e in edges]], name[[e[1] for e in edges]]], names=["a", "b"])
 
 
-def _near(bands: Bands):
-    """Of rows sorted by group: pairs of different components whose sizes and bit sketches allow a link."""
-
-    def pairs(id_, n, comp, hub, part, sketch):
-        words = min(map(len, sketch)) // 8
-        s = np.stack([_fold(np.frombuffer(x, np.uint64), words) for x in sketch])
-        id_, n, comp, hub, part = map(np.array, (id_, n, comp, hub, part))
-        split = part.any()
-        for i in range(len(id_) - 1):
-            r = slice(i + 1, None)
-            lo, hi = np.minimum(n[i], n[r]), np.maximum(n[i], n[r])
-            ok = (comp[r] != comp[i]) & (bands.den * lo >= bands.num * hi) & (hub[i] != id_[i]) & (hub[r] != id_[r])
-            if split:
-                ok &= part[r] != part[i]
-            j = np.flatnonzero(ok)
-            if len(j):
-                far = np.bitwise_count(s[r][j] ^ s[i]).sum(1)
-                for k in j[far <= bands.most(n[i] + n[r][j])]:
-                    yield min(id_[i], id_[i + 1 + k]), max(id_[i], id_[i + 1 + k])
+def _close(bands: Bands):
+    """Of rows g, id, n, side, sketch: a spanning forest of the pairs whose sizes and Hamming distance allow a link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def closed(rows):
-            found = list(pairs(*zip(*rows, strict=True))) if len(rows) > 1 else []
-            return pa.RecordBatch.from_arrays([np.array([x[0] for x in found], np.int64), np.array([x[1] for x in found], np.int64)], names=["a", "b"])
-
-        rows, group = [], None
-        for b in batches:
-            for g, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if g != group:
-                    if len(rows) > 1:
-                        yield closed(rows)
-                    rows, group = [], g
-                rows.append(row)
-        if len(rows) > 1:
-            yield closed(rows)
+        found = []
+        for id_, n, side, sketch in _groups(batches):
+            words = min(map(len, sketch)) // 8
+            s = np.stack([_fold(np.frombuffer(x, np.uint64), words) for x in sketch])
+            n = np.array(n)
+
+            def like(i, j, s=s, n=n):
+                ok = bands.den * np.minimum(n[i], n[j]) >= bands.num * np.maximum(n[i], n[j])
+                ok[ok] = np.bitwise_count(s[j[ok]] ^ s[i]).sum(1) <= bands.most(n[i] + n[j[ok]])
+                return ok
+
+            found.append((_spanning(len(n), np.array(side), like), np.array(id_)))
+            if len(found) >= 2000:
+                yield pa.Table.from_batches([_pairs(e, i) for e, i in found if e], _EDGE).combine_chunks().to_batches()[0] if any(e for e, _ in found) else _NO_EDGE
+                found = []
+        if any(e for e, _ in found):
+            yield pa.Table.from_batches([_pairs(e, i) for e, i in found if e], _EDGE).combine_chunks().to_batches()[0]
 
     return run
 
 
-def _key(words: list[bytes]) -> bytes | None:
-    return blake2b(b" ".join(words), digest_size=16).digest() if words else None
-
-
-def _linked(n: int, num: int, den: int):
-    """Of rows g, key, weight, part, text sorted by group and key: for each text the weight of those linked to it."""
-
-    def counts(rows):
-        key, weight, part, sets = zip(*rows, strict=True)
-        weight, part, size = np.array(weight), np.array(part), np.array(list(map(len, sets)))
-        values, code = np.unique(np.concatenate(sets), return_inverse=True)
-        start, mark, got = np.cumsum(size) - size, np.zeros(len(values), np.int64), np.zeros(len(key), np.int64)
-        for i in range(len(key)):
-            mine = code[start[i] : start[i] + size[i]]
-            mark[mine] = 1
-            both = np.add.reduceat(mark[code], start)
-            mark[mine] = 0
-            ok = den * both >= num * (size + size[i] - both)
-            ok &= part != part[i] if part.any() else np.arange(len(key)) != i
-            got[i] = weight[ok].sum()
-        return pa.RecordBatch.from_arrays([pa.array(key, pa.binary()), pa.array(got)], names=["key", "links"])
+_EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+_NO_EDGE = pa.RecordBatch.from_arrays([np.zeros(0, np.int64), np.zeros(0, np.int64)], schema=_EDGE)
+_DENSE = 32  # a shingle of that many texts or more counts by a matrix product, a rarer one pair by pair
+
+
+def overlaps(sets: list[np.ndarray], cut: int | None = None) -> np.ndarray:
+    """Sizes of the intersections of all pairs of ``sets``, or of those before ``cut`` (rows) with those from it on."""
+    m, size = len(sets), np.array(list(map(len, sets)))
+    left = slice(0, cut if cut is not None else m)
+    right = slice(cut or 0, m)
+    rows, columns = left.stop, m - right.start
+    _, code, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(m), size)
+    order = np.argsort(code, kind="stable")
+    owner, many = owner[order], count[code[order]]
+    out = np.zeros(rows * columns, np.int64)
+    for f in np.unique(many[(many > 1) & (many < _DENSE)]):
+        r = owner[many == f].reshape(-1, f)
+        i, j = np.repeat(r, f, axis=1).ravel(), np.tile(r, (1, f)).ravel()
+        ok = (i < left.stop) & (j >= right.start)
+        out += np.bincount(i[ok] * columns + j[ok] - right.start, minlength=rows * columns)
+    out = out.reshape(rows, columns)
+    often = np.flatnonzero(count >= _DENSE)
+    rank = np.full(len(count), -1)
+    rank[often] = np.arange(len(often))
+    at = rank[code]
+    owner = np.repeat(np.arange(m), size)
+    for k in range(0, len(often), 4096):
+        here = (at >= k) & (at < k + 4096)
+        x = np.zeros((m, min(4096, len(often) - k)), np.float32)
+        x[owner[here], at[here] - k] = 1
+        out += (x[left] @ x[right].T).astype(np.int64)
+    if cut is None:
+        out[np.arange(m), np.arange(m)] = size
+    return out
+
+
+def _counted(n: int, num: int, den: int):
+    """Of rows g, id, side, weight, text: a, b, links. Verified links as a spanning forest (links null), and for every
+    text the weight of the texts linked to it here (b null)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, group = [], None
-        for b in batches:
-            for g, key, weight, part, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if g != group:
-                    if len(rows) > 1:
-                        yield counts(rows)
-                    rows, group = [], g
-                if rows and rows[-1][0] == key:
-                    continue
-                w = words_of(text)
-                if _key(w) == key:  # an id may have other texts
-                    rows.append((key, weight, part, shingle_set(w, n)))
-        if len(rows) > 1:
-            yield counts(rows)
+        for id_, side, weight, text in _groups(batches):
+            sets, keep, last = [], [], None
+            for k, t in enumerate(text):
+                if id_[k] != last:  # repeated rows of one id and text
+                    last = id_[k]
+                    sets.append(shingle_set(words_of(t), n))
+                    keep.append(k)
+            if len(keep) < 2:
+                continue
+            id_, side, weight = (np.array([x[k] for k in keep]) for x in (id_, side, weight))
+            size = np.array(list(map(len, sets)))
+            cut = int((side == 1).sum()) if side.any() else None
+            if cut in (0, len(sets)):
+                continue
+            both = overlaps(sets, cut)
+            left, right = size[:cut] if cut is not None else size, size[cut:] if cut is not None else size
+            ok = den * both >= num * (left[:, None] + right[None, :] - both)
+            if cut is None:
+                np.fill_diagonal(ok, False)
+                links = ok @ weight
+                whole = ok
+            else:
+                links = np.concatenate([ok @ weight[cut:], weight[:cut] @ ok])
+                whole = np.zeros((len(sets), len(sets)), bool)
+                whole[:cut, cut:] = ok
+                whole[cut:, :cut] = ok.T
+            edges = _spanning(len(sets), np.zeros(len(sets), np.int8), lambda i, j, w=whole: w[i, j])
+            hit = np.flatnonzero(links)
+            a = np.concatenate([id_[[e[0] for e in edges]], id_[hit]]) if edges else id_[hit]
+            b = pa.array([int(id_[e[1]]) for e in edges] + [None] * len(hit), pa.int64())
+            yield pa.RecordBatch.from_arrays([a.astype(np.int64), b, pa.array([None] * len(edges) + links[hit].tolist(), pa.int64())], names=["a", "b", "links"])
 
     return run
 
 
-def link_counts(rows: DataFrame, classes: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """(key, links): how many rows have another text that is linked to this one.
+def _meetings(df: DataFrame, group: list[str]) -> DataFrame:
+    """Rows of ``group``, in blocks ``mine`` of ``blocks``, once for each meeting of their block: g and side.
 
-    ``classes``: key, rep, component, weight. A link joins texts of one component, so all pairs of each are compared,
-    exactly. Components of over 256 texts go in pairs of blocks; none is cut.
+    Blocks i <= j meet in g; within i = j side is 0, else 1 in the lower block and 2 in the higher.
     """
-    sizes = classes.groupBy("component").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    units = classes.join(sizes, "component").withColumn("blocks", F.ceil(F.col("m") / _BLOCK).cast("int"))
-    units = units.withColumn("mine", F.pmod(F.xxhash64("key"), "blocks").cast("int"))
-    texts = rows.withColumnRenamed("doc_id", "rep").join(units, "rep")
-    texts = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    g = F.struct("component", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
-    part = F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2)
-    texts = texts.select(F.concat_ws(" ", g["component"], g["i"], g["j"]).alias("g"), "key", "weight", part.alias("part"), "text")
-    found = texts.repartition("g").sortWithinPartitions("g", "key").mapInArrow(released(_linked(n, num, den)), "key binary, links bigint")
-    return found.groupBy("key").agg(F.sum("links").alias("links"))
-
-
-def join_similar(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text", links: bool = True) -> DataFrame:
-    """Groups of documents whose sets of ``n``-word shingles have Jaccard similarity num / den or more.
+    met = df.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    side = F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2)
+    g = F.xxhash64(*group, F.least("mine", "other"), F.greatest("mine", "other"))
+    return met.withColumns({"g": g, "side": side}).drop("mine", "other", "blocks")
 
-    One row per input row: doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included) and,
-    with ``links``, n_links: to how many other rows it is linked, copies of its own text included.
 
-    1. Documents with one and the same word sequence are one node, the one of the smallest id.
-    2. Segments of parity sketches (see :func:`signatures`) are joined by value. In every run of one value each
-       member is compared with the first only, and components of these links are formed.
-    3. What is left are pairs of different components in one run: their bit sketches' Hamming distance must not
-       exceed the largest symmetric difference. Runs of over 1024 members are compared in pairs of blocks, none is cut.
-    4. Every candidate is verified on the whole sets; components follow from verified links alone.
-    5. Links are counted by :func:`link_counts`, over all pairs of texts of a component.
+def join_similar(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Groups of documents whose sets of ``n``-word shingles have Jaccard similarity num / den or more.
 
-    No cap on partners or candidates. Null or empty texts: size 0, no link, component is the own id. A null id links
-    with nothing. Rows that share an id are one node; where their texts differ, one of them stands for it in the bit
-    sketches. Other columns are not read. Shingles are compared by 64-bit hashes.
+    One row per input row: doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included) and
+    n_links: to how many other rows it is linked, copies of its own word sequence included.
+
+    1. One reading of a text gives its set's size, name, bit sketch and signatures (see :func:`signatures`). Rows of one
+       word sequence are one node, whatever their ids.
+    2. Signatures are joined by value; equal sets of members count once. Within each, sizes and the Hamming distance of
+       bit sketches decide who may be linked; what leaves a group is a spanning forest of that, never its pairs.
+    3. Components of these forests hold every true link. Each component's whole texts come together, in blocks of
+       bounded size that meet in pairs, and every pair is compared exactly; a spanning forest of the true links and the
+       link counts come out.
+
+    No cap on partners or candidates; links between different texts are all counted. Null or empty texts: size 0, no
+    link, component is the own id. A null id links with nothing and has no component. Rows that share an id are nodes of
+    their own wherever their words differ. Other columns are not read. Shingles and word sequences are compared by
+    64-bit hashes.
     """
+    return _joined(docs, n, num, den, id_col, text_col).select("doc_id", "n_shingles", F.coalesce("rep.doc_id", "doc_id").alias("component_id"), "n_links")
+
+
+def _joined(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, text_hash, n_shingles, rep (the smallest doc_id and text_hash of the component; null for no node), n_links."""
     spark = docs.sparkSession
-    short_batches(spark)
     bands = Bands(num, den)
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    meta = save(rows.mapInArrow(released(_meta(n)), "doc_id bigint, n_shingles bigint, key binary, sketch binary"))
-    nodes = save(meta.where("key IS NOT NULL AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep")))
-    reps = rows.join(nodes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    sigs = reps.mapInArrow(released(_signed(n, bands)), "sig bigint, id bigint, n int")
-    runs = save(sigs.repartition("sig").sortWithinPartitions("sig", "id").mapInArrow(released(_runs), "sig bigint, id bigint, n int, hub bigint, hub_n int"))
-    free_shuffles(spark)
-
-    sketches = save(meta.where("key IS NOT NULL AND doc_id IS NOT NULL").join(nodes, "key").where("doc_id = rep").groupBy(F.col("doc_id").alias("id")).agg(F.max("sketch").alias("sketch")))
-    fits = f"{den}L * least(n, hub_n) >= {num}L * greatest(n, hub_n)"
-    star = runs.where("id <> hub").where(fits).select(F.col("hub").alias("a"), F.col("id").alias("b"), "n", "hub_n").distinct()
-    short_batches(spark, 2000)
-    star = star.join(sketches.withColumnsRenamed({"id": "b", "sketch": "y"}), "b").join(sketches.withColumnsRenamed({"id": "a", "sketch": "x"}), "a")
-    star = save(star.select("a", "b", "n", "hub_n", "x", "y").mapInArrow(released(_hamming(bands)), "a bigint, b bigint"))
-    free_shuffles(spark)
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        short_batches(spark)
-        sets = save(rows.join(ids, "doc_id", "left_semi").mapInArrow(released(_sets(n)), "id bigint, h array<bigint>"))
-        short_batches(spark, 128)
-        x = sets.select(F.col("id").alias("a"), F.col("h").alias("x"))
-        y = sets.select(F.col("id").alias("b"), F.col("h").alias("y"))
-        both = pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y")
-        out = save(both.mapInArrow(released(_verify(num, den)), "a bigint, b bigint"))
-        free_shuffles(spark)
-        return out
-
-    direct = verified(star)
-    comp = components(direct)
-    spread = runs.join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = spread.groupBy("sig").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("c0"), F.max("component").alias("c1")).where("size > 2 AND c0 <> c1").select("sig", "size")
-    short_batches(spark, 1000)
-    blocks = F.ceil(F.col("size") / _FULL).cast("int")
-    rest = spread.join(mixed, "sig").join(sketches, "id")
-    rest = rest.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
-    # Group (sig, i, j) with i <= j holds blocks i and j of a run; within (sig, i, i) all pairs, else pairs across.
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    rest = rest.select("sig", "id", "n", "component", "hub", "sketch", "mine", other)
-    group = F.xxhash64("sig", F.least("mine", "other"), F.greatest("mine", "other"))
-    part = F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") < F.col("other"), 1).otherwise(2)
-    rest = rest.select(group.alias("g"), "id", "n", "component", "hub", part.alias("part"), "sketch")
-    rest = rest.repartition("g").sortWithinPartitions("g", "id").mapInArrow(released(_near(bands)), "a bigint, b bigint").distinct()
-    rest = save(rest)
-    final = comp
-    if not rest.isEmpty():
-        more = verified(rest)
-        final = comp if more.isEmpty() else components(direct.unionByName(more))
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text"))
     short_batches(spark)
-    placed = nodes.join(final.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
-    known = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")
-    if not links:
-        return meta.join(placed.drop("rep"), "key", "left").select("doc_id", "n_shingles", known)
-    weights = meta.where("key IS NOT NULL AND doc_id IS NOT NULL").groupBy("key").agg(F.count(F.lit(1)).alias("weight"))
-    classes = save(placed.join(weights, "key"))
-    counted = save(link_counts(rows, classes, n, num, den))
-    free_shuffles(spark)
-    out = meta.join(classes.drop("rep"), "key", "left").join(counted, "key", "left")
-    n_links = F.when(F.col("doc_id").isNotNull() & F.col("weight").isNotNull(), F.col("weight") - 1 + F.coalesce("links", F.lit(0))).otherwise(0)
-    return out.select("doc_id", "n_shingles", known, n_links.cast("bigint").alias("n_links"))
+    first = save(rows.mapInArrow(released(_first(n, bands)), "doc_id bigint, text_hash bigint, n_shingles bigint, id bigint, sketch binary, sigs array<bigint>"))
+    nodes = first.where("id IS NOT NULL").groupBy("id").agg(F.min(F.struct("doc_id", "text_hash")).alias("rep"), F.count(F.lit(1)).alias("weight"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
+    nodes = save(nodes.select("id", "rep.doc_id", "rep.text_hash", "weight", "n", "sketch"))
+    meta = save(first.select("doc_id", "text_hash", "n_shingles", "id"))
+    sigs = first.where("id IS NOT NULL").select("id", "sigs").mapInArrow(_spread, "sig bigint, id bigint")
+    short_batches(spark, 10_000)
+    runs = save(sigs.repartition("sig").sortWithinPartitions("sig", "id").mapInArrow(released(_runs), "sig bigint, k int, ids array<bigint>"))
+    remove(first)
+
+    whole = runs.where("k < 0").select("ids").distinct().select(F.xxhash64("ids").alias("g"), F.lit(0).alias("side"), "ids")
+    long = runs.where("k >= 0").withColumnRenamed("k", "mine")
+    long = _meetings(long.join(long.groupBy("sig").agg((F.max("mine") + 1).alias("blocks")), "sig"), ["sig"])
+    met = whole.unionByName(long.select("g", "side", "ids")).select("g", "side", F.explode("ids").alias("id"))
+    met = met.join(nodes.select("id", "n", "sketch"), "id").select("g", "id", "n", "side", "sketch")
+    short_batches(spark, 1000)
+    close = save(met.repartition("g").sortWithinPartitions("g", "side", "id").mapInArrow(released(_close(bands)), "a bigint, b bigint").distinct())
+    remove(runs)
+    maybe = components(close)
+
+    sized = nodes.select("id", "doc_id", "text_hash", "weight", "n").join(maybe, "id")
+    bulk = sized.groupBy("component").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("texts"))
+    blocks = F.greatest(F.ceil(F.col("total") / _SHINGLES), F.ceil(F.col("texts") / _TEXTS)).cast("int")
+    units = sized.join(bulk.select("component", blocks.alias("blocks")), "component").withColumn("mine", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    texts = _meetings(rows.join(units, ["doc_id", "text_hash"]), ["component"]).select("g", "id", "side", "weight", "text")
+    short_batches(spark, 128)
+    counted = save(texts.repartition("g").sortWithinPartitions("g", "side", "id").mapInArrow(released(_counted(n, num, den)), "a bigint, b bigint, links bigint"))
+    remove(close)
+
+    joined = components(counted.where("b IS NOT NULL").select("a", "b"))
+    rep = F.struct("doc_id", "text_hash")
+    least = nodes.join(joined, "id").groupBy("component").agg(F.min(rep).alias("least"))
+    placed = joined.join(least, "component").select("id", "least")
+    links = counted.where("b IS NULL").groupBy(F.col("a").alias("id")).agg(F.sum("links").alias("links"))
+    known = nodes.select("id", rep.alias("own"), "weight").join(placed, "id", "left").join(links, "id", "left")
+    known = known.select("id", F.coalesce("least", "own").alias("rep"), (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    found = meta.where("id IS NOT NULL").join(known, "id").select("doc_id", "text_hash", "n_shingles", "rep", "n_links")
+    alone = meta.where("id IS NULL").select("doc_id", "text_hash", "n_shingles", F.lit(None).cast("struct<doc_id: bigint, text_hash: bigint>").alias("rep"), F.lit(0).cast("bigint").alias("n_links"))
+    return found.unionByName(alone)
 
 
 def keep_one(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each group of :func:`join_similar`, the one of the smallest id; same columns.
 
-    Documents without words are in no group and stay, and so do rows with a null id.
+    Documents without words are in no group and stay, and so do rows with a null id. Where texts of a group share its
+    smallest id, the one of the smallest text hash stays; rows equal in id and text stay together.
     """
-    groups = join_similar(docs, n, num, den, id_col, text_col, links=False)
-    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    groups = _joined(docs, n, num, den, id_col, text_col).where("rep IS NOT NULL")
+    gone = groups.where("doc_id <> rep.doc_id OR text_hash <> rep.text_hash").select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_hash")).distinct()
+    return docs.join(gone, (F.col(id_col) == F.col("_gone")) & (F.xxhash64(F.col(text_col)) == F.col("_hash")), "left_anti")

@@ -168,17 +168,58 @@ def test_signatures_lose_no_similar_pair():
             assert np.bitwise_count(x ^ y).sum() <= len(a) + len(b) - 2 * both
 
 
-def test_runs_across_batches():
+def test_runs_across_batches(monkeypatch):
     import pyarrow as pa
 
     r = np.random.default_rng(1)
-    sig = np.sort(r.integers(0, 60, 200))
-    ids, n = np.arange(200), np.ones(200, np.int32)
-    for step in (1, 2, 7, 200):
-        batches = [pa.RecordBatch.from_arrays([sig[k : k + step], ids[k : k + step], n[k : k + step]], names=["s", "i", "n"]) for k in range(0, 200, step)]
-        out = [x for b in ngram_join._runs(iter(batches)) for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3).to_pylist(), strict=True)]
-        want = [(s, i, int(ids[sig == s].min())) for s, i in zip(sig, ids, strict=True) if (sig == s).sum() > 1]
-        assert sorted(out) == sorted(want)
+    sig = np.sort(np.concatenate([r.integers(0, 60, 200), np.full(57, 7)]))
+    ids = np.arange(len(sig)) // 2  # ids may be repeated within a signature
+    want = {int(s): sorted(set(ids[sig == s].tolist())) for s in set(sig.tolist()) if len(set(ids[sig == s])) > 1}
+    for full in (4, 1024):
+        monkeypatch.setattr(ngram_join, "_FULL", full)
+        for step in (1, 2, 7, 400):
+            batches = [pa.RecordBatch.from_arrays([sig[k : k + step], ids[k : k + step]], names=["s", "i"]) for k in range(0, len(sig), step)]
+            got: dict = {}
+            for s, k, members in (x for b in ngram_join._runs(iter(batches)) for x in zip(*(c.to_pylist() for c in b.columns), strict=True)):
+                assert len(members) <= full and (k == -1) == (len(want[s]) <= full) and k in (-1, len(got.get(s, [])))
+                got.setdefault(s, []).append(members)
+            assert {s: [i for m in x for i in m] for s, x in got.items()} == want
+
+
+def test_overlaps_against_brute_force():
+    r = np.random.default_rng(4)
+    base = r.integers(0, 1 << 60, 90).astype(np.uint64)
+    sets = [np.unique(np.concatenate([base[r.random(90) < p], r.integers(0, 400, int(r.integers(0, 50))).astype(np.uint64)])) for p in r.random(70)] + [np.zeros(0, np.uint64)]
+    want = np.array([[len(np.intersect1d(x, y)) for y in sets] for x in sets])
+    assert (ngram_join.overlaps(sets) == want).all()
+    for cut in (1, 30, 70):
+        assert (ngram_join.overlaps(sets, cut) == want[:cut, cut:]).all()
+
+
+def test_ngram_join_in_blocks_and_with_shared_ids(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "_SHINGLES", 400)
+    r = random.Random(9)
+    texts = []
+    for _ in range(8):
+        base = [f"w{r.randrange(900)}" for _ in range(90)]
+        for _ in range(r.choice([2, 15])):
+            w = list(base)
+            for _ in range(r.choice([0, 1, 3])):
+                w[r.randrange(90)] = f"x{r.randrange(10**6)}"
+            texts.append(" ".join(w))
+    r.shuffle(texts)
+    docs = [(r.randrange(12) if r.random() < 0.7 else 100 + k, t) for k, t in enumerate(texts)]  # most ids have several texts
+    got = sorted((x["doc_id"], x["component_id"], x["n_links"]) for x in collect(ngram_join.join_similar(spark.createDataFrame(docs, "doc_id long, text string"))))
+    unique = [(k, t) for k, (_, t) in enumerate(docs)]
+    group = brute_groups(unique, 4, 85, 100)
+    sets = [{tuple(t.split()[k : k + 4]) for k in range(87)} for t in texts]
+    links = [sum(100 * len(x & y) >= 85 * len(x | y) for y in sets) - 1 for x in sets]
+    least: dict = {}
+    for k, (i, _) in enumerate(docs):
+        least[group[k][1]] = min(least.get(group[k][1], 10**9), i)
+    assert got == sorted((i, least[group[k][1]], links[k]) for k, (i, _) in enumerate(docs))
+    kept = collect(ngram_join.keep_one(spark.createDataFrame(docs, "doc_id long, text string"), 4, 85, 100))
+    assert len({r["text"] for r in kept}) == len(least)
 
 
 def test_ngram_join_odd(spark, odd, none):
