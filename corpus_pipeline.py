@@ -17,27 +17,46 @@ from deucebase.llm.ngram_join import keep_one
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a determinable language go; ``lang`` is the predicted one."""
+    """Documents without a determinable language go; ``lang`` is the predicted one.
+
+    Null, empty and letterless texts go; a tie goes to the first language in order; repeated rows are judged alike. If
+    no row has a label, all go. An empty table stays empty; further columns are kept.
+    """
     return keep_known(docs)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the one with the largest doc_id stays."""
+    """Of equal texts the one with the largest doc_id stays.
+
+    Null counts as the empty text. Of rows equal in text and id one stays; a null id gives way to any other. An empty
+    table stays empty; further columns are kept.
+    """
     return drop_copies(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group linked by Jaccard similarity 0.8 or more on five-word shingles, the smallest doc_id stays."""
+    """Of every group linked by Jaccard similarity 0.8 or more on five-word shingles, the smallest doc_id stays.
+
+    Rows without words or with a null id are in no group and stay. Where texts of a group share its smallest id, that of
+    the smallest text hash stays. An empty table stays empty; further columns are kept.
+    """
     return keep_one(docs, n=5, num=80, den=100)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources at their target weights; a document taken twice is there twice."""
+    """Sources at their target weights; a document taken twice is there twice.
+
+    A null source is a source, last in order; null and empty texts have size 0 and are not taken. Repeated rows are drawn
+    one by one. An empty table stays empty; further columns are kept.
+    """
     return apply_mix(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token count and digests of every document of the mix."""
+    """Token count and digests of every document of the mix.
+
+    Null counts as the empty text: no token. A row for every row, repeated ones too; an empty table gives none.
+    """
     return token_report(docs)
 
 
