@@ -100,9 +100,25 @@ def _parsed(raw: Column, server: Column, serve_in_play: Column, winner: Column)
         return F.struct(
             x["shots"].alias("shots"), F.size(x["shots"]).alias("rally_len"), last["hitter"].alias("last_hitter"), F.coalesce(last["side"], F.lit("")).alias("ending_side"), F.coalesce(last["stroke"], F.lit("")).alias("ending_stroke"),
             F.when(none, "").otherwise(stroke_kind(last["letter"], last["is_serve"])).alias("ending_kind"), x["outcome"].alias("outcome"), x["by"].alias("winner_by_notation"), server_won.alias("server_won"),
-            ((x["outcome"] != "unknown") & x["has"]).alias("parse_ok"),
+            ((x["outcome"] != "unknown") & x["has"]).alias("parse_ok"), flags(x).alias("flags"),
         )
 
+    def flags(x: Column) -> Column:
+        """What was odd: skipped leads, strays before the first stroke, unknown descriptors, and what is missing at the end."""
+        lead, body = F.regexp_extract(raw, "^[^0-9]*", 0), F.regexp_replace(raw, "^[^0-9]*", "")
+        direct = body.rlike("^[4560]")
+        rest = F.regexp_replace(body, "^[4560]", "")
+        head = F.when(direct, "").otherwise(F.regexp_extract(rest, f"^[^{LETTERS}]*", 0))
+        tail = F.when(direct, rest).otherwise(F.regexp_replace(rest, f"^[^{LETTERS}]*", ""))
+        each = lambda s, name: F.transform(F.filter(F.split(s, ""), lambda ch: ch != ""), lambda ch: F.concat(F.lit(f"{name}:"), ch))
+        unknown = F.regexp_replace(tail, rf"[{LETTERS}123789ndwx*#@+=^\-]", "")
+        none = lambda c, name: F.when(c, F.array(F.lit(name))).otherwise(F.array().cast("array<string>"))
+        missed = x["outcome"] == "fault_unfinished"
+        return F.when(raw == "", F.array(F.lit("empty"))).otherwise(F.concat(
+            each(lead, "lead"), none(~direct, "no_serve_dir"), each(head, "stray"), each(unknown, "unk"), none(F.size(x["shots"]) == 0, "no_shots"), none(missed, "first_fault_no_second"),
+            none((x["outcome"] == "unknown") & (F.size(x["shots"]) > 0), "no_terminal"), none(F.coalesce(winner.isin(1, 2) & (x["by"] != winner), F.lit(False)), "winner_mismatch"),
+        ))
+
     steps = F.regexp_replace(raw, "^[^0-9]*", "")
     for step in (cut, shots, ended, outcome, won, fields):
         steps = _let(steps, step)
@@ -111,7 +127,10 @@ def _parsed(raw: Column, server: Column, serve_in_play: Column, winner: Column)
 
 def decoded(points: DataFrame, first: str = "first_serve", second: str = "second_serve", svr: str = "svr", winner: str = "pt_winner") -> DataFrame:
     """``points`` with raw, serve_in_play, server, shots, rally_len, last_hitter, ending_*, outcome, winner_by_notation,
-    server_won and parse_ok. A non-empty second serve is the one that is decoded; the charted winner decides who won."""
+    server_won, flags and parse_ok. A non-empty second serve is the one that is decoded; the charted winner decides who
+    won. Points that are decoded already come back as they are."""
+    if "shots" in points.columns:
+        return points
     ss, fs = F.trim(F.coalesce(F.col(second), F.lit(""))), F.trim(F.coalesce(F.col(first), F.lit("")))
     d = points.withColumn("serve_in_play", F.when(ss != "", 2).otherwise(1)).withColumn("raw", F.when(ss != "", ss).otherwise(fs))
     d = d.withColumn("server", F.when(F.col(svr).isin(1, 2), F.col(svr)).otherwise(1).cast("int"))

@@ -5,12 +5,17 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
 
+def corr(x: Column, y: Column) -> Column:
+    """Pearson correlation; null where a side does not vary."""
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def bh(df: DataFrame, p: str, family: list[str], tie: list[str], name: str = "q") -> DataFrame:
     """Benjamini-Hochberg adjusted p-values within each family."""
     w = Window.partitionBy(*family)

@@ -10,7 +10,8 @@ from deucebase.operators import coverage
 from deucebase.operators import sequences as seq
 from deucebase.plans import sql
 from deucebase.plans.registry import query
-from deucebase.sources.adapter import digit, matches, points
+from deucebase.sources.adapter import digit, matches
+from deucebase.sources.store import parsed
 
 _HANDS = """hands AS (SELECT gender, player, CASE WHEN sum((hand = 'R')::INT) >= sum((hand = 'L')::INT) THEN 'R' ELSE 'L' END AS hand FROM
  (SELECT gender, player1 AS player, player1_hand AS hand FROM matches UNION ALL SELECT gender, player2, player2_hand FROM matches) WHERE hand IN ('R', 'L') GROUP BY 1, 2)"""
@@ -22,7 +23,7 @@ _CTX2 = _CTX.format(2, " || ' ' || lag(mir, 1) OVER w", " || ' ' || lag(tok, 1)
 
 
 def _tokens(spark, d):
-    return seq.tokens(points(spark, d))
+    return seq.tokens(parsed(spark, d))
 
 
 def _contexts(spark, d, k=2):
@@ -120,7 +121,7 @@ _OBS = f"""{_TOK}, lg AS (SELECT t.*, lag(letter) OVER w AS in_letter, lag(direc
 
 
 def _obs(spark, d):
-    return seq.observations(points(spark, d), coverage.modal_hand(matches(spark, d)))
+    return seq.observations(parsed(spark, d), coverage.modal_hand(matches(spark, d)))
 
 
 @query("SELECT gender, player, family, kind, zone, state_depth, wing, resp_kind, line, n, won::BIGINT AS won FROM cells", _OBS)

@@ -8,6 +8,7 @@ from deucebase.functions import notation
 from deucebase.plans import sql
 from deucebase.plans.registry import query
 from deucebase.sources.adapter import points
+from deucebase.sources.store import parsed
 
 
 @query(
@@ -17,12 +18,12 @@ from deucebase.sources.adapter import points
     sql.DECODED,
 )
 def points_parsed(spark, d):
-    return notation.point_features(points(spark, d))
+    return notation.point_features(parsed(spark, d))
 
 
 @query("SELECT outcome, serve_in_play, count(*) AS n, round(avg(rally_len), 6) AS mean_rally, round(avg(server_won::INT), 6) AS server_win FROM decoded GROUP BY 1, 2", sql.DECODED)
 def outcomes(spark, d):
-    p = notation.point_features(points(spark, d))
+    p = notation.point_features(parsed(spark, d))
     return p.groupBy("outcome", "serve_in_play").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("rally_len"), 6).alias("mean_rally"), F.round(F.avg(F.col("server_won").cast("int")), 6).alias("server_win"))
 
 
@@ -32,7 +33,7 @@ def outcomes(spark, d):
     sql.SHOTS,
 )
 def stroke_table(spark, d):
-    return notation.shot_table(points(spark, d)).select("match_id", "pt", "idx", "hitter", "is_serve", "letter", "side", "stroke", "direction", "depth", "modifiers", "error_loc", "terminal")
+    return notation.shot_table(parsed(spark, d)).select("match_id", "pt", "idx", "hitter", "is_serve", "letter", "side", "stroke", "direction", "depth", "modifiers", "error_loc", "terminal")
 
 
 @query(
@@ -41,7 +42,7 @@ def stroke_table(spark, d):
     sql.SHOTS,
 )
 def aggressive_strokes(spark, d):
-    s = notation.aggressive(notation.shot_table(points(spark, d)).where("parse_ok"))
+    s = notation.aggressive(notation.shot_table(parsed(spark, d)).where("parse_ok"))
     n = lambda c, name: F.sum(F.col(c).cast("int")).alias(name)
     return s.groupBy(notation.stroke_kind(F.col("letter"), F.col("is_serve")).alias("kind"), "side").agg(F.count(F.lit(1)).alias("n"), n("is_winner", "winners"), n("own_unforced", "own_unforced"), n("induced_forced", "induced_forced"))
 
@@ -58,7 +59,7 @@ def serve_directions(spark, d):
     sql.SHOTS,
 )
 def rally_contrasts(spark, d):
-    p = notation.decoded(points(spark, d)).where("parse_ok")
+    p = notation.decoded(parsed(spark, d)).where("parse_ok")
     net = F.exists("shots", lambda s: s["letter"].isin(*"vzopuy"))
     return p.groupBy((F.col("rally_len") >= 5).alias("long"), net.alias("exists_net")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("server_won").cast("int")), 6).alias("server_win"))
 
@@ -69,6 +70,6 @@ def rally_contrasts(spark, d):
     sql.DECODED,
 )
 def notation_checks(spark, d):
-    p = notation.point_features(points(spark, d), ("gender", "pt_winner"))
+    p = notation.point_features(parsed(spark, d), ("gender", "pt_winner"))
     n = lambda c: F.sum(F.coalesce(c, F.lit(False)).cast("int"))
     return p.groupBy("gender").agg(F.count(F.lit(1)).alias("n"), n(F.col("outcome") == "ace").alias("aces"), n(F.col("outcome") == "double_fault").alias("double_faults"), n(F.col("winner_by_notation") != F.col("pt_winner")).alias("mismatches"))

@@ -58,3 +58,28 @@ SHOTS = f"""{DECODED}, s1 AS (
 shots AS (SELECT *, {_SIDE_OF} AS side, coalesce(nullif(regexp_extract(tail, '^.*([123])', 1), ''), dir0) AS direction, nullif(regexp_extract(tail, '^.*([789])', 1), '') AS depth,
  nullif(regexp_extract(tail, '^.*([ndwx])', 1), '') AS error_loc, nullif(regexp_extract(tail, '^.*([*#@])', 1), '') AS terminal,
  lead(nullif(regexp_extract(tail, '^.*([*#@])', 1), '')) OVER w AS next_terminal, CASE WHEN hitter = 1 THEN player1 ELSE player2 END AS player FROM s1 WINDOW w AS (PARTITION BY match_id, pt ORDER BY idx))"""
+
+
+def crc32(text: str) -> str:
+    """CRC-32 of an ASCII text: a fold over its bytes, eight bit steps each (the engine has no such function)."""
+    steps = f"list_prepend(4294967295::BIGINT, flatten(list_transform(string_split({text}, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])))"
+    return f"xor(list_reduce({steps}, lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384::BIGINT) ELSE a >> 1 END), 4294967295::BIGINT)"
+
+
+def binom_tail(k: str, n: str, p: str) -> str:
+    """P(X >= k), every term."""
+    term = f"exp(lgamma({n} + 1) - lgamma(i + 1) - lgamma({n} - i + 1) + i * ln({p}) + ({n} - i) * ln(1 - {p}))"
+    return f"CASE WHEN {k} <= 0 THEN 1.0 WHEN {p} <= 0 THEN 0.0 WHEN {p} >= 1 THEN 1.0 ELSE least(1.0, list_sum(list_transform(range(({k})::BIGINT, ({n})::BIGINT + 1), lambda i: {term}))) END"
+
+
+def fisher(a: str, b: str, c: str, d: str) -> str:
+    """Two-sided exact test: all tables no likelier than the given one."""
+    prob = f"exp(lgamma({a} + {b} + 1) - lgamma(x + 1) - lgamma({a} + {b} - x + 1) + lgamma({c} + {d} + 1) - lgamma({a} + {c} - x + 1) - lgamma({d} - {a} + x + 1) - lgamma({a} + {b} + {c} + {d} + 1) + lgamma({a} + {c} + 1) + lgamma({b} + {d} + 1))"
+    own = prob.replace("(x +", f"({a} +").replace("- x +", f"- {a} +").replace("+ x +", f"+ {a} +")
+    terms = f"list_transform(range(greatest(0, {a} - {d})::BIGINT, least({a} + {b}, {a} + {c})::BIGINT + 1), lambda x: CASE WHEN {prob} <= {own} * (1 + 1e-9) THEN {prob} ELSE 0 END)"
+    return f"least(1.0, list_sum({terms}))"
+
+
+def bh(table: str, p: str, family: str, tie: str, name: str = "q") -> str:
+    """``table`` with Benjamini-Hochberg values."""
+    return f"(SELECT * EXCLUDE (_r, _m), least(1.0, min({p} * _m / _r) OVER (PARTITION BY {family} ORDER BY _r DESC ROWS UNBOUNDED PRECEDING)) AS {name} FROM (SELECT *, row_number() OVER (PARTITION BY {family} ORDER BY {p}, {tie}) AS _r, count(*) OVER (PARTITION BY {family}) AS _m FROM {table}))"

@@ -9,6 +9,7 @@ from deucebase.operators import strength, winprob
 from deucebase.plans import sql
 from deucebase.plans.registry import query
 from deucebase.sources.adapter import digit, points
+from deucebase.sources.store import once, parsed
 
 _POS = f"""{sql.SHOTS}, pos AS (
  SELECT match_id, pt, gender, player, idx, server_won::INT AS y, terminal, hitter = server AS by_server, idx = rally_len AS is_last, serve_in_play AS sip, least(idx, 12) AS ply, CASE WHEN 3 - hitter = server THEN 'S' ELSE 'R' END AS to_hit,
@@ -35,7 +36,8 @@ _WPA = f"""{_POS}{_value_ctes()}, wp AS (
 
 
 def _pos(spark, d):
-    return winprob.positions(points(spark, d))
+    """States of all strokes, kept once an application."""
+    return once(spark, "positions", d, lambda: winprob.positions(parsed(spark, d)))
 
 
 @query(f"SELECT level, count(*) AS states, sum(n)::BIGINT AS n, sum(w)::BIGINT AS w FROM (" + " UNION ALL ".join(f"SELECT {k} AS level, {', '.join(winprob.FEATURES[:k])}" + "".join(f", NULL AS {f}" for f in winprob.FEATURES[k:]) + f", count(*) AS n, sum(y) AS w FROM pos WHERE NOT is_last GROUP BY ALL" for k in range(2, 9)) + ") GROUP BY level", _POS)

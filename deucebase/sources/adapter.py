@@ -1,7 +1,7 @@
 """Matches and points projected from the star-schema tables.
 
 The projection is one SQL text that Spark and DuckDB read alike, so that every operator can be run on both. A match is
-an order whose key is divisible by 16; its points are the line items of the 16 orders from that key on. What the star
+a block of 16 orders, from a key divisible by 16 on, and dated by its first order; its points are the block's line items. What the star
 schema lacks (players, notation, score) comes from digits of an md5 of the row's unique key.
 """
 
@@ -44,7 +44,7 @@ SELECT CAST(k AS STRING) AS match_id, CASE WHEN gd = 0 THEN 'M' ELSE 'W' END AS
        {pick(SURFACES, digit("h", 10))} AS surface, CASE WHEN {digit("h", 11)} < 4 AND gd = 0 THEN 5 ELSE 3 END AS best_of,
        CONCAT('charter', CAST({digit("h", 12)} AS STRING)) AS charted_by
 FROM (SELECT o_orderkey AS k, o_orderdate, h, {digit("h", 5)} % 2 AS gd, {_P1} AS a, {_P2} AS b
-      FROM (SELECT *, md5(CAST(o_orderkey AS STRING)) AS h FROM orders WHERE o_orderkey % 16 = 0) x0) x1
+      FROM (SELECT o_orderkey - o_orderkey % 16 AS o_orderkey, md5(CAST(o_orderkey - o_orderkey % 16 AS STRING)) AS h, coalesce(min(CASE WHEN o_orderkey % 16 = 0 THEN o_orderdate END), min(o_orderdate)) AS o_orderdate FROM orders GROUP BY o_orderkey - o_orderkey % 16) x0) x1
 """
 
 _STROKES = " ".join(
@@ -74,7 +74,7 @@ CTES = f"matches AS ({MATCHES}), points AS (SELECT p.*, m.gender, m.player1, m.p
 
 
 def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per match; fewer than a sixteenth of the orders."""
+    """One row per match; every order is read, a sixteenth as many rows come out."""
     spark.read.parquet(f"{sf_dir}/orders.parquet").createOrReplaceTempView("orders")
     return spark.sql(MATCHES)
 
