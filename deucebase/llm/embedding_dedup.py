@@ -50,7 +50,7 @@ def _leading(axes: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             z = unit(_matrix(b.column(0), len(axes))) @ axes[:, 0] if b.num_rows else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), z], names=["v", "rep", "copies", "lead"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), z], names=["v", "least", "copies", "lead"])
 
     return run
 
@@ -128,48 +128,51 @@ def _tiles(axes: np.ndarray, least: float):
     return run
 
 
-def near_duplicates(embeddings: DataFrame, least: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding", tile: int = 4096, most_tiles: int = 2048) -> DataFrame:
+def near_duplicates(embeddings: DataFrame, least: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding", tile: int = 4096) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept.
 
-    Equal vectors are one class. Classes are sorted along the first principal axis and cut into tiles; a tile meets
-    itself and those later ones whose first coordinates come within sqrt(2 - 2 * least) of its own, since no pair
-    farther apart can reach the cosine. Every meeting is a task of bounded size that gives link counts and a spanning
-    forest, never its pairs. There are at most ``most_tiles`` tiles (they grow beyond that), so what the driver holds
-    of them is bounded. All pairs that can link are compared; the result is exact.
+    Equal vectors are one class, named by its place along the first principal axis, not by an id, as rows may share
+    those. The classes in that order are cut into tiles; a tile meets itself and those later ones whose first
+    coordinates come within sqrt(2 - 2 * least) of its own, since no pair farther apart can reach the cosine. Every
+    meeting is a task of bounded size that gives link counts and a spanning forest, never its pairs. The driver holds
+    two numbers a tile, one tile for every ``tile`` vectors. All pairs that can link are compared; the result is exact.
 
     A vector that is null, empty, zero or holds a null or non-finite component links with nothing: n_links 0, its own
-    component. So does a null id. Vectors of different length never link. Repeated rows are vectors of their own.
+    component. So does a null id, whose row is kept. Vectors of different length never link. Repeated rows are vectors
+    of their own, and rows that share an id are told apart by their vectors.
     """
     spark = embeddings.sparkSession
     rows = embeddings.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
-    # least magnitude: below it a square would be lost
     fine = "vec_id IS NOT NULL AND size(v) > 0 AND NOT exists(v, x -> x IS NULL OR isnan(x) OR abs(x) = double('Infinity')) AND exists(v, x -> x <> 0)"
     rows = rows.withColumn("fine", F.coalesce(F.expr(fine), F.lit(False)))
-    classes = save(rows.where("fine").groupBy("v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")))
-    found = None
+    classes = save(rows.where("fine").groupBy("v").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("copies")))
+    found, named, base = None, None, 0
     for dim, n in sorted((r[0], r[1]) for r in classes.groupBy(F.size("v")).count().collect()):
         one = classes.where(F.size("v") == dim)
         axes = principal_axes(one, dim)
-        led = one.select("v", "rep", "copies").mapInArrow(_leading(axes), "v array<double>, rep bigint, copies bigint, lead double")
-        size = max(tile, -(-n // most_tiles))
-        placed = save(ranked(led, [F.col("lead"), F.col("rep")], "place").withColumn("tile", F.floor(F.col("place") / size).cast("int")))
+        led = one.select("v", "least", "copies").mapInArrow(_leading(axes), "v array<double>, least bigint, copies bigint, lead double")
+        placed = save(ranked(led, [F.col("lead"), F.col("least")], "place").withColumn("tile", F.floor(F.col("place") / tile).cast("int")).withColumn("rep", F.col("place") + base))
+        base += n
         ends = sorted((r[0], r[1], r[2]) for r in placed.groupBy("tile").agg(F.min("lead"), F.max("lead")).collect())
         gap = np.sqrt(2 - 2 * least) + 1e-6
         low, high = np.array([e[1] for e in ends]), np.array([e[2] for e in ends])
         reach = np.searchsorted(low, high + gap, side="right") - 1  # the last tile that tile i meets
         first = np.searchsorted(reach, np.arange(len(ends)), side="left")  # the first tile that meets tile i; reach rises
         bounds = spark.createDataFrame([(i, int(first[i]), int(reach[i])) for i in range(len(ends))], "tile int, first int, reach int")
-        met = placed.join(F.broadcast(bounds), "tile").withColumn("other", F.explode(F.sequence("first", "reach")))
+        met = placed.join(bounds, "tile").withColumn("other", F.explode(F.sequence("first", "reach")))
         met = met.select(F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), (F.col("tile") > F.col("other")).cast("int").alias("side"), "v", "rep", "copies")
         part = met.groupBy("i", "j").applyInArrow(_tiles(axes, least), "rep bigint, links bigint, root bigint")
         found = part if found is None else found.unionByName(part)
+        own = placed.select("v", "least", "copies", "rep")
+        named = own if named is None else named.unionByName(own)
     if found is None:
-        return rows.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
+        return rows.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     found = save(found)
     comp = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnRenamed("id", "rep")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    whole = classes.join(links, "rep", "left").join(comp, "rep", "left")
-    whole = whole.select("v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    smallest = named.join(comp, "rep").groupBy("component").agg(F.min("least").alias("component_id"))
+    whole = named.join(links, "rep", "left").join(comp.join(smallest, "component").select("rep", "component_id"), "rep", "left")
+    whole = whole.select("v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component_id", "least").alias("component_id"))
     good = rows.where("fine").join(whole, "v").select("vec_id", "n_links", "component_id")
     alone = rows.where("NOT fine").select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))
     return good.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
