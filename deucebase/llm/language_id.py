@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 
 from deucebase.llm.common import released, short_batches
 
-#: Symbols of the automata: 0 is anything that is not a letter, 1 a letter the samples have too rarely.
-ALPHABET = 48
+#: Symbols of the automata: 0 is anything that is not a letter; the most frequent letters of the samples have a symbol
+#: each; any other letter is written with the last ``DIGITS``, as its code point. No letter is lost or merged.
+ALPHABET, DIGITS = 64, 16
 SEGMENT = 2048
+_CODED = 255
 
 
 @lru_cache(maxsize=1)
@@ -73,16 +75,23 @@ class Model:
         """Lower-cased letters as symbols; anything between letters is one 0."""
         if not text:
             return np.zeros(0, np.uint8)
-        points = np.frombuffer(text.lower().encode("utf-32-le"), np.uint32)
-        lut = self._lut()
-        s = lut[points]
+        points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+        s = self._lut()[points]
         keep = s > 0
         keep[1:] |= s[:-1] > 0
-        return s[keep]
+        s, points = s[keep], points[keep]
+        if not (s == _CODED).any():
+            return s
+        size = np.where(s == _CODED, np.where(points > 0xFFFF, 6, 4), 1)
+        left = np.repeat(np.cumsum(size), size) - np.arange(size.sum()) - 1  # digits that still follow
+        out, points = np.repeat(s, size), np.repeat(points, size)
+        coded = out == _CODED
+        out[coded] = ALPHABET - DIGITS + ((points >> (4 * left).astype(np.uint32)) & 15)[coded]
+        return out
 
     def _lut(self) -> np.ndarray:
         if not hasattr(self, "_made"):
-            self._made = _letters().astype(np.uint8)
+            self._made = np.where(_letters(), np.uint8(_CODED), np.uint8(0))
             for point, symbol in self.symbol_of.items():
                 self._made[point] = symbol
         return self._made
@@ -132,23 +141,37 @@ class Model:
         return found
 
 
+def _evenly(parts: list[np.ndarray], total: int) -> np.ndarray:
+    """At most ``total`` symbols, as many of each part as that allows; parts stand apart."""
+    size = np.sort([len(p) for p in parts])
+    before = np.cumsum(size) - size
+    fits = before + size * np.arange(len(size), 0, -1) <= total  # all longer ones cut to this one's length
+    k = int(fits.sum())
+    each = int(size[-1]) if k == len(size) else (total - int(before[k])) // (len(size) - k)
+    apart = np.zeros(1, np.uint8)
+    return np.concatenate([x for p in parts for x in (apart, p[:each])] or [apart])
+
+
 def fit(samples: dict[str, list[str]], chars: int = 20_000) -> Model:
-    """One automaton a language, of ``chars`` symbols of its samples at most; as many more give its own phrase rate."""
+    """One automaton a language, of at most ``chars`` symbols drawn evenly from every other of its samples; as many of
+    the others give its own phrase rate. A lone sample is cut in two."""
     seen = Counter(c for texts in samples.values() for t in texts for c in t.lower() if c.isalpha())
-    symbol_of = {ord(c): i + 2 for i, (c, _) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0]))[: ALPHABET - 2])}
+    symbol_of = {ord(c): i + 1 for i, (c, _) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0]))[: ALPHABET - DIGITS - 1])}
     langs = sorted(samples)
     model = Model(langs, symbol_of, np.zeros(0, np.int32), np.zeros(len(langs), np.int32), np.ones(len(langs)))
     tables, checks, at = [], [], 0
     for k, lang in enumerate(langs):
-        s = np.concatenate([np.zeros(1, np.uint8), *(model.symbols(t) for t in samples[lang])])
-        half = min(chars, max(1, len(s) * 3 // 4))
-        t = suffix_automaton(s[:half].tolist(), ALPHABET).astype(np.int64)
+        parts = [model.symbols(t) for t in samples[lang]]
+        if len(parts) == 1:
+            parts = [parts[0][: len(parts[0]) * 3 // 4], parts[0][len(parts[0]) * 3 // 4 :]]
+        s = _evenly(parts[::2], chars)
+        t = suffix_automaton(s.tolist(), ALPHABET).astype(np.int64)
         first = np.where(t[0] >= 0, t[0], 0)
         t = np.where(t >= 0, at + t * ALPHABET, ~(at + first * ALPHABET)[None, :])
         tables.append(t.astype(np.int32).ravel())
         model.roots[k] = at
         at += tables[-1].size
-        checks.append(s[half : half + chars])
+        checks.append(_evenly(parts[1::2], chars))
     model.table = np.concatenate(tables) if tables else model.table
     own = model.phrases(checks)
     model.rate = np.array([max(own[k, k], 1) / max(len(checks[k]), 1) for k in range(len(langs))])
@@ -162,7 +185,8 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = 150, piece: int = 4000, chars: int = 20_000) -> Model:
     """Model of a bounded sample of the labelled rows that are not held out: about ``docs_per_lang`` documents a
-    language, picked by a hash of their id, ``piece`` characters of each; nothing more reaches the driver."""
+    language, picked by a hash of their id, ``piece`` characters of each; nothing more reaches the driver. Of these,
+    2 * ``chars`` symbols a language are used, drawn evenly from all of them (:func:`fit`)."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(~held_out("doc_id") & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
     if not counts:
