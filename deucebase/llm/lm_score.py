@@ -27,19 +27,20 @@ def tokens_of(text: str | None) -> list[bytes]:
 class Vocabulary:
     """The most frequent words by name, all others by one of ``buckets`` hash buckets; then one id for the edge of a text.
 
-    Tokens of like frequency make classes of about equal mass; ``inside`` is log p(token | class) by corpus counts. For
-    a bucket it is that of a word counted once: the log of a word's own count comes on top (:func:`own_logs`).
+    Ids fall with frequency, names and buckets together; ``fan`` neighbouring ids are a class. ``prior`` is the log of
+    each id's share of all tokens. ``inside`` is log p(word | id): 0 for a name; for a bucket that of a word counted
+    once: the log of a word's own count comes on top (:func:`own_logs`).
     """
 
     index: dict[bytes, int]
-    buckets: int
-    klass: np.ndarray
+    bucket_ids: np.ndarray
+    prior: np.ndarray
     inside: np.ndarray
-    n_classes: int
+    fan: int
 
     @property
     def edge(self) -> int:
-        return len(self.index) + self.buckets
+        return len(self.prior)
 
     @property
     def dtype(self) -> type:
@@ -51,7 +52,7 @@ class Vocabulary:
         ids = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
         other = np.flatnonzero(ids < 0)
         tail = hashes([words[k] for k in other])
-        ids[other] = len(self.index) + tail % self.buckets
+        ids[other] = self.bucket_ids[tail % len(self.bucket_ids)]
         return ids.astype(self.dtype), tail
 
 
@@ -80,7 +81,7 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.select(text_col).mapInArrow(released(run), "word binary, h bigint, n bigint").groupBy("word", "h").agg(F.sum("n").alias("n"))
 
 
-def build_vocabulary(counts: DataFrame, size: int = 4096, buckets: int = 512, n_classes: int = 64) -> Vocabulary:
+def build_vocabulary(counts: DataFrame, size: int = 4096, buckets: int = 512) -> Vocabulary:
     """Names for the ``size`` most frequent words or, where that is more, for four times the square root of the number of
     different words; ``buckets`` grow alike. Only these words, the bucket sums and the counts of counts reach the driver."""
     often = sorted(((r[0], r[1]) for r in counts.groupBy("n").count().collect()), reverse=True)
@@ -97,13 +98,14 @@ def build_vocabulary(counts: DataFrame, size: int = 4096, buckets: int = 512, n_
     for b, n in counts.groupBy(F.pmod("h", F.lit(buckets)).alias("b")).agg(F.sum("n").alias("n")).collect():
         mass[len(top) + b] = n
     np.subtract.at(mass, len(top) + hashes([w for w, _ in top]) % buckets, mass[: len(top)])
-    mass = np.maximum(mass, 0) + 0.5
+    mass = np.maximum(mass, 0)
     order = np.argsort(-mass, kind="stable")
-    klass = np.zeros(len(mass), np.int64)
-    klass[order] = np.minimum((np.cumsum(mass[order]) - mass[order] / 2) / mass.sum() * n_classes, n_classes - 1).astype(np.int64)
-    total = np.bincount(klass, mass, n_classes)
-    mass[len(top) :] = 1
-    return Vocabulary({w: i for i, (w, _) in enumerate(top)}, buckets, klass, np.log(mass / total[klass]).astype(np.float32), n_classes)
+    id_of = np.empty(len(mass), np.int64)
+    id_of[order] = np.arange(len(mass))
+    inside = np.zeros(len(mass), np.float32)
+    inside[id_of[len(top) :]] = -np.log(np.maximum(mass[len(top) :], 1))
+    prior = np.log((mass[order] + 0.5) / (mass + 0.5).sum()).astype(np.float32)
+    return Vocabulary({w: int(id_of[i]) for i, (w, _) in enumerate(top)}, id_of[len(top) :], prior, inside, math.ceil(math.sqrt(len(mass))))
 
 
 def own_logs(coded: DataFrame, counts: DataFrame) -> DataFrame:
@@ -113,47 +115,90 @@ def own_logs(coded: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 class WindowNet:
-    """Embeddings per offset, summed, through tanh, to a softmax over the classes of the token in the middle."""
+    """Embeddings per offset, summed, through tanh, to the token in the middle: a softmax over the classes of
+    neighbouring ids, then one over the ids of the class. Both see both sides; at first both give the plain shares."""
 
-    def __init__(self, n_tokens: int, n_classes: int, width: int = 24, seed: int = 3):
+    def __init__(self, vocabulary: Vocabulary, width: int = 16, seed: int = 3):
         r = np.random.default_rng(seed)
-        self.e = (r.standard_normal((len(OFFSETS), n_tokens + 1, width)) * 0.1).astype(np.float32)
-        self.w = (r.standard_normal((width, n_classes)) * 0.1).astype(np.float32)
-        self.b = np.zeros(n_classes, np.float32)
+        prior, self.fan = vocabulary.prior, vocabulary.fan
+        n, classes = len(prior), -(-len(prior) // self.fan)
+        self.e = (r.standard_normal((len(OFFSETS), n + 1, width)) * 0.1).astype(np.float32)
+        self.w = (r.standard_normal((width, classes)) * 0.1).astype(np.float32)
+        self.b = np.log(np.add.reduceat(np.exp(prior.astype(np.float64)), np.arange(0, n, self.fan))).astype(np.float32) if n else np.zeros(0, np.float32)
+        self.v = (r.standard_normal((n, width)) * 0.1).astype(np.float32)
+        self.c = prior.copy()
+
+    def _all(self) -> tuple[np.ndarray, ...]:
+        return self.e, self.w, self.b, self.v, self.c
 
     def flat(self) -> np.ndarray:
-        return np.concatenate([self.e.ravel(), self.w.ravel(), self.b])
+        return np.concatenate([x.ravel() for x in self._all()])
 
     def load(self, flat: np.ndarray) -> WindowNet:
         at = 0
-        for a in (self.e, self.w, self.b):
+        for a in self._all():
             a[...] = flat[at : at + a.size].reshape(a.shape)
             at += a.size
         return self
 
-    def forward(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def hidden(self, context: np.ndarray) -> np.ndarray:
         h = self.e[0][context[:, 0]]
         for k in range(1, len(OFFSETS)):
             h += self.e[k][context[:, k]]
-        np.tanh(h, out=h)
-        z = h @ self.w + self.b
-        z -= z.max(1, keepdims=True)
-        z -= np.log(np.exp(z).sum(1, keepdims=True))
-        return h, z
+        return np.tanh(h, out=h)
+
+    def _by_class(self, target: np.ndarray):
+        """Rows whose target is in one class, with the ids of that class."""
+        k = target // self.fan
+        order = np.argsort(k, kind="stable")
+        cut = np.flatnonzero(np.concatenate([[True], np.diff(k[order]) > 0, [True]]))
+        for a, b in zip(cut[:-1], cut[1:], strict=True):
+            at = order[a:b]
+            first = int(k[at[0]]) * self.fan
+            yield at, slice(first, min(first + self.fan, len(self.c))), target[at] - first
+
+    def log_p(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """log p(target | context) of every row."""
+        h = self.hidden(context)
+        out = _log_softmax(h @ self.w + self.b)[np.arange(len(target)), target // self.fan]
+        for at, ids, slot in self._by_class(target):
+            out[at] += _log_softmax(h[at] @ self.v[ids].T + self.c[ids])[np.arange(len(at)), slot]
+        return out
 
     def step(self, context: np.ndarray, target: np.ndarray, rate: float) -> None:
-        h, z = self.forward(context)
-        g = np.exp(z)
-        g[np.arange(len(target)), target] -= 1
-        gh = (g @ self.w.T) * (1 - h * h)
+        h = self.hidden(context)
+        g = _softmax(h @ self.w + self.b)
+        g[np.arange(len(target)), target // self.fan] -= 1
+        gh = g @ self.w.T
+        for at, ids, slot in self._by_class(target):
+            hc, v = h[at], self.v[ids]
+            gc = _softmax(hc @ v.T + self.c[ids])
+            gc[np.arange(len(at)), slot] -= 1
+            gh[at] += gc @ v
+            pace = rate / (16 + len(at))  # a class is met by a part of the batch
+            self.v[ids] -= pace * (gc.T @ hc)
+            self.c[ids] -= pace * gc.sum(0)
         self.w -= rate / len(target) * (h.T @ g)
         self.b -= rate / len(target) * g.sum(0)
-        gh *= -rate / 20  # embeddings are touched rarely; their steps are not averaged over the batch
+        gh *= (1 - h * h) * np.float32(-rate / 20)  # embeddings are touched rarely; their steps are not averaged over the batch
         width = gh.shape[1]
         for k in range(len(OFFSETS)):  # flat: add.at is several times faster on one dimension
             np.add.at(self.e[k].reshape(-1), (context[:, k, None] * width + np.arange(width)).ravel(), gh.ravel())
 
 
+def _log_softmax(z: np.ndarray) -> np.ndarray:
+    z -= z.max(1, keepdims=True)
+    z -= np.log(np.exp(z).sum(1, keepdims=True))
+    return z
+
+
+def _softmax(z: np.ndarray) -> np.ndarray:
+    z -= z.max(1, keepdims=True)
+    np.exp(z, out=z)
+    z /= z.sum(1, keepdims=True)
+    return z
+
+
 def _masked(n: int, shard: int, every: int, turn: int, rounds: int) -> np.ndarray:
     """Positions in a text of ``n`` tokens that are targets in round ``turn``: over ``rounds`` rounds each at least once."""
     mine = np.zeros(every, bool)
@@ -174,7 +219,7 @@ def _windows(ids: np.ndarray, edge: int, at: np.ndarray | None = None) -> np.nda
 def _train(shared, every: int, turn: int, rounds: int, rate: float, batch: int, blocks: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, flat, width = shared.value
-        net = WindowNet(vocabulary.edge, vocabulary.n_classes, width)
+        net = WindowNet(vocabulary, width)
         shard, seen = None, 0
         contexts, targets, held = [], [], 0
 
@@ -199,10 +244,10 @@ def _train(shared, every: int, turn: int, rounds: int, rate: float, batch: int,
                 ids = np.frombuffer(raw, vocabulary.dtype)
                 masked = _masked(len(ids), s, every, turn, rounds)
                 contexts.append(_windows(ids, vocabulary.edge, masked))
-                targets.append(vocabulary.klass[ids[masked]])
+                targets.append(ids[masked].astype(np.int64))
                 held += len(masked)
                 seen += len(masked)
-                if held >= 64 * batch:
+                if held >= 8 * batch:
                     learn()
                     contexts, targets, held = [], [], 0
         if held:
@@ -230,34 +275,57 @@ def _averaged(parts: DataFrame, shards: int, fan: int = 16) -> np.ndarray:
     return np.concatenate([np.asarray(p, np.float32) for _, p in got]) if got else np.zeros(0, np.float32)
 
 
+def summed(net: WindowNet, vocabulary: Vocabulary, texts: Iterator[np.ndarray]) -> tuple[list[int], np.ndarray]:
+    """Tokens and summed log p of every text; short texts share a chunk."""
+    size, owner, windows, held, total = [], [], [], [], [0.0]
+
+    def flush():
+        if held:
+            who, i = np.concatenate(owner), np.concatenate(held)
+            got = np.zeros(len(total))
+            np.add.at(got, who, net.log_p(np.concatenate(windows), i) + vocabulary.inside[i].astype(np.float64))
+            total[:] = (np.array(total) + got).tolist()
+            for x in (owner, windows, held):
+                x.clear()
+
+    waiting = 0
+    for k, ids in enumerate(texts):
+        size.append(len(ids))
+        total.append(0.0)
+        around = _windows(ids, vocabulary.edge)
+        for at in range(0, len(ids), _CHUNK):
+            part = ids[at : at + _CHUNK].astype(np.int64)
+            owner.append(np.full(len(part), k))
+            windows.append(around[at : at + _CHUNK])
+            held.append(part)
+            waiting += len(part)
+            if waiting >= _CHUNK:
+                flush()
+                waiting = 0
+    flush()
+    return size, np.array(total[: len(size)])
+
+
 def _scored(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, flat, width = shared.value
-        net = WindowNet(vocabulary.edge, vocabulary.n_classes, width).load(flat)
+        net = WindowNet(vocabulary, width).load(flat)
         for b in batches:
-            size, total = [], []
-            for raw in b.column(2).to_pylist():
-                ids = np.frombuffer(raw, vocabulary.dtype)
-                c, s = _windows(ids, vocabulary.edge), 0.0
-                for k in range(0, len(ids), _CHUNK):
-                    i = ids[k : k + _CHUNK]
-                    _, z = net.forward(c[k : k + _CHUNK])
-                    s += float((z[np.arange(len(i)), vocabulary.klass[i]] + vocabulary.inside[i]).sum(dtype=np.float64))
-                size.append(len(ids))
-                total.append(s)
+            size, total = summed(net, vocabulary, (np.frombuffer(raw, vocabulary.dtype) for raw in b.column(2).to_pylist()))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(size, pa.int64()), pa.array(total, pa.float64())], names=["row", "doc_id", "n_tokens", "log_likelihood"])
 
     return run
 
 
-def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 2, shard_docs: int = 4096, every: int = 8, rate: float = 1.0, batch: int = 256, width: int = 24, size: int = 4096, buckets: int = 512) -> DataFrame:
+def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 2, shard_docs: int = 4096, every: int = 8, rate: float = 2.0, batch: int = 8192, width: int = 16, size: int = 4096, buckets: int = 512) -> DataFrame:
     """doc_id, n_tokens, log_likelihood, score: one row per input row.
 
     log_likelihood is the sum over all tokens of log p(token | the two tokens on either side); score is its mean a
     token, 0 for a text without tokens (null, empty, white space). The network learns from the corpus itself: word
-    counts over all texts stay in a table and are joined in for p(token | class) of each word by its own count (words
-    meet there by 64-bit hash); the most frequent give the network's vocabulary, at least ``size`` words and ``buckets``
-    buckets, which grow with the number of different words. In each round every shard of about ``shard_docs`` documents
+    counts over all texts stay in a table; the most frequent give the network's vocabulary, at least ``size`` words and
+    ``buckets`` buckets, which grow with the number of different words. A named word's probability is the network's own,
+    from both sides; for a word without a name that of its bucket, times the word's share of the bucket by its own
+    count, which is joined in (words meet there by 64-bit hash). In each round every shard of about ``shard_docs`` documents
     (more as the vocabulary grows) trains the network on masked tokens of each of its texts, and the shards' parameters
     are averaged by tokens. A text's positions are dealt into ``every`` residues and these over the ``rounds``, so that
     every token of every text is learned from, once where ``rounds`` is at most ``every``. Shards go by a hash of the id, so the result does not hang on partitions, and a hot source is spread out.
@@ -283,7 +351,7 @@ def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     # Each shard writes all parameters: shards grow with the vocabulary, so that what they write keeps pace with the input.
     shards = max(1, -(-coded.count() // (shard_docs * max(size + buckets, vocabulary.edge) // (size + buckets))))
     placed = coded.select(F.pmod(F.xxhash64(F.lit(17), "doc_id"), F.lit(shards)).alias("shard"), F.xxhash64(F.lit(18), "doc_id").alias("h"), "ids")
-    flat = WindowNet(vocabulary.edge, vocabulary.n_classes, width).flat()
+    flat = WindowNet(vocabulary, width).flat()
     for r in range(rounds):
         shared = spark.sparkContext.broadcast((vocabulary, flat, width))
         dealt = placed.repartition("shard").sortWithinPartitions("shard", "h", "ids").select("shard", "ids")
