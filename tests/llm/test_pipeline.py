@@ -47,3 +47,37 @@ def test_pipeline(spark, tmp_path):
     assert max(Counter(x["doc_id"] for x in seen["mixing"]).values()) <= 2
     assert abs(sum(taken.values()) - 1.5 * sum(whole.values())) < 30
     assert len(seen["bpe"]) == len(seen["mixing"]) and all(x["n_tokens"] > 0 for x in seen["bpe"])
+
+
+def test_pipeline_odd_tables(spark, tmp_path, odd, none):
+    """Empty tables, repeated rows, shared and null ids, clashing columns: every stage keeps the columns it got."""
+    import corpus_pipeline
+
+    for name, table in (("odd", odd), ("none", none), ("again", odd.unionByName(odd))):
+        docs = table.drop("kept", "size", "row_key") if name == "again" else table
+        for k, (stage, f) in enumerate(corpus_pipeline.STAGES):
+            out = f(spark, docs, str(tmp_path))
+            if stage != "bpe":
+                assert out.columns == docs.columns, (name, stage)
+            path = str(tmp_path / f"{name}{k}")
+            out.write.parquet(path)
+            docs = spark.read.parquet(path)
+            if stage == "ngram_join" and name != "none":
+                assert len({r["text"].lower() for r in docs.collect()}) == docs.count() - sum(r["doc_id"] is None for r in docs.collect())
+        assert (docs.count() == 0) == (name == "none")
+
+
+def test_registered_queries(spark, tmp_path):
+    """The thin queries over small tables, chats with conversation -1 among them."""
+    import hashlib
+
+    from deucebase.llm import queries
+
+    chats = [(7, 1, "assistant", "b"), (7, 0, "user", "a"), (8, 0, "user", None), (None, 0, "user", "x")]
+    spark.createDataFrame(chats, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {r["conv_id"]: r for r in queries.op7_chat_format(spark, str(tmp_path)).collect()}
+    said = "</s>[INST] ok [/INST]"
+    assert set(got) == {-1, 7, 8, None}
+    assert (got[-1]["n_turns"], got[-1]["loss_chars"], got[-1]["loss_sha256"]) == (2, len(said), hashlib.sha256(said.encode()).hexdigest())
+    assert got[-1]["turns_sha256"] == hashlib.sha256(f"user\n{said}\nassistant\n{said}\n".encode()).hexdigest()
+    assert (got[7]["loss_chars"], got[7]["turns_sha256"]) == (1, hashlib.sha256(b"user\na\nassistant\nb\n").hexdigest()) and got[8]["loss_chars"] == 0
