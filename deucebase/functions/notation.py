@@ -177,8 +177,34 @@ def first_serve_dir(s: Column) -> Column:
     return F.when(d == "", "?").otherwise(d)
 
 
+# Parts of a stroke's word.
+SERVE_WORDS = {"4": "W", "5": "B", "6": "T"}
+KIND_WORDS = {"drive": "d", "slice": "s", "net": "v", "other": "o"}
+
+
+def _mapped(c: Column, words: dict[str, str], other: str) -> Column:
+    out = F.lit(other)
+    for k, v in words.items():
+        out = F.when(c == k, v).otherwise(out)
+    return out
+
+
 def shot_token(shot: Column, mirror: Column) -> Column:
-    """One word per stroke: serve and direction, or letter and direction, seen from the other wing if ``mirror``."""
-    direction = F.coalesce(shot["direction"], F.lit(""))
-    seen = F.when(mirror & ~shot["is_serve"], F.translate(direction, "13", "31")).otherwise(direction)
-    return F.concat(F.when(shot["is_serve"], F.lit("S")).otherwise(shot["letter"]), seen)
+    """One word per stroke: sv and the serve's target, or wing, kind and direction, the thirds turned if ``mirror``."""
+    direction = F.coalesce(shot["direction"], F.lit("·"))
+    seen = F.when(mirror, F.translate(direction, "13", "31")).otherwise(direction)
+    side = _mapped(shot["side"], {"FH": "F", "BH": "B"}, "?")
+    stroke = F.concat(side, _mapped(stroke_kind(shot["letter"], F.lit(False)), KIND_WORDS, "o"), seen)
+    return F.when(shot["is_serve"], F.concat(F.lit("sv"), _mapped(shot["direction"], SERVE_WORDS, "?"))).otherwise(stroke)
+
+
+def pretty(token: Column) -> Column:
+    """A stroke's word in plain words."""
+    serve = _mapped(F.substring(token, 3, 10), {"W": "serve wide", "B": "serve body", "T": "serve T"}, "serve ?")
+    side, kind = _mapped(F.substring(token, 1, 1), {"F": "FH", "B": "BH"}, "?"), _mapped(F.substring(token, 2, 1), {"d": "drive", "s": "slice", "v": "net"}, "shot")
+    return F.when(token.isin("<s>", "<end>"), token).when(token.startswith("sv"), serve).otherwise(F.concat(side, F.lit(" "), kind, F.lit("→"), F.substring(token, 3, 10)))
+
+
+def pretty_context(context: Column) -> Column:
+    """Words of a context, one space apart, in plain words."""
+    return F.array_join(F.transform(F.split(context, " "), pretty), " · ")

@@ -17,6 +17,14 @@ def tokens(points: DataFrame, keep: tuple[str, ...] = ("match_id", "pt", "gender
     return d.select(*keep, "server", "server_won", "shots", F.transform("shots", lambda s: shot_token(s, F.lit(False))).alias("toks"), F.transform("shots", lambda s: shot_token(s, F.lit(True))).alias("mirrored"))
 
 
+def spoken(toks: DataFrame, hands: DataFrame) -> DataFrame:
+    """``toks`` with each stroke named by its own hitter's hand: what a left-hander hits is turned. Unknown hands are right."""
+    for k in (1, 2):
+        toks = toks.join(hands.select("gender", F.col("player").alias(f"player{k}"), F.coalesce(F.col("hand") == "L", F.lit(False)).alias(f"_left{k}")), ["gender", f"player{k}"], "left")
+    left = lambda s: F.coalesce(F.when(s["hitter"] == 1, F.col("_left1")).otherwise(F.col("_left2")), F.lit(False))
+    return toks.withColumn("toks", F.zip_with("shots", F.arrays_zip("toks", "mirrored"), lambda s, w: F.when(left(s), w["mirrored"]).otherwise(w["toks"]))).drop("_left1", "_left2")
+
+
 def strikes(toks: DataFrame, k: int, keep: tuple[str, ...] = ("match_id", "pt", "gender")) -> DataFrame:
     """One row per stroke that ``k`` others lead up to: the striker, both contexts (plain and mirrored), and whether it
     won, was an own unforced error, or induced a forced error."""
@@ -69,11 +77,29 @@ def ngram_model(grams: DataFrame, l3: float = 0.7, l2: float = 0.2, l1: float =
     return g.select("gender", "a", "b", "t", "n", p.alias("p"), (-F.log2(p)).alias("bits"))
 
 
+def hitter(grams: DataFrame) -> DataFrame:
+    """Rows of :func:`ngrams` with the player whose stroke ``t`` is; none for the end of a point."""
+    who = F.when(F.col("i") % 2 == 0, F.col("server")).otherwise(3 - F.col("server"))
+    return grams.where(F.col("t") != END).withColumn("player", F.when(who == 1, F.col("player1")).otherwise(F.col("player2")))
+
+
+def player_surprise(grams: DataFrame, model: DataFrame, min_n: int = 500) -> DataFrame:
+    """Per player: strokes, mean surprise in bits and perplexity of the own strokes under the tour's model."""
+    g = hitter(grams).groupBy("gender", "player", "a", "b", "t").agg(F.count(F.lit(1)).alias("k")).join(model.select("gender", "a", "b", "t", "bits"), ["gender", "a", "b", "t"])
+    s = g.groupBy("gender", "player").agg(F.sum("k").alias("n"), (F.sum(F.col("k") * F.col("bits")) / F.sum("k")).alias("bits")).where(F.col("n") >= min_n)
+    return s.withColumn("perplexity", F.pow(F.lit(2.0), F.col("bits")))
+
+
+def surprise_wpa(grams: DataFrame, model: DataFrame, wpa: DataFrame, width: float = 1.0, least: int = 500) -> DataFrame:
+    """Mean win probability added by how surprising a stroke was, in bins of ``width`` bits."""
+    g = grams.where(F.col("t") != END).join(model.select("gender", "a", "b", "t", "bits"), ["gender", "a", "b", "t"]).select("match_id", "pt", (F.col("i") - 1).cast("int").alias("idx"), "gender", "bits")
+    j = g.join(wpa.select("match_id", "pt", "idx", "wpa"), ["match_id", "pt", "idx"])
+    return j.groupBy("gender", F.floor(F.col("bits") / width).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.avg("bits").alias("bits"), F.avg("wpa").alias("wpa")).where(F.col("n") >= least)
+
+
 def signatures(grams: DataFrame, min_n: int = 10) -> DataFrame:
     """Share of a word after another for a player, over the share in the field."""
-    who = F.when(F.col("i") % 2 == 0, F.col("server")).otherwise(3 - F.col("server"))
-    g = grams.where(F.col("t") != END).withColumn("player", F.when(who == 1, F.col("player1")).otherwise(F.col("player2")))
-    t = g.groupBy("gender", "player", "b", "t").agg(F.count(F.lit(1)).alias("n"))
+    t = hitter(grams).groupBy("gender", "player", "b", "t").agg(F.count(F.lit(1)).alias("n"))
     s = lambda *by: F.sum("n").over(Window.partitionBy("gender", *by))
     lift = (F.col("n") / s("player", "b")) / (s("b", "t") / s("b"))
     return t.withColumn("lift", lift).where(F.col("n") >= min_n)

@@ -5,18 +5,21 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from deucebase.functions import score
-from deucebase.operators import coverage
+from deucebase.functions import notation, score
+from deucebase.operators import coverage, screens
 from deucebase.operators import sequences as seq
 from deucebase.plans import sql
 from deucebase.plans.registry import query
-from deucebase.sources.adapter import digit, matches
-from deucebase.sources.store import parsed
+from deucebase.sources.adapter import matches
+from deucebase.sources.store import once, parsed
 
 _HANDS = """hands AS (SELECT gender, player, CASE WHEN sum((hand = 'R')::INT) >= sum((hand = 'L')::INT) THEN 'R' ELSE 'L' END AS hand FROM
  (SELECT gender, player1 AS player, player1_hand AS hand FROM matches UNION ALL SELECT gender, player2, player2_hand FROM matches) WHERE hand IN ('R', 'L') GROUP BY 1, 2)"""
-_TOK = f"""{sql.SHOTS}, {_HANDS}, tk AS (SELECT *, CASE WHEN is_serve THEN 'S' ELSE letter END || coalesce(direction, '') AS tok,
- CASE WHEN is_serve THEN 'S' || coalesce(direction, '') ELSE letter || translate(coalesce(direction, ''), '13', '31') END AS mir FROM shots WHERE parse_ok)"""
+_KW = "CASE WHEN letter IN ('f', 'b') THEN 'd' WHEN letter IN ('r', 's') THEN 's' WHEN letter IN ('v', 'z', 'o', 'p', 'u', 'y') THEN 'v' ELSE 'o' END"
+_WORD = f"CASE side WHEN 'FH' THEN 'F' WHEN 'BH' THEN 'B' ELSE '?' END || {_KW} || "
+_SERVED = "'sv' || CASE direction WHEN '4' THEN 'W' WHEN '5' THEN 'B' WHEN '6' THEN 'T' ELSE '?' END"
+_TOK = f"""{sql.SHOTS}, {_HANDS}, tk AS (SELECT *, CASE WHEN is_serve THEN {_SERVED} ELSE {_WORD} coalesce(direction, '·') END AS tok,
+ CASE WHEN is_serve THEN {_SERVED} ELSE {_WORD} translate(coalesce(direction, '·'), '13', '31') END AS mir FROM shots WHERE parse_ok)"""
 _CTX = """, cx AS (SELECT t.*, hand, CASE WHEN coalesce(hand, 'R') = 'L' THEN lag(mir, {0}) OVER w{1} ELSE lag(tok, {0}) OVER w{2} END AS context, lag(tok, {0}) OVER w AS deep,
  (coalesce(terminal, '') = '*')::INT AS w, (coalesce(terminal, '') = '@')::INT AS e, (coalesce(next_terminal, '') = '#')::INT AS f FROM tk t LEFT JOIN hands USING (gender, player) WINDOW w AS (PARTITION BY match_id, pt ORDER BY idx))"""
 _CTX2 = _CTX.format(2, " || ' ' || lag(mir, 1) OVER w", " || ' ' || lag(tok, 1) OVER w")
@@ -41,12 +44,12 @@ def trigger_contexts(spark, d):
     return t.select("gender", "player", "context", "n", "attempts", *[F.round(c, 6).alias(c) for c in ("att_rate", "att_lift", "conv")])
 
 
-_HALF = f"{digit('md5(match_id)', 2)} % 2"
+_HALF = f"(({sql.crc32('match_id')}) & 1)::INT"
 
 
 @query(f"SELECT gender, player, {_HALF} AS half, count(*) AS n, sum(w)::BIGINT AS w, sum(e)::BIGINT AS e, sum(f)::BIGINT AS f FROM cx WHERE deep IS NOT NULL GROUP BY 1, 2, 3", _TOK + _CTX2)
 def context_halves(spark, d):
-    half = (F.instr(F.lit("0123456789abcdef"), F.substring(F.md5("match_id"), 2, 1)) - 1) % 2
+    half = screens.half(F.col("match_id"))
     c = seq.strikes(_tokens(spark, d), 2)
     return c.groupBy("gender", "player", half.alias("half")).agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("w"), F.sum("e").alias("e"), F.sum("f").alias("f"))
 
@@ -80,33 +83,38 @@ def deep_patterns(spark, d):
     return j.select("gender", F.array_join("ctx", " ").alias("context"), F.array_join("parent", " ").alias("parent"), "n", F.round(F.col("w") / F.col("n"), 6).alias("rate"), F.round(F.col("pw") / F.col("pn"), 6).alias("parent_rate"))
 
 
-_NG = f"""{_TOK}, sq AS (SELECT gender, match_id, pt, idx AS i, tok AS t, player FROM tk UNION ALL SELECT gender, match_id, pt, max(idx) + 1, '<end>', NULL FROM tk GROUP BY 1, 2, 3),
+_NG = f"""{_TOK}, sq AS (SELECT gender, match_id, pt, idx AS i, CASE WHEN hand = 'L' THEN mir ELSE tok END AS t, player FROM tk LEFT JOIN hands USING (gender, player) UNION ALL SELECT gender, match_id, pt, max(idx) + 1, '<end>', NULL FROM tk GROUP BY 1, 2, 3),
  ng AS (SELECT gender, match_id, pt, player, coalesce(lag(t, 2) OVER w, '<s>') AS a, coalesce(lag(t, 1) OVER w, '<s>') AS b, t FROM sq WINDOW w AS (PARTITION BY gender, match_id, pt ORDER BY i)),
  ct AS (SELECT gender, a, b, t, count(*) AS n FROM ng GROUP BY ALL),
  lm AS (SELECT gender, a, b, t, n, 0.7 * n / sum(n) OVER (PARTITION BY gender, a, b) + 0.2 * sum(n) OVER (PARTITION BY gender, b, t) / sum(n) OVER (PARTITION BY gender, b) + 0.1 * (sum(n) OVER (PARTITION BY gender, t) + 1) / (total + vocab) AS p
         FROM ct JOIN (SELECT gender, count(DISTINCT t) AS vocab, sum(n) AS total FROM ct GROUP BY gender) USING (gender))"""
 
 
+def _grams(spark, d):
+    """Words of all points in their hitters' own hands, as trigrams; kept once an application."""
+    return once(spark, "stroke_grams", d, lambda: seq.ngrams(seq.spoken(_tokens(spark, d), coverage.modal_hand(matches(spark, d)))))
+
+
 @query("SELECT gender, a, b, t, n, round(p, 6) AS p, round(-log2(p), 6) AS bits FROM lm", _NG)
 def ngram_model(spark, d):
-    m = seq.ngram_model(seq.ngrams(_tokens(spark, d)))
+    m = seq.ngram_model(_grams(spark, d))
     return m.select("gender", "a", "b", "t", "n", F.round("p", 6).alias("p"), F.round("bits", 6).alias("bits"))
 
 
 @query("SELECT gender, sum(n)::BIGINT AS n, round(pow(2, sum(n * -log2(p)) / sum(n)), 6) AS perplexity FROM lm GROUP BY gender", _NG)
 def perplexity(spark, d):
-    m = seq.ngram_model(seq.ngrams(_tokens(spark, d)))
+    m = seq.ngram_model(_grams(spark, d))
     return m.groupBy("gender").agg(F.sum("n").alias("n"), F.round(F.pow(F.lit(2.0), F.sum(F.col("n") * F.col("bits")) / F.sum("n")), 6).alias("perplexity"))
 
 
 @query("SELECT gender, player, b, t, n, round(lift, 6) AS lift FROM (SELECT *, (n / sum(n) OVER (PARTITION BY gender, player, b)) / (sum(n) OVER (PARTITION BY gender, b, t) / sum(n) OVER (PARTITION BY gender, b)) AS lift FROM (SELECT gender, player, b, t, count(*) AS n FROM ng WHERE t <> '<end>' GROUP BY ALL)) WHERE n >= 10", _NG)
 def word_signatures(spark, d):
-    return seq.signatures(seq.ngrams(_tokens(spark, d))).withColumn("lift", F.round("lift", 6))
+    return seq.signatures(_grams(spark, d)).withColumn("lift", F.round("lift", 6))
 
 
 @query("SELECT gender, floor(-log2(p))::INT AS bits, count(*) AS n FROM ng JOIN lm USING (gender, a, b, t) GROUP BY 1, 2", _NG)
 def surprise_bins(spark, d):
-    g = seq.ngrams(_tokens(spark, d))
+    g = _grams(spark, d)
     j = g.join(seq.ngram_model(g).drop("n"), ["gender", "a", "b", "t"])
     return j.groupBy("gender", F.floor("bits").cast("int").alias("bits")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -149,3 +157,15 @@ def response_lifts(spark, d):
 )
 def serve_plus_one(spark, d):
     return seq.serve_plus_one(_obs(spark, d), score.serve_side(F.col("pts")))
+
+
+@query("SELECT gender, player, count(*) AS n, round(avg(-log2(p)), 6) AS bits, round(pow(2, avg(-log2(p))), 6) AS perplexity FROM ng JOIN lm USING (gender, a, b, t) WHERE t <> '<end>' GROUP BY 1, 2 HAVING count(*) >= 500", _NG)
+def player_surprise(spark, d):
+    g = _grams(spark, d)
+    s = seq.player_surprise(g, seq.ngram_model(g))
+    return s.select("gender", "player", "n", F.round("bits", 6).alias("bits"), F.round("perplexity", 6).alias("perplexity"))
+
+
+@query("SELECT t AS token, CASE WHEN starts_with(t, 'sv') THEN CASE substr(t, 3) WHEN 'W' THEN 'serve wide' WHEN 'B' THEN 'serve body' WHEN 'T' THEN 'serve T' ELSE 'serve ?' END WHEN t = '<end>' THEN t ELSE CASE substr(t, 1, 1) WHEN 'F' THEN 'FH' WHEN 'B' THEN 'BH' ELSE '?' END || ' ' || CASE substr(t, 2, 1) WHEN 'd' THEN 'drive' WHEN 's' THEN 'slice' WHEN 'v' THEN 'net' ELSE 'shot' END || '→' || substr(t, 3) END AS words, count(*) AS n FROM ng GROUP BY 1, 2", _NG)
+def pretty_tokens(spark, d):
+    return _grams(spark, d).groupBy(F.col("t").alias("token")).agg(F.count(F.lit(1)).alias("n")).select("token", notation.pretty(F.col("token")).alias("words"), "n")

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from deucebase.functions import score
-from deucebase.operators import strength, winprob
+from deucebase.operators import screens, strength, winprob
 from deucebase.plans import sql
 from deucebase.plans.registry import query
-from deucebase.sources.adapter import digit, points
+from deucebase.sources.adapter import points
 from deucebase.sources.store import once, parsed
 
 _POS = f"""{sql.SHOTS}, pos AS (
@@ -90,13 +90,13 @@ def _split_sql() -> str:
         f = winprob.FEATURES[:k]
         join.append(f"LEFT JOIN (SELECT {', '.join(f)}, count(*) AS n{k}, sum(y) AS w{k} FROM tr WHERE NOT is_last GROUP BY ALL) t{k} USING ({', '.join(f)})")
         est = f"(CASE WHEN n{k} IS NULL THEN {est} ELSE (w{k} + 50.0 * {est}) / (n{k} + 50.0) END)"
-    test = f"{digit('md5(match_id)', 1)} < 3"
+    test = f"({sql.crc32('match_id')}) % 1000 < 200"
     return f""", tr AS (SELECT * FROM pos WHERE NOT ({test})), b AS (SELECT sip, (sum(y) + 50.0 * (SELECT sum(y) / count(*) FROM tr WHERE is_last)) / (count(*) + 50.0) AS base FROM tr WHERE is_last GROUP BY sip),
  sc AS (SELECT te.*, {est} AS p FROM (SELECT * FROM pos WHERE NOT is_last AND {test}) te JOIN b USING (sip) {' '.join(join)})"""
 
 
 def _scored(spark, d, features=winprob.FEATURES):
-    pos = _pos(spark, d).withColumn("test", F.instr(F.lit("0123456789abcdef"), F.substring(F.md5("match_id"), 1, 1)) - 1 < 3)
+    pos = _pos(spark, d).withColumn("test", screens.in_test(F.col("match_id")))
     return winprob.held_out_values(pos.where("NOT test"), pos.where("test"), features)
 
 
