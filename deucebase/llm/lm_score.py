@@ -150,7 +150,7 @@ class WindowNet:
     def _by_class(self, target: np.ndarray):
         """Rows whose target is in one class, with the ids of that class."""
         k = target // self.fan
-        order = np.argsort(k, kind="stable")
+        order = np.argsort(k.astype(np.uint16) if len(self.c) < 1 << 16 else k, kind="stable")
         cut = np.flatnonzero(np.concatenate([[True], np.diff(k[order]) > 0, [True]]))
         for a, b in zip(cut[:-1], cut[1:], strict=True):
             at = order[a:b]
@@ -160,19 +160,27 @@ class WindowNet:
     def log_p(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         """log p(target | context) of every row."""
         h = self.hidden(context)
-        out = _log_softmax(h @ self.w + self.b)[np.arange(len(target)), target // self.fan]
+        z = h @ self.w
+        z += self.b
+        out = z[np.arange(len(target)), target // self.fan] - _log_sum(z)
         for at, ids, slot in self._by_class(target):
-            out[at] += _log_softmax(h[at] @ self.v[ids].T + self.c[ids])[np.arange(len(at)), slot]
+            z = h[at] @ self.v[ids].T
+            z += self.c[ids]
+            out[at] += z[np.arange(len(at)), slot] - _log_sum(z)
         return out
 
     def step(self, context: np.ndarray, target: np.ndarray, rate: float) -> None:
         h = self.hidden(context)
-        g = _softmax(h @ self.w + self.b)
+        g = h @ self.w
+        g += self.b
+        _shares(g)
         g[np.arange(len(target)), target // self.fan] -= 1
         gh = g @ self.w.T
         for at, ids, slot in self._by_class(target):
             hc, v = h[at], self.v[ids]
-            gc = _softmax(hc @ v.T + self.c[ids])
+            gc = hc @ v.T
+            gc += self.c[ids]
+            _shares(gc)
             gc[np.arange(len(at)), slot] -= 1
             gh[at] += gc @ v
             pace = rate / (16 + len(at))  # a class is met by a part of the batch
@@ -180,23 +188,33 @@ class WindowNet:
             self.c[ids] -= pace * gc.sum(0)
         self.w -= rate / len(target) * (h.T @ g)
         self.b -= rate / len(target) * g.sum(0)
-        gh *= (1 - h * h) * np.float32(-rate / 20)  # embeddings are touched rarely; their steps are not averaged over the batch
-        width = gh.shape[1]
-        for k in range(len(OFFSETS)):  # flat: add.at is several times faster on one dimension
-            np.add.at(self.e[k].reshape(-1), (context[:, k, None] * width + np.arange(width)).ravel(), gh.ravel())
+        np.clip(self.w, -_MOST, _MOST, out=self.w)
+        np.clip(self.v, -_MOST, _MOST, out=self.v)
+        h *= h
+        np.subtract(1, h, out=h)
+        gh *= h
+        gh *= np.float32(-rate / 20)  # embeddings are touched rarely; their steps are not averaged over the batch
+        for k in range(len(OFFSETS)):  # rows of one id are summed first: scattered sums are several times slower
+            ids = context[:, k]
+            order = np.argsort(ids.astype(np.uint16) if len(self.c) < 1 << 16 else ids, kind="stable")
+            ids = ids[order]
+            first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+            self.e[k][ids[first]] += np.add.reduceat(gh[order], first)
 
 
-def _log_softmax(z: np.ndarray) -> np.ndarray:
-    z -= z.max(1, keepdims=True)
-    z -= np.log(np.exp(z).sum(1, keepdims=True))
-    return z
+#: Weights stay within this bound, so that sums over the 16 or so hidden units, each within 1, never overflow exp.
+_MOST = np.float32(4)
 
 
-def _softmax(z: np.ndarray) -> np.ndarray:
-    z -= z.max(1, keepdims=True)
+def _log_sum(z: np.ndarray) -> np.ndarray:
+    """log of the sum of exp of every row; ``z`` is not kept."""
+    return np.log(np.exp(z).sum(1))
+
+
+def _shares(z: np.ndarray) -> None:
+    """Softmax of every row, in place."""
     np.exp(z, out=z)
     z /= z.sum(1, keepdims=True)
-    return z
 
 
 def _masked(n: int, shard: int, every: int, turn: int, rounds: int) -> np.ndarray:
