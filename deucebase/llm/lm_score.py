@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from deucebase.llm.common import free_shuffles, released, save, short_batches
 
 OFFSETS = (-2, -1, 1, 2)
-_CHUNK = 8192
+_CHUNK = 32_768
+DEPTH = 2  # levels of the tree over the ids
 
 
 def tokens_of(text: str | None) -> list[bytes]:
@@ -27,7 +28,7 @@ def tokens_of(text: str | None) -> list[bytes]:
 class Vocabulary:
     """The most frequent words by name, all others by one of ``buckets`` hash buckets; then one id for the edge of a text.
 
-    Ids fall with frequency, names and buckets together; ``fan`` neighbouring ids are a class. ``prior`` is the log of
+    Ids fall with frequency, names and buckets together; they are the leaves of a tree of ``fan`` children a node. ``prior`` is the log of
     each id's share of all tokens. ``inside`` is log p(word | id): 0 for a name; for a bucket that of a word counted
     once: the log of a word's own count comes on top (:func:`own_logs`).
     """
@@ -81,6 +82,11 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.select(text_col).mapInArrow(released(run), "word binary, h bigint, n bigint").groupBy("word", "h").agg(F.sum("n").alias("n"))
 
 
+def _fan(n: int) -> int:
+    """Children of a node, so that ``DEPTH`` levels hold ``n`` ids."""
+    return max(2, next(f for f in range(1, n + 3) if f**DEPTH >= n))
+
+
 def build_vocabulary(counts: DataFrame, size: int = 4096, buckets: int = 512) -> Vocabulary:
     """Names for the ``size`` most frequent words or, where that is more, for four times the square root of the number of
     different words; ``buckets`` grow alike. Only these words, the bucket sums and the counts of counts reach the driver."""
@@ -105,7 +111,7 @@ def build_vocabulary(counts: DataFrame, size: int = 4096, buckets: int = 512) ->
     inside = np.zeros(len(mass), np.float32)
     inside[id_of[len(top) :]] = -np.log(np.maximum(mass[len(top) :], 1))
     prior = np.log((mass[order] + 0.5) / (mass + 0.5).sum()).astype(np.float32)
-    return Vocabulary({w: int(id_of[i]) for i, (w, _) in enumerate(top)}, id_of[len(top) :], prior, inside, math.ceil(math.sqrt(len(mass))))
+    return Vocabulary({w: int(id_of[i]) for i, (w, _) in enumerate(top)}, id_of[len(top) :], prior, inside, _fan(len(mass)))
 
 
 def own_logs(coded: DataFrame, counts: DataFrame) -> DataFrame:
@@ -115,21 +121,23 @@ def own_logs(coded: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 class WindowNet:
-    """Embeddings per offset, summed, through tanh, to the token in the middle: a softmax over the classes of
-    neighbouring ids, then one over the ids of the class. Both see both sides; at first both give the plain shares."""
+    """Embeddings per offset, summed, through tanh, to the token in the middle: down a tree over the ids in order, with a
+    softmax over the ``fan`` children of every node on the way. All see both sides; at first they give the plain shares."""
 
     def __init__(self, vocabulary: Vocabulary, width: int = 16, seed: int = 3):
         r = np.random.default_rng(seed)
         prior, self.fan = vocabulary.prior, vocabulary.fan
-        n, classes = len(prior), -(-len(prior) // self.fan)
-        self.e = (r.standard_normal((len(OFFSETS), n + 1, width)) * 0.1).astype(np.float32)
-        self.w = (r.standard_normal((width, classes)) * 0.1).astype(np.float32)
-        self.b = np.log(np.add.reduceat(np.exp(prior.astype(np.float64)), np.arange(0, n, self.fan))).astype(np.float32) if n else np.zeros(0, np.float32)
-        self.v = (r.standard_normal((n, width)) * 0.1).astype(np.float32)
-        self.c = prior.copy()
-
-    def _all(self) -> tuple[np.ndarray, ...]:
-        return self.e, self.w, self.b, self.v, self.c
+        self.e = (r.standard_normal((len(OFFSETS), len(prior) + 1, width)) * 0.1).astype(np.float32)
+        share = np.exp(prior.astype(np.float64))
+        self.levels = []  # from the top: ids at a level, and by that number, weights and biases
+        step = self.fan ** (DEPTH - 1)
+        while step:
+            c = np.log(np.add.reduceat(share, np.arange(0, len(share), step))) if len(share) else share
+            self.levels.append((step, (r.standard_normal((len(c), width)) * 0.1).astype(np.float32), c.astype(np.float32)))
+            step = step // self.fan if step > 1 else 0
+
+    def _all(self) -> list[np.ndarray]:
+        return [self.e, *(x for _, v, c in self.levels for x in (v, c))]
 
     def flat(self) -> np.ndarray:
         return np.concatenate([x.ravel() for x in self._all()])
@@ -147,56 +155,52 @@ class WindowNet:
             h += self.e[k][context[:, k]]
         return np.tanh(h, out=h)
 
-    def _by_class(self, target: np.ndarray):
-        """Rows whose target is in one class, with the ids of that class."""
-        k = target // self.fan
-        order = np.argsort(k.astype(np.uint16) if len(self.c) < 1 << 16 else k, kind="stable")
-        cut = np.flatnonzero(np.concatenate([[True], np.diff(k[order]) > 0, [True]]))
-        for a, b in zip(cut[:-1], cut[1:], strict=True):
-            at = order[a:b]
-            first = int(k[at[0]]) * self.fan
-            yield at, slice(first, min(first + self.fan, len(self.c))), target[at] - first
+    def _choices(self, target: np.ndarray):
+        """For every node that some target passes: is it the top, the rows, the children, which child each row takes."""
+        for step, v, c in self.levels:
+            child = target // step
+            parent = child // self.fan
+            if len(c) <= self.fan:
+                yield True, slice(None), v, c, child
+                continue
+            order = np.argsort(parent.astype(np.uint16) if len(c) < 1 << 16 else parent, kind="stable")
+            cut = np.flatnonzero(np.concatenate([[True], np.diff(parent[order]) > 0, [True]]))
+            for a, b in zip(cut[:-1], cut[1:], strict=True):
+                at = order[a:b]
+                first = int(parent[at[0]]) * self.fan
+                yield False, at, v[first : first + self.fan], c[first : first + self.fan], child[at] - first
 
     def log_p(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         """log p(target | context) of every row."""
-        h = self.hidden(context)
-        z = h @ self.w
-        z += self.b
-        out = z[np.arange(len(target)), target // self.fan] - _log_sum(z)
-        for at, ids, slot in self._by_class(target):
-            z = h[at] @ self.v[ids].T
-            z += self.c[ids]
-            out[at] += z[np.arange(len(at)), slot] - _log_sum(z)
+        h, out = self.hidden(context), np.zeros(len(target), np.float32)
+        for _, at, v, c, slot in self._choices(target):
+            z = h[at] @ v.T
+            z += c
+            out[at] += z[np.arange(len(slot)), slot] - _log_sum(z)
         return out
 
     def step(self, context: np.ndarray, target: np.ndarray, rate: float) -> None:
         h = self.hidden(context)
-        g = h @ self.w
-        g += self.b
-        _shares(g)
-        g[np.arange(len(target)), target // self.fan] -= 1
-        gh = g @ self.w.T
-        for at, ids, slot in self._by_class(target):
-            hc, v = h[at], self.v[ids]
-            gc = hc @ v.T
-            gc += self.c[ids]
-            _shares(gc)
-            gc[np.arange(len(at)), slot] -= 1
-            gh[at] += gc @ v
-            pace = rate / (16 + len(at))  # a class is met by a part of the batch
-            self.v[ids] -= pace * (gc.T @ hc)
-            self.c[ids] -= pace * gc.sum(0)
-        self.w -= rate / len(target) * (h.T @ g)
-        self.b -= rate / len(target) * g.sum(0)
-        np.clip(self.w, -_MOST, _MOST, out=self.w)
-        np.clip(self.v, -_MOST, _MOST, out=self.v)
+        gh = np.zeros_like(h)
+        for top, at, v, c, slot in self._choices(target):  # v and c are views
+            hc = h[at]
+            g = hc @ v.T
+            g += c
+            _shares(g)
+            g[np.arange(len(slot)), slot] -= 1
+            gh[at] += g @ v
+            pace = np.float32(rate / (len(slot) + (0 if top else 16)))  # a lower node is met by a part of the batch
+            v -= pace * (g.T @ hc)
+            c -= pace * g.sum(0)
+        for _, v, _c in self.levels:
+            np.clip(v, -_MOST, _MOST, out=v)
         h *= h
         np.subtract(1, h, out=h)
         gh *= h
         gh *= np.float32(-rate / 20)  # embeddings are touched rarely; their steps are not averaged over the batch
         for k in range(len(OFFSETS)):  # rows of one id are summed first: scattered sums are several times slower
             ids = context[:, k]
-            order = np.argsort(ids.astype(np.uint16) if len(self.c) < 1 << 16 else ids, kind="stable")
+            order = np.argsort(ids.astype(np.uint16) if self.e.shape[1] < 1 << 16 else ids, kind="stable")
             ids = ids[order]
             first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
             self.e[k][ids[first]] += np.add.reduceat(gh[order], first)

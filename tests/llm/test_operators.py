@@ -483,10 +483,13 @@ def test_pseudo_likelihood_against_plain_sums():
     texts = [r.integers(0, 23, n).astype(np.uint16) for n in (0, 1, 2, 9)]
 
     def plain(context, target):
-        h = np.tanh(sum(net.e[k][c] for k, c in enumerate(context)).astype(np.float64))
-        k = target // voc.fan
-        a, b = h @ net.w + net.b, h @ net.v[k * 5 : k * 5 + 5].T + net.c[k * 5 : k * 5 + 5]
-        return a[k] - np.log(np.exp(a).sum()) + b[target - k * 5] - np.log(np.exp(b).sum())
+        h, out = np.tanh(sum(net.e[k][c] for k, c in enumerate(context)).astype(np.float64)), 0.0
+        for step, v, c in net.levels:
+            child = target // step
+            low = child // voc.fan * voc.fan if step < voc.fan ** (lm_score.DEPTH - 1) else 0
+            z = h @ v[low : low + voc.fan].T + c[low : low + voc.fan]
+            out += z[child - low] - np.log(np.exp(z).sum())
+        return out
 
     size, total = lm_score.summed(net, voc, iter(texts))
     for t, n, s in zip(texts, size, total, strict=True):
