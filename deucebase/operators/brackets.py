@@ -225,7 +225,7 @@ def playing(start: Column, end: Column, now: Column, grace_days: int = 1) -> Col
 
 def iso(value: Column) -> Column:
     """A timestamp of ISO text, UTC where it names no zone; null if it is none."""
-    return F.try_to_timestamp(F.regexp_replace(value, "Z$", "+00:00"))
+    return F.regexp_replace(F.regexp_replace(value, "Z$", "+00:00"), r"([T ]\d\d:\d\d)(?=$|[+-])", "$1:00").try_cast("timestamp")
 
 
 def venue_day(stamp: Column) -> Column:

@@ -21,6 +21,7 @@ def charted(matches: DataFrame, points: DataFrame, by: tuple[str, ...] = ("gende
     """Matches, points and first and last year per group; points are counted per match before the join."""
     n = points.where("svr IN (1, 2) AND pt_winner IN (1, 2)").groupBy("match_id").agg(F.count(F.lit(1)).alias("n"))
     m = sides(matches.join(n, "match_id"), ("match_id", "gender", "year", "n"))
+    m = m.where("year IS NOT NULL") if "year" in by else m
     return m.groupBy(*by).agg(F.count(F.lit(1)).alias("n_matches"), F.sum("n").alias("n_points"), F.min("year").alias("first_year"), F.max("year").alias("last_year"))
 
 
@@ -29,7 +30,7 @@ def summary(matches: DataFrame) -> DataFrame:
     players = sides(matches, ("gender",)).agg(F.countDistinct("gender", "player").alias("n_players"))
     one = m.agg(
         F.count(F.lit(1)).alias("n_matches"), F.countDistinct("tournament").alias("n_events"), F.min("date").alias("first_date"), F.max("date").alias("last_date"),
-        F.sum((F.col("gender") == "M").cast("int")).alias("n_men"), F.round(100 * F.avg((F.col("tier") != "Other / Unknown").cast("int")), 1).alias("pct_classified"),
+        F.sum((F.col("gender") == "M").cast("int")).alias("n_men"), F.bround(100 * F.avg((F.col("tier") != "Other / Unknown").cast("int")), 1).alias("pct_classified"),
     )
     return one.join(F.broadcast(players))  # one row on either side
 
@@ -37,7 +38,7 @@ def summary(matches: DataFrame) -> DataFrame:
 def slam_coverage(matches: DataFrame, since: int = 1990, full: int = 127) -> DataFrame:
     m = matches.where(F.col("year") >= since).where(classify_tier(F.col("tournament"), F.col("gender")) == "Grand Slam").where(F.col("round").isin(*SLAM_ROUNDS))
     n = m.groupBy("year", event_base(F.col("tournament")).alias("event"), "gender").agg(F.countDistinct("match_id").alias("charted"))
-    return n.withColumn("pct", F.least(F.lit(100.0), F.round(100.0 * F.col("charted") / full, 1)))
+    return n.withColumn("pct", F.least(F.lit(100.0), F.bround(100.0 * F.col("charted") / full, 1)))
 
 
 def _sizes(spark: SparkSession, rounds: dict[str, int]) -> DataFrame:
@@ -49,7 +50,7 @@ def round_grid(charted: DataFrame, rounds: dict[str, int], keys: tuple[str, ...]
     draws = charted.select(*keys).distinct()
     grid = draws.crossJoin(F.broadcast(_sizes(charted.sparkSession, rounds)))
     n = charted.groupBy(*keys, "round").agg(F.countDistinct("match_id").alias("n"))
-    return grid.join(n, [*keys, "round"], "left").withColumn("charted", F.coalesce("n", F.lit(0))).withColumn("pct", F.least(F.lit(100.0), F.round(100.0 * F.col("charted") / F.col("size"), 1))).drop("n", "ord")
+    return grid.join(n, [*keys, "round"], "left").withColumn("charted", F.coalesce("n", F.lit(0))).withColumn("pct", F.least(F.lit(100.0), F.bround(100.0 * F.col("charted") / F.col("size"), 1))).drop("n", "ord")
 
 
 def slam_round_coverage(matches: DataFrame) -> DataFrame:
@@ -63,13 +64,13 @@ def round_completion(matches: DataFrame, tier: str, rounds: dict[str, int], even
     draws = m.groupBy("gender").agg(F.countDistinct("year", "event").alias("draws"))
     n = m.groupBy("gender", "round").agg(F.countDistinct("match_id").alias("charted"))
     j = n.join(draws, "gender").join(F.broadcast(_sizes(matches.sparkSession, rounds)), "round")
-    return j.select("gender", "round", "charted", "draws", F.round(100.0 * F.col("charted") / (F.col("draws") * F.col("size")), 1).alias("pct"))
+    return j.select("gender", "round", "charted", "draws", F.bround(100.0 * F.col("charted") / (F.col("draws") * F.col("size")), 1).alias("pct"))
 
 
 def masters_coverage(matches: DataFrame, full: int = 15) -> DataFrame:
     m = matches.where(classify_tier(F.col("tournament"), F.col("gender")) == "Masters / WTA 1000").where(F.col("round").isin(*LATE_ROUNDS))
     n = m.groupBy("year", canon_masters_event(F.col("tournament")).alias("event"), "gender").agg(F.countDistinct("match_id").alias("charted"))
-    return n.withColumn("pct", F.least(F.lit(100.0), F.round(100.0 * F.col("charted") / full, 1)))
+    return n.withColumn("pct", F.least(F.lit(100.0), F.bround(100.0 * F.col("charted") / full, 1)))
 
 
 def modal_hand(matches: DataFrame, by: tuple[str, ...] = ("gender", "player")) -> DataFrame:
@@ -77,3 +78,9 @@ def modal_hand(matches: DataFrame, by: tuple[str, ...] = ("gender", "player")) -
     votes = F.array(*[F.struct(F.col(f"player{k}").alias("player"), F.upper(F.trim(F.col(f"player{k}_hand"))).alias("hand")) for k in (1, 2)])
     v = matches.select("gender", F.inline(votes)).where(F.col("hand").isin("R", "L")).groupBy(*by).agg(F.sum((F.col("hand") == "R").cast("int")).alias("r"), F.sum((F.col("hand") == "L").cast("int")).alias("l"))
     return v.select(*by, F.when(F.col("r") >= F.col("l"), "R").otherwise("L").alias("hand"), (F.col("r") + F.col("l")).alias("votes"))
+
+
+def masters_round_coverage(matches: DataFrame) -> DataFrame:
+    """The upper level's late rounds by year and tour, with 0 where nothing is charted."""
+    m = matches.where(classify_tier(F.col("tournament"), F.col("gender")) == "Masters / WTA 1000").where(F.col("round").isin(*LATE_ROUNDS))
+    return round_grid(m, LATE_ROUNDS, ("year", "gender"))

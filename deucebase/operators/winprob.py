@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from deucebase.functions.notation import decoded, other_player, stroke_kind
+from deucebase.functions.score import lead, pressure, serve_side
 
 FEATURES = ["sip", "ply", "to_hit", "wing", "kind", "direction", "approach", "depth"]
 K = 50.0
@@ -25,6 +26,56 @@ def positions(points: DataFrame, cap: int = 12, keep: tuple[str, ...] = ("match_
     )
 
 
+TAGS = ["pressure", "court", "lead"]
+
+
+def tagged(pos: DataFrame, points: DataFrame) -> DataFrame:
+    """``pos`` with the score's tags of its point, from the server's side."""
+    c = F.col
+    first = c("svr") == 1
+    own = lambda a, b: F.when(first, c(a)).otherwise(c(b))
+    p = points.select("match_id", "pt", pressure(c("pts"), c("gm1"), c("gm2")).alias("pressure"), serve_side(c("pts")).alias("court"), lead(own("gm1", "gm2"), own("gm2", "gm1"), own("set1", "set2"), own("set2", "set1")).alias("lead"))
+    return pos.join(p, ["match_id", "pt"])
+
+
+def state_table(pos: DataFrame, test: Column, extra: list[str] | None = None) -> DataFrame:
+    """n and w per full state, tags included, of the training and the test matches; ``is_last`` rows count points. All
+    levels, ablations and losses are sums of this one small table."""
+    return pos.groupBy(test.alias("test"), "is_last", *FEATURES, *(extra or [])).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("server_won").cast("int")).alias("w"))
+
+
+def state_losses(states: DataFrame, features: list[str], by: tuple[str, ...] = ()) -> DataFrame:
+    """Held-out log-loss and Brier score of a model on ``features`` (sip first), from :func:`state_table`."""
+    train = states.where("NOT test")
+    b = train.where("is_last").groupBy("sip").agg(F.sum("n").alias("n"), F.sum("w").alias("w"))
+    whole = Window.partitionBy()  # two rows
+    b = b.select("sip", ((F.col("w") + K * F.sum("w").over(whole) / F.sum("n").over(whole)) / (F.col("n") + K)).alias("p"))
+    t = train.where("NOT is_last").groupBy(*features).agg(F.sum("n").alias("n"), F.sum("w").alias("w"))
+    out = states.where("test AND NOT is_last").groupBy(*dict.fromkeys([*features, *by])).agg(F.sum("n").alias("n_t"), F.sum("w").alias("w_t")).join(F.broadcast(b), "sip")
+    for k in range(2, len(features) + 1):
+        level = t.groupBy(*features[:k]).agg(F.sum("n").alias("ln"), F.sum("w").alias("lw"))
+        out = out.join(level, features[:k], "left").withColumn("p", F.when(F.col("ln").isNull(), F.col("p")).otherwise((F.col("lw") + K * F.col("p")) / (F.col("ln") + K))).drop("ln", "lw")
+    q = F.least(F.greatest("p", F.lit(1e-6)), F.lit(1 - 1e-6))
+    n, w = F.col("n_t"), F.col("w_t")
+    return out.groupBy(*by).agg(F.sum(n).alias("n"), (F.sum(-(w * F.log(q) + (n - w) * F.log(1 - q))) / F.sum(n)).alias("log_loss"), (F.sum(w * (q - 1) * (q - 1) + (n - w) * q * q) / F.sum(n)).alias("brier"))
+
+
+def coarse(tags: list[str]) -> list[str]:
+    """Tags as a conditioner of all that follows the first three features."""
+    return [*FEATURES[:3], *tags, *FEATURES[3:]]
+
+
+def fine(tags: list[str]) -> list[str]:
+    """Tags that only refine the full state."""
+    return [*FEATURES, *tags]
+
+
+def demo_points(wpa: DataFrame, worst: float = -0.25, top: int = 5) -> DataFrame:
+    """The longest rallies that hold a stroke as bad as ``worst``: the report's limit."""
+    g = wpa.groupBy("match_id", "pt").agg(F.count(F.lit(1)).alias("strokes"), F.min("wpa").alias("worst"))
+    return g.where(F.col("worst") <= worst).orderBy(F.desc("strokes"), "worst", "match_id", "pt").limit(top)
+
+
 def state_counts(pos: DataFrame, features: list[str]) -> DataFrame:
     """n and server wins per full state, non-terminal positions only: what all levels are summed from."""
     return pos.where("NOT is_last").groupBy(*features).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("server_won").cast("int")).alias("w"))

@@ -58,6 +58,13 @@ def match_form(spark, d):
     return _rounded(_formed(spark, d).select("match_id", "f1", "f2"), "f1", "f2")
 
 
+@query("SELECT match_id, player, surface, played, fsn::BIGINT AS deep, round(s, 6) AS serve, round(r, 6) AS ret, round(so, 6) AS serve_on, round(ro, 6) AS ret_on FROM rc", _LOG)
+def walk_forward_by_surface(spark, d):
+    """Rates before each match, surface on top of career on top of the league."""
+    b = form.rates_before(_log(spark, d), strength.league_mu(points(spark, d)))
+    return _rounded(b.select("match_id", "player", "surface", "played", "deep", "serve", "ret", "serve_on", "ret_on"), "serve", "ret", "serve_on", "ret_on")
+
+
 _GP = """, gp AS (SELECT *, lag(residual) OVER w AS x, day - lag(day) OVER w AS gap FROM rs WINDOW w AS (PARTITION BY gender, player ORDER BY day, match_id)), gq AS (SELECT gender, player, x, residual AS y FROM gp WHERE gap <= 45 AND day < 10000)"""
 
 
@@ -125,3 +132,13 @@ def arm_intervals(spark, d):
     y = F.col("y")
     one = F.array(*[F.struct(F.lit(a).alias("arm"), (form.log_loss(F.col(a), y) - form.log_loss(F.col("base"), y)).alias("delta")) for a in ARMS[1:]])
     return form.paired_bootstrap(s.select("gender", F.inline(one)), "delta", ["gender", "arm"], n=400)
+
+
+@query()
+def arm_strata(spark, d):
+    """Gain of the surface arm over the base by surface and by how much history the surface has (strata overlap)."""
+    s = _arms(spark, d)
+    y = F.col("y")
+    strata = F.filter(F.array(F.col("surface"), *[F.when(F.col("depth") >= n, F.lit(f"depth {n}+")) for n in (50, 150)]), lambda x: x.isNotNull())
+    d = s.select("gender", (form.log_loss(F.col("on_surface"), y) - form.log_loss(F.col("base"), y)).alias("delta"), F.explode(strata).alias("stratum"))
+    return form.paired_bootstrap(d, "delta", ["gender", "stratum"], n=200)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from deucebase.sources.adapter import CTES
 
-MODULES = ("reporting", "shots", "value", "sequences", "screens", "tendencies", "series", "relational", "entities", "form", "identity", "feeds", "ingest", "live")
+MODULES = ("reporting", "shots", "value", "sequences", "screens", "tendencies", "series", "relational", "entities", "form", "identity", "feeds", "ingest", "gold", "live")
 _FOUND: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 

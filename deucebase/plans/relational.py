@@ -118,15 +118,22 @@ def multiple_testing(spark, d):
     return t.select("player", "surface", F.round("bh", 6).alias("bh"), F.round("holm", 6).alias("holm"))
 
 
-@query()
+_BS = f""", mu AS (SELECT gender, avg((svr = pt_winner)::INT) AS mu FROM points WHERE {sql.VALID} GROUP BY gender), bs AS (SELECT gender, player, count(*) AS n, sum(won) AS w, any_value(mu) AS mu FROM pv JOIN mu USING (gender) WHERE serving GROUP BY 1, 2), bp AS (SELECT *, {sql.binom_tail('w', 'n', 'mu')} AS p FROM bs)"""
+
+
+@query(_BS + f" SELECT gender, player, n, w::BIGINT AS w, round(p, 6) AS p, round(q, 6) AS q FROM {sql.bh('bp', 'p', 'gender', 'player')}", sql.PLAYERS)
 def binomial_screen(spark, d):
     """Players who win more serve points than the tour would: exact tail, adjusted within gender."""
     s = strength.player_view(points(spark, d)).where("serving").groupBy("gender", "player").agg(F.count(F.lit(1)).alias("n"), F.sum("won").alias("w"))
     j = s.join(F.broadcast(strength.league_mu(points(spark, d))), "gender").withColumn("p", stats.binom_tail("w", "n", "mu"))  # two rows
-    return stats.bh(j, "p", ["gender"], ["player"]).select("gender", "player", "n", "w", "p", "q")
+    return stats.bh(j, "p", ["gender"], ["player"]).select("gender", "player", "n", "w", F.round("p", 6).alias("p"), F.round("q", 6).alias("q"))
+
+
+_SD = f""", sd AS (SELECT gender, player, {', '.join(f"count(*) FILTER ({sql.SIDE} = '{side}' AND won = {w}) AS {c}" for c, side, w in (('a', 'deuce', 1), ('b', 'deuce', 0), ('c', 'ad', 1), ('d', 'ad', 0)))} FROM pv WHERE serving GROUP BY 1, 2),
+ sp AS (SELECT *, {sql.fisher('a', 'b', 'c', 'd')} AS p FROM sd), sr AS (SELECT *, row_number() OVER (ORDER BY p, gender, player) AS r, count(*) OVER () AS m FROM sp)"""
 
 
-@query()
+@query(_SD + " SELECT gender, player, a, b, c, d, round(p, 6) AS p, round(least(1.0, max((m - r + 1) * p) OVER (ORDER BY r)), 6) AS q FROM sr", sql.PLAYERS)
 def side_differences(spark, d):
     """Deuce against ad court per player by Fisher's exact test, Holm over all."""
     from deucebase.functions.score import serve_side
@@ -134,7 +141,9 @@ def side_differences(spark, d):
     v = strength.player_view(points(spark, d)).where("serving").withColumn("side", serve_side(F.col("pts")))
     n = lambda side, won: F.count_if((F.col("side") == side) & (F.col("won") == won))
     t = v.groupBy("gender", "player").agg(n("deuce", 1).alias("a"), n("deuce", 0).alias("b"), n("ad", 1).alias("c"), n("ad", 0).alias("d"))
-    return stats.holm(t.withColumn("p", stats.fisher_two_sided("a", "b", "c", "d")), "p", ["gender"], ["player"])
+    t = t.withColumn("p", stats.fisher_two_sided("a", "b", "c", "d")).withColumn("family", F.lit(1))  # one family: a row per player
+    t = stats.holm(t, "p", ["family"], ["gender", "player"])
+    return t.select("gender", "player", "a", "b", "c", "d", F.round("p", 6).alias("p"), F.round("q", 6).alias("q"))
 
 
 @query(", t AS (SELECT match_id, charted_by, gender, count(*) AS n, count(*) FILTER (svr = pt_winner) AS w FROM points JOIN (SELECT match_id, charted_by FROM matches) USING (match_id) GROUP BY 1, 2, 3), c AS (SELECT charted_by, sum(n) AS n, sum(w) AS w FROM t GROUP BY 1) SELECT charted_by, n::BIGINT AS n, round(w / n - (sum(w) OVER () - w) / (sum(n) OVER () - n), 6) AS deviation FROM c")
@@ -165,3 +174,11 @@ def break_point_leverage(spark, d):
     r = F.col("w_normal") / F.col("n_normal")
     g = t.where("n_normal > 0 AND n_break_pt > 0").groupBy("gender")
     return g.agg(F.sum("n_break_pt").alias("n"), F.round((F.sum("w_break_pt") - F.sum(F.col("n_break_pt") * r)) / F.sqrt(F.sum(F.col("n_break_pt") * r * (1 - r))), 6).alias("z"))
+
+
+@query("SELECT match_id, pt FROM (SELECT match_id, pt, svr FROM points ORDER BY md5(match_id || ':' || pt || ':1'), match_id, pt LIMIT 5000) WHERE svr = 1")
+def sampled_points(spark, d):
+    """A sample of a fixed size by a seeded hash, taken before the filter, as the corpus reads it."""
+    from deucebase.sources.store import parsed_points
+
+    return parsed_points(spark, d, "svr = 1", 5000).select("match_id", "pt")

@@ -57,12 +57,12 @@ def player_coverage_by_year(spark, d):
 
 
 @query(f"""SELECT count(*) AS n_matches, count(DISTINCT tournament) AS n_events, min(date) AS first_date, max(date) AS last_date, sum((gender = 'M')::INT)::BIGINT AS n_men,
- round(100 * avg(({sql.TIER} <> 'Other / Unknown')::INT), 1) AS pct_classified, (SELECT count(*) FROM (SELECT gender, player1 FROM matches UNION SELECT gender, player2 FROM matches)) AS n_players FROM matches""")
+ round_even(100 * avg(({sql.TIER} <> 'Other / Unknown')::INT), 1) AS pct_classified, (SELECT count(*) FROM (SELECT gender, player1 FROM matches UNION SELECT gender, player2 FROM matches)) AS n_players FROM matches""")
 def coverage_summary(spark, d):
     return coverage.summary(matches(spark, d))
 
 
-@query(f"""SELECT year::INT AS year, {sql.BASE} AS event, gender, count(DISTINCT match_id) AS charted, least(100.0, round(100.0 * count(DISTINCT match_id) / 127, 1)) AS pct
+@query(f"""SELECT year::INT AS year, {sql.BASE} AS event, gender, count(DISTINCT match_id) AS charted, least(100.0, round_even(100.0 * count(DISTINCT match_id) / 127, 1)) AS pct
  FROM matches WHERE {sql.TIER} = 'Grand Slam' AND round IN ('R128', 'R64', 'R32', 'R16', 'QF', 'SF', 'F') GROUP BY 1, 2, 3""")
 def slam_coverage(spark, d):
     return coverage.slam_coverage(matches(spark, d))
@@ -73,7 +73,7 @@ _SIZES = "(VALUES ('R128', 64), ('R64', 32), ('R32', 16), ('R16', 8), ('QF', 4),
 
 @query(f""", m AS (SELECT * FROM matches WHERE {sql.TIER} = 'Grand Slam' AND round IN ('R128', 'R64', 'R32', 'R16', 'QF', 'SF', 'F')),
  n AS (SELECT year, gender, round, count(DISTINCT match_id) AS n FROM m GROUP BY ALL)
- SELECT g.year::INT AS year, g.gender, r.round, r.size, coalesce(n.n, 0) AS charted, least(100.0, round(100.0 * coalesce(n.n, 0) / r.size, 1)) AS pct
+ SELECT g.year::INT AS year, g.gender, r.round, r.size, coalesce(n.n, 0) AS charted, least(100.0, round_even(100.0 * coalesce(n.n, 0) / r.size, 1)) AS pct
  FROM (SELECT DISTINCT year, gender FROM m) g CROSS JOIN {_SIZES} LEFT JOIN n ON n.year = g.year AND n.gender = g.gender AND n.round = r.round""")
 def slam_round_coverage(spark, d):
     return coverage.slam_round_coverage(matches(spark, d))
@@ -81,13 +81,13 @@ def slam_round_coverage(spark, d):
 
 @query(f""", m AS (SELECT *, {sql.BASE} AS event FROM matches WHERE {sql.TIER} = 'Grand Slam' AND round IN ('R128', 'R64', 'R32', 'R16', 'QF', 'SF', 'F')),
  dr AS (SELECT gender, count(DISTINCT (year || '|' || event)) AS draws FROM m GROUP BY gender)
- SELECT m.gender, m.round, count(DISTINCT match_id) AS charted, any_value(draws) AS draws, round(100.0 * count(DISTINCT match_id) / (any_value(draws) * any_value(size)), 1) AS pct
+ SELECT m.gender, m.round, count(DISTINCT match_id) AS charted, any_value(draws) AS draws, round_even(100.0 * count(DISTINCT match_id) / (any_value(draws) * any_value(size)), 1) AS pct
  FROM m JOIN dr USING (gender) JOIN {_SIZES} ON r.round = m.round GROUP BY m.gender, m.round""")
 def slam_round_completion(spark, d):
     return coverage.round_completion(matches(spark, d), "Grand Slam", coverage.SLAM_ROUNDS, naming.event_base(F.col("tournament")))
 
 
-@query(f"""SELECT year::INT AS year, {sql.CANON} AS event, gender, count(DISTINCT match_id) AS charted, least(100.0, round(100.0 * count(DISTINCT match_id) / 15, 1)) AS pct
+@query(f"""SELECT year::INT AS year, {sql.CANON} AS event, gender, count(DISTINCT match_id) AS charted, least(100.0, round_even(100.0 * count(DISTINCT match_id) / 15, 1)) AS pct
  FROM matches WHERE {sql.TIER} = 'Masters / WTA 1000' AND round IN ('R16', 'QF', 'SF', 'F') GROUP BY 1, 2, 3""")
 def masters_coverage(spark, d):
     return coverage.masters_coverage(matches(spark, d))
@@ -95,7 +95,7 @@ def masters_coverage(spark, d):
 
 @query(f""", m AS (SELECT *, {sql.CANON} AS event FROM matches WHERE {sql.TIER} = 'Masters / WTA 1000' AND round IN ('R16', 'QF', 'SF', 'F')),
  dr AS (SELECT gender, count(DISTINCT (year || '|' || event)) AS draws FROM m GROUP BY gender)
- SELECT m.gender, m.round, count(DISTINCT match_id) AS charted, any_value(draws) AS draws, round(100.0 * count(DISTINCT match_id) / (any_value(draws) * any_value(size)), 1) AS pct
+ SELECT m.gender, m.round, count(DISTINCT match_id) AS charted, any_value(draws) AS draws, round_even(100.0 * count(DISTINCT match_id) / (any_value(draws) * any_value(size)), 1) AS pct
  FROM m JOIN dr USING (gender) JOIN {_SIZES} ON r.round = m.round GROUP BY m.gender, m.round""")
 def masters_round_completion(spark, d):
     return coverage.round_completion(matches(spark, d), "Masters / WTA 1000", coverage.LATE_ROUNDS, naming.canon_masters_event(F.col("tournament")))
@@ -161,3 +161,9 @@ def matches_by_year_ranked(spark, d):
     return n.select("gender", "year", "n", F.round(100.0 * F.col("n") / F.sum("n").over(w), 6).alias("pct"), F.rank().over(w.orderBy(F.desc("n"))).alias("place"))
 
 
+
+
+@query(f""", m AS (SELECT * FROM matches WHERE {sql.TIER} = 'Masters / WTA 1000' AND round IN ('R16', 'QF', 'SF', 'F')), n AS (SELECT year, gender, round, count(DISTINCT match_id) AS n FROM m GROUP BY ALL)
+ SELECT g.year::INT AS year, g.gender, r.round, r.size, coalesce(n.n, 0) AS charted, least(100.0, round_even(100.0 * coalesce(n.n, 0) / r.size, 1)) AS pct FROM (SELECT DISTINCT year, gender FROM m) g CROSS JOIN (VALUES ('R16', 8), ('QF', 4), ('SF', 2), ('F', 1)) r(round, size) LEFT JOIN n ON n.year = g.year AND n.gender = g.gender AND n.round = r.round""")
+def masters_round_coverage(spark, d):
+    return coverage.masters_round_coverage(matches(spark, d))

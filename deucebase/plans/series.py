@@ -25,24 +25,6 @@ def walk_forward(spark, d):
     return w.withColumn("serve_rate", F.round("serve_rate", 6)).withColumn("return_rate", F.round("return_rate", 6))
 
 
-@query(
-    """, pl AS (SELECT gender, player, surface, date, sum(won) FILTER (serving) AS sw, count(*) FILTER (serving) AS sn FROM pv GROUP BY 1, 2, 3, 4),
- q AS (SELECT gender, player, surface, date, coalesce(sum(sw) OVER b, 0) AS w, coalesce(sum(sn) OVER b, 0) AS n, coalesce(sum(sw) OVER a, 0) AS wa, coalesce(sum(sn) OVER a, 0) AS na FROM pl
-   WINDOW b AS (PARTITION BY gender, player, surface ORDER BY date RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 DAY PRECEDING), a AS (PARTITION BY gender, player ORDER BY date RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 DAY PRECEDING))
- SELECT gender, player, surface, date, n::BIGINT AS n_surface, round((w + 400 * ((wa + 100 * 0.6) / (na + 100))) / (n + 400), 6) AS serve_rate FROM q""",
-    sql.PLAYERS,
-)
-def walk_forward_by_surface(spark, d):
-    """Surface rate shrunk to the player's rate so far, which is shrunk to a fixed .6."""
-    log = strength.day_log(points(spark, d), ("gender", "player", "surface")).withColumn("day", F.unix_date("date"))
-    own = Window.partitionBy("gender", "player", "surface").orderBy("day").rangeBetween(Window.unboundedPreceding, -1)
-    every = Window.partitionBy("gender", "player").orderBy("day").rangeBetween(Window.unboundedPreceding, -1)
-    s = lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0))
-    base = (s("serve_won", every) + 100 * 0.6) / (s("serve_n", every) + 100)
-    rate = (s("serve_won", own) + 400 * base) / (s("serve_n", own) + 400)
-    return log.select("gender", "player", "surface", "date", s("serve_n", own).alias("n_surface"), F.round(rate, 6).alias("serve_rate"))
-
-
 _MATCHLOG = """, ml AS (SELECT match_id, gender, player, date, (date - DATE '1970-01-01')::INT AS day, sum(won) / count(*) - 0.5 AS residual FROM pv GROUP BY 1, 2, 3, 4)"""
 
 

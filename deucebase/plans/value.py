@@ -95,7 +95,7 @@ def _split_sql() -> str:
  sc AS (SELECT te.*, {est} AS p FROM (SELECT * FROM pos WHERE NOT is_last AND {test}) te JOIN b USING (sip) {' '.join(join)})"""
 
 
-def _scored(spark, d, features=winprob.FEATURES):
+def _scored(spark, d, features=winprob.FEATURES):  # position by position; losses alone come from the state table
     pos = _pos(spark, d).withColumn("test", screens.in_test(F.col("match_id")))
     return winprob.held_out_values(pos.where("NOT test"), pos.where("test"), features)
 
@@ -112,16 +112,48 @@ def held_out_calibration(spark, d):
     return c.select("bin", "n", F.round("mean_p", 6).alias("mean_p"), F.round("rate", 6).alias("rate"))
 
 
-@query()
+def _states(spark, d):
+    """Counts of all states with the score's tags, by fold: kept once an application."""
+    def build():
+        pos = winprob.tagged(_pos(spark, d), points(spark, d))
+        return winprob.state_table(pos, screens.in_test(F.col("match_id")), ["gender", *winprob.TAGS])
+
+    return once(spark, "state_table", d, build)
+
+
+VARIANTS = {
+    "whole": winprob.FEATURES, "no depth": winprob.FEATURES[:-1], "no direction": [x for x in winprob.FEATURES if x != "direction"], "serve and ply": winprob.FEATURES[:2], "to kind": winprob.FEATURES[:5],
+    "court coarse": winprob.coarse(["court"]), "court fine": winprob.fine(["court"]), "pressure coarse": winprob.coarse(["pressure"]), "pressure and court": winprob.coarse(["pressure", "court"]), "lead fine": winprob.fine(["lead"]),
+}
+_TAGGED = f"""{_POS}, tg AS (SELECT match_id, pt, {sql.SIDE} AS court, {sql.PRESSURE} AS pressure, CASE WHEN svr = 1 THEN gm1 ELSE gm2 END AS sg, CASE WHEN svr = 1 THEN gm2 ELSE gm1 END AS rg, CASE WHEN svr = 1 THEN set1 ELSE set2 END AS ss, CASE WHEN svr = 1 THEN set2 ELSE set1 END AS rs FROM points),
+ pt2 AS (SELECT pos.*, court, pressure, CASE WHEN ss > rs THEN 'set_ahead' WHEN ss < rs THEN 'set_behind' WHEN sg - rg >= 2 THEN 'ahead' WHEN sg - rg <= -2 THEN 'behind' ELSE 'even' END AS lead FROM pos JOIN tg USING (match_id, pt)),
+ hm AS (SELECT match_id, ({sql.crc32('match_id')}) % 1000 < 200 AS test FROM matches), pf AS (SELECT * FROM pt2 JOIN hm USING (match_id)), tr AS (SELECT * FROM pf WHERE NOT test), b AS (SELECT sip, (sum(y) + 50.0 * (SELECT sum(y) / count(*) FROM tr WHERE is_last)) / (count(*) + 50.0) AS base FROM tr WHERE is_last GROUP BY sip)"""
+
+
+def _variant_sql(name: str, features: list[str]) -> str:
+    est, join = "base", []
+    for k in range(2, len(features) + 1):
+        f = ", ".join(features[:k])
+        join.append(f"LEFT JOIN (SELECT {f}, count(*) AS n{k}, sum(y) AS w{k} FROM tr WHERE NOT is_last GROUP BY ALL) t{k} USING ({f})")
+        est = f"(CASE WHEN n{k} IS NULL THEN {est} ELSE (w{k} + 50.0 * {est}) / (n{k} + 50.0) END)"
+    return f"SELECT '{name}' AS variant, count(*) AS n, round(avg(-(y * ln(p) + (1 - y) * ln(1 - p))), 6) AS log_loss, round(avg((p - y) * (p - y)), 6) AS brier FROM (SELECT te.y, {est} AS p FROM (SELECT * FROM pf WHERE NOT is_last AND test) te JOIN b USING (sip) {' '.join(join)})"
+
+
+@query(" UNION ALL ".join(_variant_sql(k, f) for k, f in VARIANTS.items()), _TAGGED)
 def feature_ablation(spark, d):
-    """Held-out losses of five feature lists; the expected figures are those of held_out_losses for the whole list."""
+    """Held-out losses of models on ten feature lists, with and without the score: all from one table of states."""
     out = None
-    for name, f in {"whole": winprob.FEATURES, "no depth": winprob.FEATURES[:-1], "no direction": [x for x in winprob.FEATURES if x != "direction"], "serve and ply": winprob.FEATURES[:2], "to kind": winprob.FEATURES[:5]}.items():
-        one = winprob.losses(_scored(spark, d, f), "p", "server_won").withColumn("variant", F.lit(name))
+    for name, f in VARIANTS.items():
+        one = winprob.state_losses(_states(spark, d), f).select(F.lit(name).alias("variant"), "n", F.round("log_loss", 6).alias("log_loss"), F.round("brier", 6).alias("brier"))
         out = one if out is None else out.unionByName(one)
     return out
 
 
+@query("SELECT match_id, pt, count(*) AS strokes, round(min(wpa), 6) AS worst FROM wpa GROUP BY 1, 2 HAVING min(wpa) <= -0.25 ORDER BY count(*) DESC, min(wpa), match_id, pt LIMIT 5", _WPA)
+def demo_points(spark, d):
+    return winprob.demo_points(winprob.shot_wpa(_pos(spark, d))).withColumn("worst", F.round("worst", 6))
+
+
 @query(
     """, mu AS (SELECT gender, avg((svr = pt_winner)::INT) AS mu FROM points GROUP BY gender), s AS (SELECT gender, player, sum(won) FILTER (serving) / count(*) FILTER (serving) AS g FROM pv GROUP BY gender, player)
  SELECT gender, player, round(pow(g, 4) * (1 + 4 * (1 - g) + 10 * (1 - g) * (1 - g)) + 20 * pow(g * (1 - g), 3) * g * g / (g * g + (1 - g) * (1 - g)), 6) AS hold FROM s""",

@@ -61,6 +61,14 @@ def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return once(spark, "points_parsed", sf_dir, lambda: decoded(spread(points(spark, sf_dir))))
 
 
+def parsed_points(spark: SparkSession, sf_dir: str, where: str | None = None, sample: int | None = None, seed: int = 1) -> DataFrame:
+    """Decoded points, of a seeded sample of a fixed size where one is asked for; the filter comes after the sample."""
+    p = parsed(spark, sf_dir)
+    if sample:
+        p = p.orderBy(F.md5(F.concat_ws(":", "match_id", "pt", F.lit(seed))), "match_id", "pt").limit(sample)
+    return p.where(where) if where else p
+
+
 def write_parquet(df: DataFrame, path: str, by: tuple[str, ...] = ()) -> None:
     df.write.mode("overwrite").partitionBy(*by).parquet(path)
 
