@@ -184,6 +184,7 @@ def decode(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
 
 
 def token_report(docs: DataFrame, vocabulary: str | None = None, **cols: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of :func:`encode` and :func:`decode`."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of :func:`encode` and :func:`decode`: a row for every row, null texts
+    as empty ones with no token."""
     both = decode(encode(docs, vocabulary, **cols), vocabulary)
     return both.selectExpr("doc_id", "CAST(size(ids) AS bigint) AS n_tokens", "sha2(array_join(CAST(ids AS array<string>), ','), 256) AS ids_sha256", "sha2(text, 256) AS decoded_sha256")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -115,17 +115,17 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     block a source is left. A dozen of its units and the two that stay open are the landing problem, solved by trying
     every way, so a source's total misses its target by a part of a small document.
 
-    Blocks follow a hash of doc_id and size and every block has its own seeded generator, so reruns agree on any
+    Blocks follow a hash of doc_id, size and text (``unit``) and every block has its own seeded generator, so reruns agree on any
     cluster. A source with a third of all rows is just more blocks. Null or empty text: size 0, taken 0. A null
     source is a source, last in order. Rows that repeat an id are units of their own. No rows in: no rows out.
     """
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("bigint")
-    sized = save(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(source_col).alias("source"), size.alias("size")))
+    sized = save(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), _unit(seed, id_col, text_col).alias("unit")))
     targets = save(source_targets(sized, weights, share, most))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     small = targets.select("source", "src", "n_docs", rate.alias("rate"))
     units = sized.join(small, sized["source"].eqNullSafe(small["source"])).select(
-        F.xxhash64(F.lit(seed), "doc_id", "size").alias("unit"), "src", "size", F.floor("rate").alias("base"), (F.col("rate") - F.floor("rate")).alias("p"), "doc_id", "n_docs"
+        "unit", "src", "size", F.floor("rate").alias("base"), (F.col("rate") - F.floor("rate")).alias("p"), "doc_id", "n_docs"
     )
     units = units.withColumn("block", F.pmod("unit", F.ceil(F.col("n_docs") / block)))
     blocks = targets.agg(F.max(F.ceil(F.col("n_docs") / block))).first()[0] or 1
@@ -144,19 +144,22 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
         rows = rows.unionByName(d)
     back = targets.select("src", "source_size", "target")
     copies = (F.col("base") + F.round("p")).cast("bigint")
-    return rows.join(back, "src").select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"), F.col("src").alias("source_rank"))
+    return rows.join(back, "src").select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"), F.col("src").alias("source_rank"), "unit")
 
 
-def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+def _unit(seed: int, id_col: str, text_col: str) -> Column:
+    """Name of a row for the draw: rows that share or lack an id are told apart by their text."""
+    return F.xxhash64(F.lit(seed), F.col(id_col).cast("bigint"), F.col(text_col))
+
+
+def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 11, **how) -> DataFrame:
     """``docs`` as the mix takes them: a document that it takes twice is there twice, one that it doesn't take is not.
 
-    Rows of one id and size (repeated ids) share their counts out among themselves, in the order of a hash of the text.
+    Null and empty texts have size 0 and are drawn at their source's rate like any other. Rows equal in id and text share
+    their counts out among themselves. An empty table gives an empty one; all columns stay.
     """
-    taken = mix(docs, id_col=id_col, text_col=text_col, **how).groupBy("doc_id", "size").agg(F.sort_array(F.collect_list("copies")).alias("_c"))
-    taken = taken.withColumnsRenamed({"doc_id": "_id", "size": "_size"})
-    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("bigint")
-    d = docs.withColumn("_own_id", F.col(id_col).cast("bigint")).withColumn("_own_size", size)
-    both = d.join(taken, d["_own_id"].eqNullSafe(taken["_id"]) & (d["_own_size"] == taken["_size"]))
-    nth = F.row_number().over(Window.partitionBy("_own_id", "_own_size").orderBy(F.xxhash64(F.col(text_col))))
+    taken = mix(docs, seed=seed, id_col=id_col, text_col=text_col, **how).groupBy("unit").agg(F.sort_array(F.collect_list("copies")).alias("_c"))
+    both = docs.withColumn("_unit", _unit(seed, id_col, text_col)).join(taken.withColumnRenamed("unit", "_mixed"), F.col("_unit") == F.col("_mixed"))
+    nth = F.row_number().over(Window.partitionBy("_unit").orderBy(F.lit(0)))
     both = both.withColumn("_n", F.element_at("_c", nth)).where("_n > 0")
     return both.withColumn("_k", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_n")))).select(*docs.columns)

@@ -99,7 +99,8 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def secret_report(docs: DataFrame, **cols: str) -> DataFrame:
-    """The digest columns of :func:`scan_secrets`, made of its spans."""
+    """The digest columns of :func:`scan_secrets`, made of its spans: a row for every row, null and empty texts with counts
+    of 0 and the digest of no span."""
     found = scan_secrets(docs, **cols)
 
     def joined(s: str) -> str:
@@ -109,14 +110,3 @@ def secret_report(docs: DataFrame, **cols: str) -> DataFrame:
     base = "filter(spans, x -> x.kind <> 'entropy')"
     return found.selectExpr("doc_id", *(count.format(k) for k in KINDS), f"sha2({joined(base)}, 256) AS base_sha256", f"{joined('spans')} AS spans")
 
-
-def mask_secrets(text: str, mark: str = "[SECRET]") -> str:
-    """``text`` with every found span replaced, overlapping ones as one."""
-    out, at = [], 0
-    for _, s, e in find_secrets(text):
-        if s >= at:
-            out += [text[at:s], mark]
-        at = max(at, e)
-    return "".join([*out, text[at:]])
-
-
