@@ -46,8 +46,8 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources at their target weights; a document taken twice is there twice.
 
-    A null source is a source, last in order; null and empty texts have size 0 and are not taken. Repeated rows are drawn
-    one by one. An empty table stays empty; further columns are kept.
+    A null source is a source, last in order; null and empty texts have size 0 and are drawn at their source's rate.
+    Repeated rows are drawn one by one. An empty table stays empty; further columns are kept.
     """
     return apply_mix(docs)
 
