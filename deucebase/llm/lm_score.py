@@ -6,6 +6,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from deucebase.llm.common import free_shuffles, released, save, short_batches
 
 OFFSETS = (-2, -1, 1, 2)
-_CHUNK = 32_768
+_CHUNK = 16_384
 DEPTH = 2  # levels of the tree over the ids
 
 
@@ -50,7 +51,7 @@ class Vocabulary:
     def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words, and the hashes of those that are not named."""
         get = self.index.get
-        ids = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+        ids = np.fromiter(map(get, words, repeat(-1)), np.int64, len(words))
         other = np.flatnonzero(ids < 0)
         tail = hashes([words[k] for k in other])
         ids[other] = self.bucket_ids[tail % len(self.bucket_ids)]
@@ -88,10 +89,10 @@ def _fan(n: int) -> int:
 
 
 def build_vocabulary(counts: DataFrame, size: int = 4096, buckets: int = 512) -> Vocabulary:
-    """Names for the ``size`` most frequent words or, where that is more, for four times the square root of the number of
+    """Names for the ``size`` most frequent words or, where that is more, for twice the square root of the number of
     different words; ``buckets`` grow alike. Only these words, the bucket sums and the counts of counts reach the driver."""
     often = sorted(((r[0], r[1]) for r in counts.groupBy("n").count().collect()), reverse=True)
-    names = max(size, math.ceil(4 * math.sqrt(sum(k for _, k in often))))
+    names = max(size, math.ceil(2 * math.sqrt(sum(k for _, k in often))))
     buckets = buckets * names // size
     least, held = 0, 0
     for least, k in often:  # the count of the last word with a name
@@ -150,9 +151,9 @@ class WindowNet:
         return self
 
     def hidden(self, context: np.ndarray) -> np.ndarray:
-        h = self.e[0][context[:, 0]]
+        h = self.e[0][context[0]]
         for k in range(1, len(OFFSETS)):
-            h += self.e[k][context[:, k]]
+            h += self.e[k][context[k]]
         return np.tanh(h, out=h)
 
     def _choices(self, target: np.ndarray):
@@ -199,7 +200,7 @@ class WindowNet:
         gh *= h
         gh *= np.float32(-rate / 20)  # embeddings are touched rarely; their steps are not averaged over the batch
         for k in range(len(OFFSETS)):  # rows of one id are summed first: scattered sums are several times slower
-            ids = context[:, k]
+            ids = context[k]
             order = np.argsort(ids.astype(np.uint16) if self.e.shape[1] < 1 << 16 else ids, kind="stable")
             ids = ids[order]
             first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
@@ -221,21 +222,23 @@ def _shares(z: np.ndarray) -> None:
     z /= z.sum(1, keepdims=True)
 
 
-def _masked(n: int, shard: int, every: int, turn: int, rounds: int) -> np.ndarray:
-    """Positions in a text of ``n`` tokens that are targets in round ``turn``: over ``rounds`` rounds each at least once."""
+def _masked(n: np.ndarray, shard: int, every: int, turn: int, rounds: int) -> np.ndarray:
+    """Which positions of texts of ``n`` tokens, one after the other, are targets in round ``turn``: over ``rounds`` rounds
+    each at least once."""
     mine = np.zeros(every, bool)
     mine[turn % every :: rounds] = True
-    return np.flatnonzero(mine[(np.arange(n) + n * 7 + shard) % every])
+    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return mine[(at + np.repeat(n * 7 + shard, n)) % every]
 
 
-def _windows(ids: np.ndarray, edge: int, at: np.ndarray | None = None) -> np.ndarray:
-    """Rows: what stands at each of OFFSETS around every token, or around those at ``at``."""
+def _windows(texts: list[np.ndarray], edge: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts one after the other: all ids, what stands at each of OFFSETS (rows) around every token, tokens a text."""
+    n = np.array([len(t) for t in texts], np.int64)
     reach = max(OFFSETS)
-    padded = np.full(len(ids) + 2 * reach, edge, np.int64)
-    padded[reach : reach + len(ids)] = ids
-    if at is not None:
-        return np.column_stack([padded[reach + o + at] for o in OFFSETS])
-    return np.column_stack([padded[reach + o : reach + o + len(ids)] for o in OFFSETS])
+    rim = np.full(reach, edge, np.int64)
+    padded = np.concatenate([x for t in texts for x in (rim, t)] + [rim]).astype(np.int64)
+    place = np.arange(n.sum()) + np.repeat(reach * np.arange(1, len(n) + 1), n)
+    return padded[place], padded[np.array(OFFSETS)[:, None] + place], n
 
 
 def _train(shared, every: int, turn: int, rounds: int, rate: float, batch: int, blocks: int):
@@ -243,37 +246,36 @@ def _train(shared, every: int, turn: int, rounds: int, rate: float, batch: int,
         vocabulary, flat, width = shared.value
         net = WindowNet(vocabulary, width)
         shard, seen = None, 0
-        contexts, targets, held = [], [], 0
+        texts, held = [], 0
 
         def out():
             parts = np.array_split(net.flat(), blocks)
             return pa.RecordBatch.from_arrays([np.arange(blocks, dtype=np.int32), np.full(blocks, shard, np.int64), np.full(blocks, float(seen)), pa.array(parts, pa.list_(pa.float32()))], names=["block", "shard", "weight", "params"])
 
         def learn():
-            c, t = np.concatenate(contexts), np.concatenate(targets)
-            for k in range(0, len(t), batch):
-                net.step(c[k : k + batch], t[k : k + batch], rate)
+            ids, around, n = _windows(texts, vocabulary.edge)
+            at = np.flatnonzero(_masked(n, shard, every, turn, rounds))
+            for k in range(0, len(at), batch):
+                now = at[k : k + batch]
+                net.step(around[:, now], ids[now], rate)
+            return len(at)
 
         for b in batches:
             for s, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if s != shard:
                     if held:
-                        learn()
+                        seen += learn()
                     if shard is not None and seen:
                         yield out()
                     net.load(flat)
-                    shard, seen, contexts, targets, held = s, 0, [], [], 0
-                ids = np.frombuffer(raw, vocabulary.dtype)
-                masked = _masked(len(ids), s, every, turn, rounds)
-                contexts.append(_windows(ids, vocabulary.edge, masked))
-                targets.append(ids[masked].astype(np.int64))
-                held += len(masked)
-                seen += len(masked)
-                if held >= 8 * batch:
-                    learn()
-                    contexts, targets, held = [], [], 0
+                    shard, seen, texts, held = s, 0, [], 0
+                texts.append(np.frombuffer(raw, vocabulary.dtype))
+                held += len(texts[-1])
+                if held >= 16 * batch:
+                    seen += learn()
+                    texts, held = [], 0
         if held:
-            learn()
+            seen += learn()
         if shard is not None and seen:
             yield out()
 
@@ -299,33 +301,28 @@ def _averaged(parts: DataFrame, shards: int, fan: int = 16) -> np.ndarray:
 
 def summed(net: WindowNet, vocabulary: Vocabulary, texts: Iterator[np.ndarray]) -> tuple[list[int], np.ndarray]:
     """Tokens and summed log p of every text; short texts share a chunk."""
-    size, owner, windows, held, total = [], [], [], [], [0.0]
+    size, total, held, waiting = [], [], [], 0
 
     def flush():
-        if held:
-            who, i = np.concatenate(owner), np.concatenate(held)
-            got = np.zeros(len(total))
-            np.add.at(got, who, net.log_p(np.concatenate(windows), i) + vocabulary.inside[i].astype(np.float64))
-            total[:] = (np.array(total) + got).tolist()
-            for x in (owner, windows, held):
-                x.clear()
-
-    waiting = 0
-    for k, ids in enumerate(texts):
-        size.append(len(ids))
-        total.append(0.0)
-        around = _windows(ids, vocabulary.edge)
-        for at in range(0, len(ids), _CHUNK):
-            part = ids[at : at + _CHUNK].astype(np.int64)
-            owner.append(np.full(len(part), k))
-            windows.append(around[at : at + _CHUNK])
-            held.append(part)
-            waiting += len(part)
-            if waiting >= _CHUNK:
-                flush()
-                waiting = 0
-    flush()
-    return size, np.array(total[: len(size)])
+        ids, around, n = _windows(held, vocabulary.edge)
+        p = np.empty(len(ids))
+        for k in range(0, len(ids), _CHUNK):
+            at = slice(k, k + _CHUNK)
+            p[at] = net.log_p(around[:, at], ids[at])
+        p += vocabulary.inside[ids]
+        total.append(np.bincount(np.repeat(np.arange(len(n)), n), p, len(n)))
+        size.extend(n.tolist())
+        held.clear()
+
+    for ids in texts:
+        held.append(ids)
+        waiting += len(ids)
+        if waiting >= 4 * _CHUNK:
+            flush()
+            waiting = 0
+    if held:
+        flush()
+    return size, np.concatenate(total) if total else np.zeros(0)
 
 
 def _scored(shared):
