@@ -188,3 +188,53 @@ def annotated_brackets(spark, d):
     a = brackets.annotate(feed(spark, d).drop("winner", "position"), universe, charted, events)
     return a.select("tournament_id", "gender", "id", "matched_a", "matched_b", "chart_id", "charted")
 
+
+
+@query(screened._WIDE + " SELECT gender, gate, count(*) AS patterns, count(DISTINCT player) AS players, count(DISTINCT context) AS contexts FROM (SELECT *, coalesce(gate, 'gold') AS g FROM wdg) GROUP BY gender, gate", screened._SK)
+def survivor_rollup(spark, d):
+    """How many patterns, players and contexts each gate leaves or stops."""
+    g = screens.gold_patterns(screened._counts(spark, d), "aggressive", **screened._GOLD)
+    return g.groupBy("gender", "gate").agg(F.count(F.lit(1)).alias("patterns"), F.countDistinct("player").alias("players"), F.countDistinct("context").alias("contexts"))
+
+
+@query()
+def placement_cards(spark, d):
+    """Recent shares with whether they rest on enough serves to be four fifths signal, and what the tests of dispersion and
+    drift say of the player."""
+    p = placed._placed(spark, d)
+    need = tendencies.card_stats(p, "match_id", 30, 10).where("stat = 'wide'").select("gender", "n80")
+    hands = coverage.modal_hand(matches(spark, d))
+    r = tendencies.recent_profile(p).join(need, "gender", "left").withColumn("reliable", F.coalesce(F.col("n_eff") >= F.col("n80"), F.lit(False)))
+    r = r.join(tendencies.dispersion(p, hands, "4", 3, 4, 5).select("gender", "player", "side", "phi", "pval"), ["gender", "player", "side"], "left")
+    return r.join(tendencies.drift(p, 3, 100, 2).select("gender", "player", "ratio", "moved"), ["gender", "player"], "left")
+
+
+@query()
+def sampled_fit(spark, d):
+    """State values fitted on a seeded sample of points: the sample is the feature."""
+    from deucebase.sources.store import parsed_points
+
+    return winprob.state_values(winprob.positions(parsed_points(spark, d, None, 20_000)))
+
+
+@query("SELECT gender, min(date) AS oldest, max(date) AS newest, count(*) AS n FROM matches GROUP BY gender")
+def feed_ages(spark, d):
+    return matches(spark, d).groupBy("gender").agg(F.min("date").alias("oldest"), F.max("date").alias("newest"), F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT round, ord::INT AS ord, count(*) AS n FROM matches JOIN (VALUES ('R128', 0), ('R64', 1), ('R32', 2), ('R16', 3), ('QF', 4), ('SF', 5), ('F', 6)) r(round, ord) USING (round) GROUP BY 1, 2 ORDER BY ord")
+def rounds_in_order(spark, d):
+    """Sorted by a round's place in the draw, not by its name."""
+    sizes = coverage._sizes(spark, coverage.SLAM_ROUNDS).select("round", "ord")
+    return matches(spark, d).join(sizes, "round").groupBy("round", "ord").agg(F.count(F.lit(1)).alias("n")).orderBy("ord")
+
+
+def player_universe(m):
+    """(gender, key, player): every player by the normalized name; the last spelling in order stands for a key."""
+    p = coverage.sides(m, ("gender",)).where("player IS NOT NULL").distinct()
+    return p.groupBy("gender", naming.normalize_name("player").alias("key")).agg(F.max("player").alias("player"))
+
+
+@query("SELECT gender, trim(regexp_replace(regexp_replace(lower(player), '[^a-z ]', ' ', 'g'), '\\s+', ' ', 'g')) AS key, max(player) AS player FROM (SELECT gender, player1 AS player FROM matches UNION SELECT gender, player2 FROM matches) GROUP BY 1, 2")
+def universe(spark, d):
+    return player_universe(matches(spark, d))
