@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -59,18 +60,32 @@ def binom_tail(k: pd.Series, n: pd.Series, p: pd.Series) -> pd.Series:
     return pd.Series([upper_tail(int(a), int(b), float(c)) for a, b, c in zip(k, n, p, strict=True)])
 
 
-@F.pandas_udf(DoubleType())
-def fisher_two_sided(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
-    """Exact 2x2 test: tables as unlikely as the given one, or more."""
+def two_sided(a: int, b: int, c: int, d: int) -> float:
+    """Fisher's exact test of one table: all tables with its margins that are as unlikely, or more.
+
+    Weights of the tables follow from each other by ratios, in logs from the given one out. Where a weight is about that
+    of the given table, whole numbers decide, so that ties count."""
+    r, s, t = a + b, c + d, a + c
+    low, high = max(0, t - s), min(r, t)
+    x = np.arange(low, high, dtype=np.float64)
+    up = np.log((r - x) * (t - x)) - np.log((x + 1) * (s - t + x + 1))  # log of the weight of x + 1 over that of x
+    logs = np.concatenate([-np.cumsum(up[: a - low][::-1])[::-1], [0.0], np.cumsum(up[a - low :])])
+
+    def as_unlikely(k: int) -> bool:
+        steps = range(min(a, k), max(a, k))
+        rise, fall = math.prod((r - i) * (t - i) for i in steps), math.prod((i + 1) * (s - t + i + 1) for i in steps)
+        return rise <= fall if k > a else fall <= rise
 
-    def one(a, b, c, d):
-        r, s, t = a + b, c + d, a + c
-        whole = math.comb(r + s, t)
-        prob = lambda x: math.comb(r, x) * math.comb(s, t - x)
-        own = prob(a)
-        return sum(q for x in range(max(0, t - s), min(r, t) + 1) if (q := prob(x)) <= own) / whole
+    tail = logs < 0
+    for i in np.flatnonzero(np.abs(logs) < 1e-7):
+        tail[i] = as_unlikely(low + int(i))
+    w = np.exp(logs - logs.max())
+    return float(min(1.0, w[tail].sum() / w.sum()))
 
-    return pd.Series([one(*map(int, x)) for x in zip(a, b, c, d, strict=True)])
+
+@F.pandas_udf(DoubleType())
+def fisher_two_sided(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
+    return pd.Series([two_sided(*map(int, x)) for x in zip(a, b, c, d, strict=True)])
 
 
 @F.pandas_udf(DoubleType())

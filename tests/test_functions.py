@@ -115,6 +115,32 @@ def test_binomial_tail():
         assert stats.upper_tail(k, n, p) == pytest.approx(sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k, n + 1)), rel=1e-9)
 
 
+def test_fisher_against_whole_numbers():
+    import math
+
+    import pandas as pd
+
+    r = random.Random(4)
+    rows = [tuple(r.randrange(m + 1) for _ in range(4)) for m in (0, 1, 4, 30, 100) for _ in range(60)]
+    rows += [(a, b, b, a) for a, b, _, _ in rows] + [(a, b, a, d) for a, b, _, d in rows]  # ties of tables
+    got = stats.fisher_two_sided.func(*(pd.Series(x) for x in zip(*rows, strict=True)))
+    for (a, b, c, d), p in zip(rows, got, strict=True):
+        w = {x: math.comb(a + b, x) * math.comb(c + d, a + c - x) for x in range(max(0, a - d), min(a + b, a + c) + 1)}
+        assert p == pytest.approx(sum(q for q in w.values() if q <= w[a]) / sum(w.values()), rel=1e-9)
+
+
+def test_fisher_of_a_large_table_is_quick():
+    """As many serve points as a player has at six times sf0.1; whole numbers for every table took minutes."""
+    import time
+
+    import pandas as pd
+
+    at = time.process_time()
+    p = stats.fisher_two_sided.func(*(pd.Series([x]) for x in (15000, 7000, 14800, 7300)))[0]
+    assert p == pytest.approx(0.006603863218669955, rel=1e-9)
+    assert time.process_time() - at < 5
+
+
 def test_adjusted_p_values(spark):
     r = random.Random(2)
     p = [round(r.random() ** 2, 2) for _ in range(40)]
