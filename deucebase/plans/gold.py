@@ -146,7 +146,7 @@ def named_styles(spark, d):
 
 def gold_tables(spark, d):
     """The seven tables by name."""
-    p, m, counts = points(spark, d), matches(spark, d), entities._counts(spark, d)
+    p, m, counts = store.stored_points(spark, d), matches(spark, d), entities._counts(spark, d)
     cov = coverage.charted(m, p)
     summary = strength.current_strength(p).withColumns({c: F.bround(c, 4) for c in ("serve_rate", "return_rate")}).join(cov, ["gender", "player"], "left").join(gold.player_facts(m, counts), ["gender", "player"], "left")
     f = eras.fingerprints(counts, min_points=100)

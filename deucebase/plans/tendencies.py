@@ -10,7 +10,7 @@ from deucebase.plans import sql
 from deucebase.plans.registry import query
 from deucebase.plans.sequences import _HANDS
 from deucebase.sources.adapter import matches, points
-from deucebase.sources.store import once, parsed
+from deucebase.sources.store import once, parsed, stored_points
 
 
 def _dir(c: str) -> str:
@@ -25,7 +25,7 @@ _DEL = f"""{sql.CTES}, {_HANDS}, v0 AS (SELECT *, {sql.SIDE} AS side, {_PRESS} A
 
 
 def _delivered(spark, d):
-    return once(spark, "deliveries", d, lambda: tendencies.serves(points(spark, d)))
+    return once(spark, "deliveries", d, lambda: tendencies.serves(stored_points(spark, d)))
 
 
 def _placed(spark, d):

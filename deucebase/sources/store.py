@@ -61,6 +61,11 @@ def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return once(spark, "points_parsed", sf_dir, lambda: decoded(spread(points(spark, sf_dir))))
 
 
+def stored_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All points as :func:`points` has them, read from the stored table instead of made from line items again."""
+    return parsed(spark, sf_dir).select(*points(spark, sf_dir).columns)
+
+
 def parsed_points(spark: SparkSession, sf_dir: str, where: str | None = None, sample: int | None = None, seed: int = 1) -> DataFrame:
     """Decoded points, of a seeded sample of a fixed size where one is asked for; the filter comes after the sample."""
     p = parsed(spark, sf_dir)

@@ -65,3 +65,16 @@ def test_archetypes(spark):
     rows = [(2.0, 2.0, 0, 0, 0, 0, 0), (2.0, 0, 0, 0, 0, 0, 0), (0, 0, 1.5, 0, 0, 0, 0), (0, 0, 0, 1.0, -1.0, 0, 0), (0, 0, 0, -1.0, 0, 1.0, 0), (0, 0, 0, 0, 0, 0, 1.0), (0, 0, 0, 0, 0, 0, 0)]
     df = spark.createDataFrame([tuple(map(float, r)) for r in rows], ", ".join(f"{c} double" for c in cols))
     assert [r[0] for r in df.select(gold.archetype(ingest.F.col)).collect()] == ["Slice & net specialist", "Net-rusher / serve-volleyer", "Slice & variety", "Baseline grinder / counterpuncher", "Big serve / first-strike", "Big-serving baseliner", "Baseline all-rounder"]
+
+
+def test_site_tables_read_stored_points(spark):
+    """No table of the site is made from line items a second time; the stored points are the same rows."""
+    from deucebase.plans import gold as plan
+    from deucebase.sources import store
+    from deucebase.sources.adapter import points
+
+    d = "/root/testdata/sf0.001"
+    for name, t in plan.gold_tables(spark, d).items():
+        assert not any("lineitem" in f for f in t.inputFiles()), name
+    a, b = points(spark, d), store.stored_points(spark, d)
+    assert a.schema.names == b.schema.names and a.exceptAll(b).count() == b.exceptAll(a).count() == 0
