@@ -18,6 +18,7 @@ from deucebase.llm.common import free_shuffles, released, save, short_batches
 
 OFFSETS = (-2, -1, 1, 2)
 _CHUNK = 16_384
+_ROWS = 1_024  # rows whose choices are worked out at once: they stay in the cache of a core
 DEPTH = 2  # levels of the tree over the ids
 
 
@@ -151,48 +152,65 @@ class WindowNet:
         return self
 
     def hidden(self, context: np.ndarray) -> np.ndarray:
-        h = self.e[0][context[0]]
+        h = np.take(self.e[0], context[0], axis=0)
         for k in range(1, len(OFFSETS)):
-            h += self.e[k][context[k]]
+            h += np.take(self.e[k], context[k], axis=0)
         return np.tanh(h, out=h)
 
     def _choices(self, target: np.ndarray):
-        """For every node that some target passes: is it the top, the rows, the children, which child each row takes."""
+        """For every level: is it the top, the rows in order of their nodes (None: as they are), and of every node that some
+        target passes the first of its run of these rows, the children, which child each row takes."""
         for step, v, c in self.levels:
             child = target // step
             parent = child // self.fan
             if len(c) <= self.fan:
-                yield True, slice(None), v, c, child
+                yield True, None, [(0, v, c, child)]
                 continue
             order = np.argsort(parent.astype(np.uint16) if len(c) < 1 << 16 else parent, kind="stable")
             cut = np.flatnonzero(np.concatenate([[True], np.diff(parent[order]) > 0, [True]]))
-            for a, b in zip(cut[:-1], cut[1:], strict=True):
-                at = order[a:b]
-                first = int(parent[at[0]]) * self.fan
-                yield False, at, v[first : first + self.fan], c[first : first + self.fan], child[at] - first
+            child = child[order]
+            first = (parent[order[cut[:-1]]] * self.fan).tolist()
+            yield False, order, [(a, v[f : f + self.fan], c[f : f + self.fan], child[a:b] - f) for a, b, f in zip(cut[:-1], cut[1:], first, strict=True)]
 
     def log_p(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         """log p(target | context) of every row."""
         h, out = self.hidden(context), np.zeros(len(target), np.float32)
-        for _, at, v, c, slot in self._choices(target):
-            z = h[at] @ v.T
-            z += c
-            out[at] += z[np.arange(len(slot)), slot] - _log_sum(z)
+        for _, order, nodes in self._choices(target):
+            ho = h if order is None else np.take(h, order, axis=0)
+            p = np.empty(len(target), np.float32)
+            for first, v, c, slot in nodes:
+                for k in range(0, len(slot), _ROWS):
+                    took = slot[k : k + _ROWS]
+                    run = slice(first + k, first + k + len(took))
+                    z = ho[run] @ v.T
+                    z += c
+                    p[run] = z[np.arange(len(took)), took] - _log_sum(z)
+            out[slice(None) if order is None else order] += p
         return out
 
     def step(self, context: np.ndarray, target: np.ndarray, rate: float) -> None:
         h = self.hidden(context)
         gh = np.zeros_like(h)
-        for top, at, v, c, slot in self._choices(target):  # v and c are views
-            hc = h[at]
-            g = hc @ v.T
-            g += c
-            _shares(g)
-            g[np.arange(len(slot)), slot] -= 1
-            gh[at] += g @ v
-            pace = np.float32(rate / (len(slot) + (0 if top else 16)))  # a lower node is met by a part of the batch
-            v -= pace * (g.T @ hc)
-            c -= pace * g.sum(0)
+        for top, order, nodes in self._choices(target):  # v and c are views
+            ho = h if order is None else np.take(h, order, axis=0)
+            back = np.empty_like(h)
+            for first, v, c, slot in nodes:
+                gv, gc = np.zeros_like(v), np.zeros_like(c)
+                for k in range(0, len(slot), _ROWS):
+                    took = slot[k : k + _ROWS]
+                    run = slice(first + k, first + k + len(took))
+                    hc = ho[run]
+                    g = hc @ v.T
+                    g += c
+                    _shares(g)
+                    g[np.arange(len(took)), took] -= 1
+                    np.matmul(g, v, out=back[run])
+                    gv += g.T @ hc
+                    gc += g.sum(0)
+                pace = np.float32(rate / (len(slot) + (0 if top else 16)))  # a lower node is met by a part of the batch
+                v -= pace * gv
+                c -= pace * gc
+            gh[slice(None) if order is None else order] += back
         for _, v, _c in self.levels:
             np.clip(v, -_MOST, _MOST, out=v)
         h *= h
@@ -204,7 +222,7 @@ class WindowNet:
             order = np.argsort(ids.astype(np.uint16) if self.e.shape[1] < 1 << 16 else ids, kind="stable")
             ids = ids[order]
             first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
-            self.e[k][ids[first]] += np.add.reduceat(gh[order], first)
+            self.e[k][ids[first]] += np.add.reduceat(np.take(gh, order, axis=0), first)
 
 
 #: Weights stay within this bound, so that sums over the 16 or so hidden units, each within 1, never overflow exp.
@@ -231,13 +249,16 @@ def _masked(n: np.ndarray, shard: int, every: int, turn: int, rounds: int) -> np
     return mine[(at + np.repeat(n * 7 + shard, n)) % every]
 
 
-def _windows(texts: list[np.ndarray], edge: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of texts one after the other: all ids, what stands at each of OFFSETS (rows) around every token, tokens a text."""
+def _windows(texts: list[np.ndarray], edge: int, which=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts one after the other: ids, what stands at each of OFFSETS (rows) around every token, tokens a text; of all
+    tokens or of those that ``which`` picks by the lengths of the texts."""
     n = np.array([len(t) for t in texts], np.int64)
     reach = max(OFFSETS)
     rim = np.full(reach, edge, np.int64)
     padded = np.concatenate([x for t in texts for x in (rim, t)] + [rim]).astype(np.int64)
     place = np.arange(n.sum()) + np.repeat(reach * np.arange(1, len(n) + 1), n)
+    if which is not None:
+        place = place[which(n)]
     return padded[place], padded[np.array(OFFSETS)[:, None] + place], n
 
 
@@ -253,12 +274,10 @@ def _train(shared, every: int, turn: int, rounds: int, rate: float, batch: int,
             return pa.RecordBatch.from_arrays([np.arange(blocks, dtype=np.int32), np.full(blocks, shard, np.int64), np.full(blocks, float(seen)), pa.array(parts, pa.list_(pa.float32()))], names=["block", "shard", "weight", "params"])
 
         def learn():
-            ids, around, n = _windows(texts, vocabulary.edge)
-            at = np.flatnonzero(_masked(n, shard, every, turn, rounds))
-            for k in range(0, len(at), batch):
-                now = at[k : k + batch]
-                net.step(around[:, now], ids[now], rate)
-            return len(at)
+            ids, around, _ = _windows(texts, vocabulary.edge, lambda n: _masked(n, shard, every, turn, rounds))
+            for k in range(0, len(ids), batch):
+                net.step(around[:, k : k + batch], ids[k : k + batch], rate)
+            return len(ids)
 
         for b in batches:
             for s, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):

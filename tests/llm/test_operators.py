@@ -564,3 +564,22 @@ def test_bpe_report(spark, odd, none):
     by = {x["doc_id"]: x for x in got}
     assert by[7]["decoded_sha256"] == hashlib.sha256(("word " * 30_000 + "a" * 5000).encode()).hexdigest()
     assert bpe.token_report(none).count() == 0
+
+
+def test_window_network_in_blocks_of_rows(monkeypatch):
+    """Rows worked out a few at a time give the same step and the same log p as all at once."""
+    import numpy as np
+
+    from deucebase.llm import lm_score
+
+    r = np.random.default_rng(1)
+    share = r.random(300) + 0.01
+    vocabulary = lm_score.Vocabulary({}, np.zeros(1, np.int64), np.log(share / share.sum()).astype(np.float32), np.zeros(300, np.float32), lm_score._fan(300))
+    target, context = r.integers(0, 300, 500), r.integers(0, 301, (4, 500))
+    got = []
+    for rows in (7, 1 << 20):
+        monkeypatch.setattr(lm_score, "_ROWS", rows)
+        net = lm_score.WindowNet(vocabulary)
+        net.step(context, target, 2.0)
+        got.append((net.flat(), net.log_p(context, target)))
+    assert np.allclose(got[0][0], got[1][0], atol=1e-5) and np.allclose(got[0][1], got[1][1], atol=1e-5)
