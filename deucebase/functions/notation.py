@@ -6,6 +6,8 @@ cuts the strokes with one regular expression and reads each descriptor with anot
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -198,6 +200,100 @@ def shot_token(shot: Column, mirror: Column) -> Column:
     return F.when(shot["is_serve"], F.concat(F.lit("sv"), _mapped(shot["direction"], SERVE_WORDS, "?"))).otherwise(stroke)
 
 
+#: Characters of a stroke's code: letter (S: the serve), direction, depth, terminal, whether it went to the net, error.
+CODE = 6
+_PLACES = {1: "123", 2: "789", 3: "*#@", 5: "ndwx"}
+#: A letter stands for all of its wing and kind.
+_ALIKE = "".join(next(r for r in LETTERS if (r in FOREHAND, r in BACKHAND) == (c in FOREHAND, c in BACKHAND) and [r in k for k in KINDS.values()] == [c in k for k in KINDS.values()]) for c in LETTERS)
+
+
+def _table(chars: str, to: str = "") -> np.ndarray:
+    """Bytes to whether they are in ``chars``; to ``to``, the others to themselves, where that is given."""
+    t = np.arange(256, dtype=np.uint8) if to else np.zeros(256, bool)
+    t[np.frombuffer(chars.encode(), np.uint8)] = np.frombuffer(to.encode(), np.uint8) if to else True
+    return t
+
+
+def stroke_codes(raw: pa.Array) -> pa.Array:
+    """(code, words) of serve strings, null where no serve is charted: :data:`CODE` characters a stroke, a dot for what is
+    not there, and two that tell its word (letter for all of its wing and kind, direction). Whole batches at a time: a
+    stroke starts at the serve's direction or a letter; of several descriptors the last is written last."""
+    raw = raw.cast(pa.binary())
+    off = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset : raw.offset + len(raw) + 1].astype(np.int64)
+    text = np.frombuffer(raw.buffers()[2] or b"", np.uint8)[off[0] : off[-1]]
+    off = off - off[0]
+    row = np.repeat(np.arange(len(raw)), np.diff(off))
+    digits = np.flatnonzero(_table("0123456789")[text])
+    serve = digits[np.diff(row[digits], prepend=-1) > 0]  # the first digit of a row: leads are skipped
+    serve = serve[_table("4560")[text[serve]]]
+    begins = np.full(len(raw), len(text), np.int64)
+    begins[row[serve]] = serve
+    at = np.flatnonzero(np.arange(len(text)) >= begins[row])
+    char, row = text[at], row[at]
+    start = _table(LETTERS)[char] | (at == begins[row])
+    stroke = np.cumsum(start) - 1
+    code = np.full((int(start.sum()), CODE), ord("."), np.uint8)
+    served = at[start] == begins[row[start]]
+    code[:, 0] = np.where(served, ord("S"), char[start])
+    code[served, 1] = char[start][served]
+    live = ~start
+    ends = np.flatnonzero(_table("\n\r")[char] | (char >= 0x80))
+    if len(ends):  # a line's end hides what follows it in the stroke, of all but + and -
+        two, three = np.append(char[1:], 0), np.append(char[2:], [0, 0])
+        line = (char == 10) | (char == 13) | ((char == 0xC2) & (two == 0x85)) | ((char == 0xE2) & (two == 0x80) & np.isin(three[: len(char)], (0xA8, 0xA9)))
+        first = np.full(len(code), len(text), np.int64)
+        np.minimum.at(first, stroke[line], at[line])
+        seen = live & (at < first[stroke])
+    else:
+        seen = live
+    for place, chars in _PLACES.items():
+        k = np.flatnonzero(seen & _table(chars)[char])
+        code[stroke[k], place] = char[k]
+    code[stroke[live & _table("+-")[char]], 4] = ord("+")
+    words = code[:, :2].copy()
+    words[:, 0] = _table(LETTERS, _ALIKE)[words[:, 0]]
+    words[served, 1] = np.where(_table("456")[words[served, 1]], words[served, 1], ord("?"))
+    size = np.bincount(row[start], minlength=len(raw))
+
+    def strings(values: np.ndarray) -> pa.Array:
+        ends = np.concatenate([[0], np.cumsum(size * values.shape[1])]).astype(np.int32)
+        known = np.packbits(size > 0, bitorder="little")
+        return pa.StringArray.from_buffers(len(raw), pa.py_buffer(ends), pa.py_buffer(values.tobytes()), pa.py_buffer(known))
+
+    return pa.StructArray.from_arrays([strings(code), strings(words)], ["code", "words"])
+
+
+def coded(points: DataFrame, first: str = "first_serve", second: str = "second_serve", svr: str = "svr", winner: str = "pt_winner") -> DataFrame:
+    """``points`` with serve_in_play, server, code and words (:func:`stroke_codes`), rally_len, outcome, server_won and
+    parse_ok, as :func:`decoded` has them."""
+    c = F.col
+    ss, fs = F.trim(F.coalesce(c(second), F.lit(""))), F.trim(F.coalesce(c(first), F.lit("")))
+    served = [F.when(ss != "", 2).otherwise(1).alias("serve_in_play"), F.when(c(svr).isin(1, 2), c(svr)).otherwise(1).cast("int").alias("server")]
+    d = points.select("*", *served, F.arrow_udf(stroke_codes, "code string, words string")(F.when(ss != "", ss).otherwise(fs)).alias("_x"))
+    d = d.select("*", "_x.*", (F.length("_x.code") / CODE).cast("int").alias("rally_len")).drop("_x")
+    t, alone = F.substring("code", 4 - CODE - 1, 1), c("rally_len") == 1
+    missed = alone & (F.substring("code", -1, 1) != ".")
+    how = F.when(t == "*", F.when(alone, "ace").otherwise("winner")).when(t == "#", "forced_error").when(t == "@", "unforced_error").when(missed & (c("serve_in_play") == 2), "double_fault").when(missed, "fault_unfinished").otherwise("unknown")
+    d = d.select("*", F.when(c("code").isNotNull(), how).alias("outcome"))
+    last = c("rally_len") % 2 == 1
+    won = F.when(c("outcome").isin("ace", "winner"), last).when(c("outcome").isin("forced_error", "unforced_error"), ~last).when(c("outcome") == "double_fault", F.lit(False))
+    return d.select("*", F.coalesce(c("outcome") != "unknown", F.lit(False)).alias("parse_ok"), F.when(c(winner).isin(1, 2), c(winner) == c("server")).otherwise(won).alias("server_won"))
+
+
+def code_at(i: Column, place: int) -> Column:
+    """Character ``place`` of stroke ``i`` (0: the serve) of ``code``; empty beyond the end."""
+    return F.substring(F.col("code"), i * CODE + (place + 1), F.lit(1))
+
+
+def spelled(pair: Column) -> Column:
+    """The word of two characters of :func:`stroke_codes`, as :func:`shot_token` has it."""
+    words = {f"S{k}": f"sv{w}" for k, w in SERVE_WORDS.items()} | {"S?": "sv?"}
+    for c in dict.fromkeys(_ALIKE):
+        kind = next((k for k, letters in KINDS.items() if c in letters), "other")
+        words |= {f"{c}{d}": ("F" if c in FOREHAND else "B" if c in BACKHAND else "?") + KIND_WORDS[kind] + d.replace(".", "·") for d in "123."}
+    return F.element_at(F.create_map(*[F.lit(x) for kv in words.items() for x in kv]), pair)
+
+
 def pretty(token: Column) -> Column:
     """A stroke's word in plain words."""
     serve = _mapped(F.substring(token, 3, 10), {"W": "serve wide", "B": "serve body", "T": "serve T"}, "serve ?")

@@ -187,13 +187,18 @@ def with_family(obs: DataFrame) -> DataFrame:
     return obs.select("*", F.inline(F.when((F.col("idx") == 3) & F.col("depth").isNotNull(), F.array(rally, ret)).otherwise(F.array(rally))))
 
 
-def court_profile(obs: DataFrame, min_state: int = 80, min_cell: int = 10, min_field: int = 500, min_field_era: int = 200, cover: float = 0.6, min_bf: int = 20, lift: float = 1.4, half_lift: float = 1.15, half_min: int = 4, k: float = 30.0, k_conv: float = 20.0, rally: int = 3, ret: int = 2) -> DataFrame:
+def era_cells(obs: DataFrame) -> DataFrame:
+    """Responses of both families per player, era and fold: n and won."""
+    o = with_family(obs).withColumn("era", era(F.col("year")))
+    return o.groupBy(*WHO, *CELL, "era", half(F.col("match_id")).alias("half")).agg(F.count(F.lit(1)).alias("n"), F.sum("won").alias("won"))
+
+
+def court_profile(cells: DataFrame, min_state: int = 80, min_cell: int = 10, min_field: int = 500, min_field_era: int = 200, cover: float = 0.6, min_bf: int = 20, lift: float = 1.4, half_lift: float = 1.15, half_min: int = 4, k: float = 30.0, k_conv: float = 20.0, rally: int = 3, ret: int = 2) -> DataFrame:
     """A player's unusual answers, best evidence first: ``rally`` of the rally family and ``ret`` of the return family.
+    ``cells``: rows of :func:`era_cells`, read several times.
 
     The field's share of a response leaves the player out and is weighted by the player's own eras where eras that hold
     enough cover ``cover`` of the player's balls; else it is the pooled share."""
-    o = with_family(obs).withColumn("era", era(F.col("year")))
-    cells = o.groupBy(*WHO, *CELL, "era", half(F.col("match_id")).alias("half")).agg(F.count(F.lit(1)).alias("n"), F.sum("won").alias("won"))
     t = _standing(cells, STATE, RESP).withColumn("p_field", F.col("bf") / F.col("bn")).withColumn("fconv", F.try_divide("bf_won", "bf"))
     t = t.where((F.col("n_state") >= min_state) & (F.col("bn") >= min_field) & (F.col("c") >= min_cell) & (F.col("bf") >= min_bf))
     # By era: what the field answers, for every (player, state, era) and every response of the player in any era.

@@ -65,11 +65,15 @@ def ngrams(toks: DataFrame) -> DataFrame:
     return d.select("match_id", "pt", "gender", "player1", "player2", "server", F.inline(steps))
 
 
+def _times(grams: DataFrame) -> Column:
+    return F.sum("n") if "n" in grams.columns else F.count(F.lit(1))
+
+
 def ngram_model(grams: DataFrame, l3: float = 0.7, l2: float = 0.2, l1: float = 0.1) -> DataFrame:
     """p and surprise (bits) of every seen (gender, a, b, t): interpolated tri-, bi- and add-one unigram shares.
 
-    Lower orders are window sums over the trigram counts, so the grams are grouped once."""
-    g = grams.groupBy("gender", "a", "b", "t").agg(F.count(F.lit(1)).alias("n"))
+    Lower orders are window sums over the trigram counts, so the grams are grouped once. Grams with ``n`` are counts."""
+    g = grams.groupBy("gender", "a", "b", "t").agg(_times(grams).alias("n"))
     s = lambda *by: F.sum("n").over(Window.partitionBy("gender", *by))
     vocab = g.groupBy("gender").agg(F.countDistinct("t").alias("vocab"), F.sum("n").alias("total"))
     g = g.select("*", s("a", "b").alias("nab"), s("b", "t").alias("nbt"), s("b").alias("nb"), s("t").alias("nt")).join(vocab, "gender")
@@ -85,7 +89,8 @@ def hitter(grams: DataFrame) -> DataFrame:
 
 def player_surprise(grams: DataFrame, model: DataFrame, min_n: int = 500) -> DataFrame:
     """Per player: strokes, mean surprise in bits and perplexity of the own strokes under the tour's model."""
-    g = hitter(grams).groupBy("gender", "player", "a", "b", "t").agg(F.count(F.lit(1)).alias("k")).join(model.select("gender", "a", "b", "t", "bits"), ["gender", "a", "b", "t"])
+    own = grams.where("player IS NOT NULL") if "player" in grams.columns else hitter(grams)
+    g = own.groupBy("gender", "player", "a", "b", "t").agg(_times(grams).alias("k")).join(model.select("gender", "a", "b", "t", "bits"), ["gender", "a", "b", "t"])
     s = g.groupBy("gender", "player").agg(F.sum("k").alias("n"), (F.sum(F.col("k") * F.col("bits")) / F.sum("k")).alias("bits")).where(F.col("n") >= min_n)
     return s.withColumn("perplexity", F.pow(F.lit(2.0), F.col("bits")))
 

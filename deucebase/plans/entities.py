@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from deucebase.operators import eras, matchwp, strength, winprob
+from deucebase.operators import coded, eras, matchwp, strength, winprob
 from deucebase.plans import sql
 from deucebase.plans.registry import query
 from deucebase.plans.value import _pos
 from deucebase.sources.adapter import matches, points
-from deucebase.sources.store import once, parsed
+from deucebase.sources.store import coded_points, once, parsed
 
 _NETTY = "(letter IN ('v', 'z', 'o', 'p', 'u', 'y') OR contains(tail, '+') OR contains(tail, '-'))"
 _GS = "letter IN ('f', 'b', 'r', 's')"
@@ -57,18 +57,23 @@ def _counts(spark, d):
     return once(spark, "point_counters", d, lambda: eras.counters(parsed(spark, d), ("match_id", "pt", "gender", "year")))
 
 
+def _player_counts(spark, d):
+    """The counters of styles summed by player and year, kept once an application."""
+    return once(spark, "player_counters", d, lambda: coded.player_counters(coded_points(spark, d)))
+
+
 def _rounded(df, cols):
     return df.withColumns({c: F.round(c, 6) + 0.0 for c in cols})
 
 
 @query(f"SELECT gender, player, year::INT AS year, sum(points)::BIGINT AS n, {_rates(eras.YEAR_RATES)} FROM ct GROUP BY 1, 2, 3", _COUNTERS)
 def year_fingerprints(spark, d):
-    return _rounded(eras.year_fingerprints(_counts(spark, d)), eras.YEAR_RATES)
+    return _rounded(eras.year_fingerprints(_player_counts(spark, d)), eras.YEAR_RATES)
 
 
 @query(f"SELECT gender, player, sum(points)::BIGINT AS n, {_rates(eras.STYLE_RATES)} FROM ct GROUP BY 1, 2 HAVING sum(points) >= 100", _COUNTERS)
 def style_fingerprints(spark, d):
-    return _rounded(eras.fingerprints(_counts(spark, d), min_points=100), eras.RATES)
+    return _rounded(eras.fingerprints(_player_counts(spark, d), min_points=100), eras.RATES)
 
 
 @query(f"SELECT match_id, slot::INT AS slot, gender, player, sum(points)::BIGINT AS n_points, sum(serve_pts)::BIGINT AS n_serve_pts, sum(l_rally)::BIGINT AS n_rally_shots, {_rates(eras.PERFORMANCE_RATES)} FROM ct GROUP BY 1, 2, 3, 4 HAVING sum(serve_pts) >= 10 AND sum(returns) >= 5 AND sum(l_rally) >= 10", _COUNTERS)
@@ -82,11 +87,11 @@ _Z = ", ".join(f"coalesce(({c} - avg({c}) OVER w) / nullif(stddev_pop({c}) OVER
 
 @query("SELECT gender, player, " + ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in eras.RATES) + f" FROM (SELECT gender, player, {_Z} FROM fp WINDOW w AS (PARTITION BY gender))", _FP)
 def standardized_styles(spark, d):
-    return _rounded(eras.standardized(eras.fingerprints(_counts(spark, d), min_points=100)).select("gender", "player", *eras.RATES), eras.RATES)
+    return _rounded(eras.standardized(eras.fingerprints(_player_counts(spark, d), min_points=100)).select("gender", "player", *eras.RATES), eras.RATES)
 
 
 def _eras(spark, d):
-    return eras.career_eras(eras.year_fingerprints(_counts(spark, d)), min_era=50, min_span=3, ratio=1.0, min_year_points=10)
+    return eras.career_eras(eras.year_fingerprints(_player_counts(spark, d)), min_era=50, min_span=3, ratio=1.0, min_year_points=10)
 
 
 @query()
@@ -98,13 +103,13 @@ def career_eras(spark, d):
 @query()
 def era_fingerprints(spark, d):
     """Fingerprints of entities: players, or their eras where a career is split."""
-    c = eras.with_entity(_counts(spark, d), _eras(spark, d))
+    c = eras.with_entity(_player_counts(spark, d), _eras(spark, d))
     return _rounded(eras.fingerprints(c, ["gender", "entity"], 50), eras.RATES)
 
 
 @query()
 def collapsed_eras(spark, d):
-    c = eras.with_entity(_counts(spark, d), _eras(spark, d))
+    c = eras.with_entity(_player_counts(spark, d), _eras(spark, d))
     f = eras.fingerprints(c, ["gender", "player", "entity"], 1)
     last = c.groupBy("gender", "player", "entity").agg(F.max("year").alias("year_end"))
     return _rounded(eras.collapsed(f.join(last, ["gender", "player", "entity"]), ["serve_wide", "ace_rate"], ["fh_share", "avg_rally_len"]), ("serve_wide", "ace_rate", "fh_share", "avg_rally_len"))
@@ -112,7 +117,7 @@ def collapsed_eras(spark, d):
 
 @query()
 def style_clusters(spark, d):
-    return eras.style_clusters(eras.fingerprints(_counts(spark, d), min_points=100))
+    return eras.style_clusters(eras.fingerprints(_player_counts(spark, d), min_points=100))
 
 
 _DIST = " + ".join(f"pow(a.{c} - b.{c}, 2)" for c in eras.RATES)
@@ -120,7 +125,7 @@ _DIST = " + ".join(f"pow(a.{c} - b.{c}, 2)" for c in eras.RATES)
 
 @query(f", z AS (SELECT gender, player, {_Z} FROM fp WINDOW w AS (PARTITION BY gender)), p AS (SELECT a.gender, a.player, b.player AS nearest, sqrt({_DIST}) AS distance FROM z a JOIN z b ON a.gender = b.gender AND a.player <> b.player) SELECT gender, player, arg_min(nearest, (round(distance, 9), nearest)) AS nearest, round(min(distance), 6) AS distance FROM p GROUP BY 1, 2", _FP)
 def nearest_styles(spark, d):
-    return eras.nearest_styles(eras.fingerprints(_counts(spark, d), min_points=100)).withColumn("distance", F.round("distance", 6))
+    return eras.nearest_styles(eras.fingerprints(_player_counts(spark, d), min_points=100)).withColumn("distance", F.round("distance", 6))
 
 
 # --- the score of a match

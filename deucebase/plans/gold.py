@@ -23,7 +23,7 @@ def _rounded(df, *cols):
 
 @query(f", ac AS (SELECT gender, player, sum(aces) / sum(serve_pts) AS ace_rate FROM ct GROUP BY 1, 2 HAVING sum(serve_pts) >= 200), {sequences._HANDS} SELECT coalesce(h.gender, a.gender) AS gender, coalesce(h.player, a.player) AS player, hand, round(ace_rate, 6) AS ace_rate FROM hands h FULL JOIN ac a ON a.gender = h.gender AND a.player = h.player", entities._COUNTERS)
 def player_facts(spark, d):
-    return _rounded(gold.player_facts(matches(spark, d), entities._counts(spark, d)), "ace_rate")
+    return _rounded(gold.player_facts(matches(spark, d), entities._player_counts(spark, d)), "ace_rate")
 
 
 _FOLD = "trim(regexp_replace(regexp_replace(lower({0}), '[^a-z ]', ' ', 'g'), '\\s+', ' ', 'g'))"
@@ -73,7 +73,7 @@ _YF = f"{entities._COUNTERS}, yf AS (SELECT gender, player, year, sum(points) AS
 
 @query(f", g AS (SELECT gender, player, {_EARLY} FROM yf GROUP BY 1, 2), u AS (UNPIVOT g ON {', '.join(eras.YEAR_RATES)} INTO NAME feature VALUE change), r AS (SELECT *, row_number() OVER (PARTITION BY gender, player ORDER BY -abs(change), feature) AS place FROM u) SELECT gender, player, place::INT AS place, feature, round(change, 6) AS change FROM r WHERE place <= 3", _YF)
 def top_changed(spark, d):
-    return _rounded(gold.top_changed(eras.year_fingerprints(entities._counts(spark, d)), list(eras.YEAR_RATES), 1996), "change")
+    return _rounded(gold.top_changed(eras.year_fingerprints(entities._player_counts(spark, d)), list(eras.YEAR_RATES), 1996), "change")
 
 
 _SW = f"""{sequences._NG}, {value._WPA.split(sql.SHOTS + ", ", 1)[1]}, ngi AS (SELECT gender, match_id, pt, i, coalesce(lag(t, 2) OVER w, '<s>') AS a, coalesce(lag(t, 1) OVER w, '<s>') AS b, t FROM sq WINDOW w AS (PARTITION BY gender, match_id, pt ORDER BY i))"""
@@ -140,26 +140,30 @@ def serve_meta(spark, d):
 @query()
 def named_styles(spark, d):
     """Clusters with the names that their centres give them; a test holds the rules."""
-    f = eras.fingerprints(entities._counts(spark, d), min_points=100)
+    f = eras.fingerprints(entities._player_counts(spark, d), min_points=100)
     return gold.named_clusters(eras.standardized(f), eras.style_clusters(f), eras.RATES)
 
 
-def gold_tables(spark, d):
-    """The seven tables by name."""
-    p, m, counts = store.stored_points(spark, d), matches(spark, d), entities._counts(spark, d)
-    cov = coverage.charted(m, p)
-    summary = strength.current_strength(p).withColumns({c: F.bround(c, 4) for c in ("serve_rate", "return_rate")}).join(cov, ["gender", "player"], "left").join(gold.player_facts(m, counts), ["gender", "player"], "left")
+def _summary(spark, d):
+    p, m, counts = store.coded_points(spark, d), store.stored_matches(spark, d), entities._player_counts(spark, d)
+    summary = strength.current_strength(p).withColumns({c: F.bround(c, 4) for c in ("serve_rate", "return_rate")}).join(coverage.charted(m, p), ["gender", "player"], "left").join(gold.player_facts(m, counts), ["gender", "player"], "left")
     f = eras.fingerprints(counts, min_points=100)
     summary = summary.join(gold.named_clusters(eras.standardized(f), eras.style_clusters(f), eras.RATES).select("gender", "player", "archetype", "silhouette"), ["gender", "player"], "left").join(f.select("gender", "player", "avg_rally_len"), ["gender", "player"], "left")
-    g = sequences._grams(spark, d)
-    summary = summary.join(seq.player_surprise(g, seq.ngram_model(g)).select("gender", "player", "bits"), ["gender", "player"], "left")
+    g = sequences._gram_counts(spark, d)
+    return summary.join(seq.player_surprise(g, seq.ngram_model(g)).select("gender", "player", "bits"), ["gender", "player"], "left")
+
+
+def gold_tables(spark, d):
+    """The seven tables by name; the summary is kept once an application, as the years are those of its players."""
+    p, m = store.coded_points(spark, d), store.stored_matches(spark, d)
+    summary = once(spark, "player_summary", d, lambda: _summary(spark, d))
     c = screened._counts(spark, d)
     tagged = screens.tagged_contexts(c.where("k = 2"), "aggressive", 6, 1, 1.05, 0.95)
     return {
         "player_summary": summary,
         "player_years": coverage.charted(m, p, ("gender", "player", "year")).where("year IS NOT NULL").join(summary.select("gender", "player"), ["gender", "player"], "left_semi"),
         "player_triggers": gold.triggers(tagged, screens.gold_patterns(c, "aggressive", **screened._GOLD)),
-        "player_patterns": gold.patterns(screens.court_profile(screened._obs(spark, d), min_field_era=20, **screened._LOOSE), screens.plus_one_profile(screened._plus(spark, d), **(screened._LOOSE | {"min_state": 6, "min_field": 20, "min_cell": 1, "min_bf": 1}), q=0.99)),
+        "player_patterns": gold.patterns(screens.court_profile(screened._era_cells(spark, d), min_field_era=20, **screened._LOOSE), screens.plus_one_profile(screened._plus(spark, d), **(screened._LOOSE | {"min_state": 6, "min_field": 20, "min_cell": 1, "min_bf": 1}), q=0.99)),
         "player_serve": tendencies.recent_profile(placed._placed(spark, d)),
         "charted_matches": gold.charted_matches(m, 1995),
         "meta": strength.league_mu(p).select(F.concat(F.lit("mu_"), "gender").alias("key"), F.bround("mu", 5).alias("value")),
@@ -171,7 +175,8 @@ def gold_build(spark, d):
     """The site's seven tables, written and read back: name, rows, columns."""
     home = store.scratch(spark, "gold")
     for name, t in gold_tables(spark, d).items():
-        store.write_parquet(t, f"{home}/{name}")
+        with store.compiled(spark):
+            store.write_parquet(t, f"{home}/{name}")
         spark.read.parquet(f"{home}/{name}").createOrReplaceTempView(f"gold_{name}")
     return store.catalog_info(spark, [f"gold_{n}" for n in ("player_summary", "player_years", "player_triggers", "player_patterns", "player_serve", "charted_matches", "meta")])
 

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from deucebase.functions import stats
-from deucebase.operators import coverage, screens
+from deucebase.operators import coded, coverage, screens
 from deucebase.operators import sequences as seq
 from deucebase.plans import sql
 from deucebase.plans.registry import query
 from deucebase.plans.sequences import _OBS, _TOK
 from deucebase.sources.adapter import matches
-from deucebase.sources.store import once, parsed
+from deucebase.sources.store import coded_points, once, parsed
 
 _HALF = f"(({sql.crc32('match_id')}) & 1)::INT"
 _SK = f"""{_TOK}, hv AS (SELECT match_id, {_HALF} AS half FROM matches),
@@ -24,7 +24,7 @@ _SK = f"""{_TOK}, hv AS (SELECT match_id, {_HALF} AS half FROM matches),
 
 def _counts(spark, d):
     """Strike counts of depths 2 to 4, kept once an application: every screen below reads them."""
-    return once(spark, "strike_counts", d, lambda: screens.strike_counts(seq.tokens(parsed(spark, d), ("match_id", "pt", "gender", "player1", "player2", "pts")), coverage.modal_hand(matches(spark, d)), (2, 3, 4)))
+    return once(spark, "strike_counts", d, lambda: coded.strike_counts(coded_points(spark, d), (2, 3, 4)))
 
 
 def _rounded(df, *cols):
@@ -159,8 +159,11 @@ _LOOSE = {"min_state": 10, "min_cell": 2, "min_field": 50, "min_bf": 2, "lift":
 
 
 def _obs(spark, d):
-    keep = ("match_id", "pt", "gender", "player1", "player2", "pts", "year")
-    return once(spark, "responses", d, lambda: seq.observations(parsed(spark, d), coverage.modal_hand(matches(spark, d)), keep))
+    return coded.observations(coded_points(spark, d))
+
+
+def _era_cells(spark, d):
+    return once(spark, "era_cells", d, lambda: screens.era_cells(_obs(spark, d)))
 
 
 @query(
@@ -177,7 +180,7 @@ def _obs(spark, d):
     _OC,
 )
 def court_profiles(spark, d):
-    p = screens.court_profile(_obs(spark, d), min_field_era=20, **_LOOSE)
+    p = screens.court_profile(_era_cells(spark, d), min_field_era=20, **_LOOSE)
     return _rounded(p.drop("evidence", "place"), "p_field", "lift", "conv", "fconv", "sconv")
 
 

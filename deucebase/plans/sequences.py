@@ -6,12 +6,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from deucebase.functions import notation, score
-from deucebase.operators import coverage, screens
+from deucebase.operators import coded, coverage, screens
 from deucebase.operators import sequences as seq
 from deucebase.plans import sql
 from deucebase.plans.registry import query
 from deucebase.sources.adapter import matches
-from deucebase.sources.store import once, parsed
+from deucebase.sources.store import coded_points, once, parsed
 
 _HANDS = """hands AS (SELECT gender, player, CASE WHEN sum((hand = 'R')::INT) >= sum((hand = 'L')::INT) THEN 'R' ELSE 'L' END AS hand FROM
  (SELECT gender, player1 AS player, player1_hand AS hand FROM matches UNION ALL SELECT gender, player2, player2_hand FROM matches) WHERE hand IN ('R', 'L') GROUP BY 1, 2)"""
@@ -95,15 +95,20 @@ def _grams(spark, d):
     return once(spark, "stroke_grams", d, lambda: seq.ngrams(seq.spoken(_tokens(spark, d), coverage.modal_hand(matches(spark, d)))))
 
 
+def _gram_counts(spark, d):
+    """Trigrams counted by whose word the last is, kept once an application."""
+    return once(spark, "gram_counts", d, lambda: coded.gram_counts(coded_points(spark, d)))
+
+
 @query("SELECT gender, a, b, t, n, round(p, 6) AS p, round(-log2(p), 6) AS bits FROM lm", _NG)
 def ngram_model(spark, d):
-    m = seq.ngram_model(_grams(spark, d))
+    m = seq.ngram_model(_gram_counts(spark, d))
     return m.select("gender", "a", "b", "t", "n", F.round("p", 6).alias("p"), F.round("bits", 6).alias("bits"))
 
 
 @query("SELECT gender, sum(n)::BIGINT AS n, round(pow(2, sum(n * -log2(p)) / sum(n)), 6) AS perplexity FROM lm GROUP BY gender", _NG)
 def perplexity(spark, d):
-    m = seq.ngram_model(_grams(spark, d))
+    m = seq.ngram_model(_gram_counts(spark, d))
     return m.groupBy("gender").agg(F.sum("n").alias("n"), F.round(F.pow(F.lit(2.0), F.sum(F.col("n") * F.col("bits")) / F.sum("n")), 6).alias("perplexity"))
 
 
@@ -161,7 +166,7 @@ def serve_plus_one(spark, d):
 
 @query("SELECT gender, player, count(*) AS n, round(avg(-log2(p)), 6) AS bits, round(pow(2, avg(-log2(p))), 6) AS perplexity FROM ng JOIN lm USING (gender, a, b, t) WHERE t <> '<end>' GROUP BY 1, 2 HAVING count(*) >= 500", _NG)
 def player_surprise(spark, d):
-    g = _grams(spark, d)
+    g = _gram_counts(spark, d)
     s = seq.player_surprise(g, seq.ngram_model(g))
     return s.select("gender", "player", "n", F.round("bits", 6).alias("bits"), F.round("perplexity", 6).alias("perplexity"))
 

@@ -10,7 +10,7 @@ from deucebase.plans import sql
 from deucebase.plans.registry import query
 from deucebase.plans.sequences import _HANDS
 from deucebase.sources.adapter import matches, points
-from deucebase.sources.store import once, parsed, stored_points
+from deucebase.sources.store import coded_points, once, parsed, stored_points
 
 
 def _dir(c: str) -> str:
@@ -29,7 +29,7 @@ def _delivered(spark, d):
 
 
 def _placed(spark, d):
-    return once(spark, "placement", d, lambda: tendencies.placement(_delivered(spark, d)))
+    return once(spark, "placement", d, lambda: tendencies.placement(tendencies.serves(coded_points(spark, d))))
 
 
 def _rounded(df, *cols):

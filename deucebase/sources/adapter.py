@@ -79,8 +79,13 @@ def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(MATCHES)
 
 
-def raw_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spark.read.parquet(f"{sf_dir}/lineitem.parquet").createOrReplaceTempView("lineitem")
+def raw_points(spark: SparkSession, sf_dir: str, spread_out: bool = False) -> DataFrame:
+    """Points without their match's columns; ``spread_out``: over all cores by match, however few splits the file has."""
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    if spread_out:
+        parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        rows = rows.repartition(parts, rows["l_orderkey"] - rows["l_orderkey"] % 16)
+    rows.createOrReplaceTempView("lineitem")
     return spark.sql(POINTS)
 
 

@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deucebase.functions.notation import decoded
-from deucebase.sources.adapter import points
+from deucebase.functions.notation import coded, decoded
+from deucebase.functions.score import serve_side
+from deucebase.operators import coverage
+from deucebase.sources.adapter import matches, points, raw_points
 
 _BUILT: dict[tuple[str, str, str], str] = {}
 
@@ -35,6 +38,18 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{home(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def compiled(spark: SparkSession) -> Iterator[None]:
+    """Where a stage's method would be over 8,000 bytes, which the JVM leaves interpreted, operators get methods of their own."""
+    name = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "8000")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def once(spark: SparkSession, name: str, key: str, build: Callable[[], DataFrame]) -> DataFrame:
     """Read-through: the table ``name`` of input ``key``, built and written as Parquet the first time in an application,
     and again if its files are gone."""
@@ -45,7 +60,8 @@ def once(spark: SparkSession, name: str, key: str, build: Callable[[], DataFrame
         except AnalysisException:
             del _BUILT[at]
     path = scratch(spark, name)
-    build().write.parquet(path)
+    with compiled(spark):
+        build().write.parquet(path)
     _BUILT[at] = path
     return spark.read.parquet(path)
 
@@ -66,6 +82,30 @@ def stored_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsed(spark, sf_dir).select(*points(spark, sf_dir).columns)
 
 
+def stored_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return once(spark, "matches", sf_dir, lambda: matches(spark, sf_dir))
+
+
+def coded_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All points with their strokes' code, who serves and returns (``by0``, ``by1``), their hands, and the strokes' words as
+    either sees them (``words0``, ``words1``); without ``pt``, which takes a sort of all line items."""
+    return once(spark, "points_coded", sf_dir, lambda: _coded_rows(spark, sf_dir))
+
+
+def _coded_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col
+    m = stored_matches(spark, sf_dir)
+    p = raw_points(spark, sf_dir, spread_out=True).drop("pt").join(m.select("match_id", "gender", "player1", "player2", "date", "year"), "match_id")
+    p = coded(p.drop("set1", "set2"))
+    for k in (0, 1):
+        p = p.withColumn(f"by{k}", F.when(c("server") == k + 1, c("player1")).otherwise(c("player2")))
+    hands = coverage.modal_hand(m)
+    for k in (0, 1):
+        p = p.join(hands.select("gender", c("player").alias(f"by{k}"), c("hand").alias(f"hand{k}")), ["gender", f"by{k}"], "left")
+        p = p.withColumn(f"words{k}", F.when(c(f"hand{k}") == "L", F.translate("words", "13", "31")).otherwise(c("words")))
+    return p.withColumn("side", serve_side(c("pts"))).withColumn("half", F.crc32(c("match_id").cast("binary")).bitwiseAND(F.lit(1)).cast("int")).drop("words")
+
+
 def parsed_points(spark: SparkSession, sf_dir: str, where: str | None = None, sample: int | None = None, seed: int = 1) -> DataFrame:
     """Decoded points, of a seeded sample of a fixed size where one is asked for; the filter comes after the sample."""
     p = parsed(spark, sf_dir)

@@ -78,3 +78,35 @@ def test_site_tables_read_stored_points(spark):
         assert not any("lineitem" in f for f in t.inputFiles()), name
     a, b = points(spark, d), store.stored_points(spark, d)
     assert a.schema.names == b.schema.names and a.exceptAll(b).count() == b.exceptAll(a).count() == 0
+
+
+def test_sums_from_codes(spark):
+    """Every sum that the site takes from codes is the one of the operators that count a stroke of an array at a time, and
+    no stored table of the site holds decoded arrays."""
+    from pyspark.sql import functions as F
+
+    from deucebase.operators import coded, coverage, eras, screens
+    from deucebase.operators import sequences as seq
+    from deucebase.plans import gold as plan
+    from deucebase.sources import store
+    from deucebase.sources.adapter import matches
+
+    d = "/root/testdata/sf0.001"
+    p, c, hands = store.parsed(spark, d), store.coded_points(spark, d), coverage.modal_hand(matches(spark, d))
+    g = seq.hitter(seq.ngrams(seq.spoken(seq.tokens(p), hands))).groupBy("gender", "player", "a", "b", "t").agg(F.count(F.lit(1)).alias("n"))
+    keep = ("match_id", "pt", "gender", "player1", "player2", "pts", "year")
+    cells = lambda o: screens.era_cells(o).unionByName(screens.plus_one_cells(o), allowMissingColumns=True)
+    sums = coded.player_counters(c)
+    by = ["gender", "player", "year"]
+    counters = eras.counters(p, ("gender", "year")).groupBy(*by).agg(*[F.sum(x).alias(x) for x in sums.columns if x not in by])
+    pairs = [
+        (coded.gram_counts(c).where("player IS NOT NULL"), g),
+        (coded.strike_counts(c, (2, 3, 4)), screens.strike_counts(seq.tokens(p, keep), hands, (2, 3, 4))),
+        (cells(coded.observations(c)), cells(seq.observations(p, hands, keep))),
+        (sums, counters),
+    ]
+    for a, b in pairs:
+        a, b = ({tuple(r) for r in x.select(*sorted(x.columns)).collect()} for x in (a, b))
+        assert a == b and a
+    for name, t in plan.gold_tables(spark, d).items():
+        assert not any("points_parsed" in f or "lineitem" in f for f in t.inputFiles()), name

@@ -99,3 +99,26 @@ def test_aggressive_strokes(spark, rallies):
         n = len(strokes)
         want = {k: (end == "*" and k == n, end == "@" and k == n, end == "#" and k == n - 1) for k in range(1, n + 1)}
         assert seen[str(i)] == want
+
+
+def test_coded_strokes(spark):
+    """The code of a whole batch says what the decoder says of every stroke: strays, repeats, lines' ends and other scripts too."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from deucebase.functions.notation import coded, decoded
+
+    rng, rows = random.Random(3), []
+    for i in range(1500):
+        serve = lambda: rng.choice(["", "c", "  ", "S", "é"]) + rng.choice("4560123 f") + "".join(rng.choice("frvoqtbs123789ndwx*#@+-=^cS .;\n\r\u0085  é") for _ in range(rng.randint(0, 9)))
+        rows.append((i, rng.choice([None, "", serve(), serve()]), rng.choice([None, None, serve()]), rng.choice([1, 2, None]), rng.choice([1, 2, 0, None])))
+    p = spark.createDataFrame(rows, "id int, first_serve string, second_serve string, svr int, pt_winner int")
+    known = lambda s, c: F.coalesce(s[c], F.lit("."))
+    one = lambda s: F.concat(F.when(s["is_serve"], "S").otherwise(s["letter"]), known(s, "direction"), known(s, "depth"), known(s, "terminal"), F.when(s["modifiers"].rlike("[+-]"), "+").otherwise("."), known(s, "error_loc"))
+    d = decoded(p).withColumn("code", F.when(F.get("shots", F.lit(0))["is_serve"], F.array_join(F.transform("shots", one), "")))
+    cols = ["id", "serve_in_play", "server", "code", "parse_ok"]
+    full = [*cols, "rally_len", "outcome", "server_won"]
+    for names, where in ((cols, "true"), (full, "code IS NOT NULL")):
+        a, b = ({tuple(r) for r in x.where(where).select(*names).collect()} for x in (d, coded(p)))
+        assert a == b and len(a) > 200
